@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .near_dup import near_duplicates
+from .packing import pack_documents
+from .quality import fit_quality, held_out, score_quality
 from .substring_dedup import remove_repeats
 
 
@@ -17,6 +20,27 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), n=3, percent=85)
 
 
+def tokenizer_file(name: str) -> str:
+    """Path of a public tokenizer's file; the files lie beside the installed libraries."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 4096 ids."""
+    out = pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), with_tokens=False)
+    return out.drop("tokens")
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from the labels that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")).where(~held_out())
+    scored = score_quality(docs, fit_quality(docs, labels))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated 13-word windows removed from all documents."""
     out = remove_repeats(table(spark, sf_dir, "documents"), width=13)

@@ -326,7 +326,7 @@ def remove_repeats(docs: DataFrame, width: int = 13, with_text: bool = False, hi
     release(spark)
     marks = found.groupBy("doc_id").agg(F.collect_list(F.struct("part", "n", "marks", "sources")).alias("found"))
     kind = "array<struct<at: int, len: int>>"
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if with_text and c != "text" or c == "doc_id"]).alias("row")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if with_text or c == "doc_id"]).alias("row")
     held = docs.select(row, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = f"row {held.schema['row'].dataType.simpleString()}, {OWN}"
     joined = held.join(marks, "doc_id", "left")
