@@ -5,16 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .fingerprint import compare_with_edits
+from .license_scan import scan_licenses
 from .near_dup import near_duplicates
 from .packing import pack_documents
 from .quality import fit_quality, held_out, score_quality
 from .substring_dedup import remove_repeats
+from .url_filter import judge_urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# The rules of the url query.
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's url judged by rules and by its redirect aliases."""
+    return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases in all documents by diagonal voting."""
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op8_document_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bottom-k fingerprints of all documents, against their edited texts and the next documents."""
+    out = compare_with_edits(table(spark, sf_dir, "documents"))
+    digest = lambda c: F.sha2(F.concat_ws(",", F.col(c).cast("array<string>")), 256)
+    return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), digest("sketch").alias("fingerprint"), digest("edited_sketch").alias("edited_fingerprint"), "near_edited", "near_next")
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents: 3-word shingles, Jaccard of 0.85 or more."""
     return near_duplicates(table(spark, sf_dir, "documents"), n=3, percent=85)
