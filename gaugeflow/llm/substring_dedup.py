@@ -129,7 +129,7 @@ def _merge(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     log = Log()
     for d, c, p in zip(docs, counts, prints):
         log.add(*earliest(p, np.repeat(d, c)))
-    out: list[list] = [[], [], [], []]
+    made = []
     for d, c, p, new in zip(docs, counts, prints, fresh):
         if not new:
             continue
@@ -137,19 +137,30 @@ def _merge(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         source = np.empty(len(p), dtype=np.int64)
         source[order] = log.probe(p[order])
         again = source < np.repeat(d, c)
-        if not again.any():
-            continue
-        ends = np.cumsum(c)
-        starts = ends - c
-        hits = np.add.reduceat(again, starts.astype(np.int64))
-        for k in np.flatnonzero(hits):
-            a, b = starts[k], ends[k]
-            flag = again[a:b]
-            out[0].append(int(d[k]))
-            out[1].append(int(c[k]))
-            out[2].append(np.packbits(flag).tobytes())
-            out[3].append(source[a:b][flag].tobytes())
-    return pa.table({"doc_id": pa.array(out[0], pa.int64()), "part": pa.array([part] * len(out[0]), pa.int32()), "n": pa.array(out[1], pa.int32()), "marks": pa.array(out[2], pa.binary()), "sources": pa.array(out[3], pa.binary())})
+        if again.any():
+            made.append(_marked(part, d, c.astype(np.int64), source, again))
+    return pa.concat_tables(made) if made else _marked(part, *(np.empty(0, np.int64) for _ in range(3)), np.empty(0, bool))
+
+
+def _marked(part: int, doc: np.ndarray, count: np.ndarray, source: np.ndarray, again: np.ndarray) -> pa.Table:
+    """One row for each document with repeats: its windows here as bits, and the sources of the set ones."""
+    ends = np.cumsum(count)
+    hits = np.diff(np.concatenate([[0], np.cumsum(again)])[np.concatenate([[0], ends])]) if len(doc) else np.empty(0, int)
+    used = np.flatnonzero(hits)
+    keep = np.repeat(hits > 0, count)
+    width = (count[used] + 7) // 8
+    at = np.concatenate([[0], np.cumsum(width)])
+    own = count[used]
+    within = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
+    bits = np.zeros(at[-1] * 8, dtype=bool)
+    bits[np.repeat(at[:-1] * 8, own) + within] = again[keep]
+    return pa.table({
+        "doc_id": pa.array(doc[used], pa.int64()),
+        "part": pa.array(np.full(len(used), part, np.int32)),
+        "n": pa.array(own.astype(np.int32)),
+        "marks": binary_column(np.packbits(bits), at),
+        "sources": binary_column(source[again].view(np.uint8), np.concatenate([[0], np.cumsum(hits[used])]) * 8),
+    })
 
 
 OWN = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, runs array<struct<src: long, at: int, len: int, print: long, digest: binary>>"
@@ -291,10 +302,18 @@ def window_runs(docs: DataFrame, width: int, parts: int) -> DataFrame:
     return held.mapInArrow(_runs(width, parts), RUN)
 
 
+def _find(docs: DataFrame, width: int, parts: int, history: DataFrame | None) -> DataFrame:
+    """The repeated windows of each document, as a written table; nothing of the shuffle outlives it."""
+    runs = window_runs(docs, width, parts)
+    if history is not None:
+        runs = runs.unionByName(history.withColumn("fresh", F.lit(False)))
+    return cut(runs.repartition(parts, "part").groupBy("part").applyInArrow(_merge, FOUND), "found")
+
+
 def partitions_for(docs: DataFrame) -> int:
     """How many hash partitions the index of ``docs`` needs, from the bytes of all texts."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(8, -(-total // PARTITION_BYTES))
+    return max(64, -(-total // PARTITION_BYTES))
 
 
 def remove_repeats(docs: DataFrame, width: int = 13, with_text: bool = False, history: DataFrame | None = None, parts: int | None = None) -> DataFrame:
@@ -317,21 +336,16 @@ def remove_repeats(docs: DataFrame, width: int = 13, with_text: bool = False, hi
     spark = docs.sparkSession
     parts = parts or partitions_for(docs)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    runs = window_runs(plain, width, parts)
-    if history is not None:
-        runs = runs.unionByName(history.withColumn("fresh", F.lit(False)))
-    dealt = runs.repartition(parts, "part")
-    found = dealt.groupBy("part").applyInArrow(_merge, FOUND)
-    found = cut(found, "found")
+    found = _find(plain, width, parts, history)
     release(spark)
     marks = found.groupBy("doc_id").agg(F.collect_list(F.struct("part", "n", "marks", "sources")).alias("found"))
     kind = "array<struct<at: int, len: int>>"
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if with_text or c == "doc_id"]).alias("row")
     held = docs.select(row, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = f"row {held.schema['row'].dataType.simpleString()}, {OWN}"
-    joined = held.join(marks, "doc_id", "left")
     work = _remove(width, parts, with_text)
-    out = cut(joined.withColumns({"split": F.lit(None).cast(kind), "bad": F.lit(None).cast(kind)}).mapInArrow(work, schema), "kept")
+    out = cut(held.join(marks, "doc_id", "left").withColumns({"split": F.lit(None).cast(kind), "bad": F.lit(None).cast(kind)}).mapInArrow(work, schema), "kept")
+    release(spark)
     stated = out.select("doc_id", F.explode("runs").alias("r")).select("doc_id", "r.*")
     if history is not None:
         stated = stated.join(plain.select(F.col("doc_id").alias("src")).distinct(), "src", "left_semi")
