@@ -44,6 +44,20 @@ def cut(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def attach(df: DataFrame, side: DataFrame, on: list[str], limit: int = 50_000) -> DataFrame:
+    """``df`` left-joined with ``side``, which is written first and broadcast only if it has at most ``limit`` rows.
+
+    An empty side costs no join: its columns are null.
+    """
+    from pyspark.sql import functions as F
+
+    side = cut(side, "side")
+    rows = side.count()
+    if not rows:
+        return df.withColumns({f.name: F.lit(None).cast(f.dataType) for f in side.schema if f.name not in on})
+    return df.join(F.broadcast(side) if rows <= limit else side, on, "left")
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of steps that have been cut off."""
     import gc

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann import nearest
 from .fingerprint import compare_with_edits
+from .html_text import extract_text
 from .license_scan import scan_licenses
 from .near_dup import near_duplicates
 from .packing import pack_documents
 from .quality import fit_quality, held_out, score_quality
+from .sentencepiece_codec import round_trip
 from .substring_dedup import remove_repeats
 from .url_filter import judge_urls
 
@@ -27,11 +30,26 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op2_cross_polytope_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every row whose vec_id is divisible by 20."""
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases in all documents by diagonal voting."""
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded with the public byte-pair model and decoded again."""
+    return round_trip(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op8_document_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bottom-k fingerprints of all documents, against their edited texts and the next documents."""
     out = compare_with_edits(table(spark, sf_dir, "documents"))
