@@ -10,6 +10,8 @@ exact inner products on the original vectors.
 
 from __future__ import annotations
 
+from typing import Any
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -18,8 +20,8 @@ from pyspark.sql import Window
 
 from .common import cut
 
-TABLES = 16
-PROBES = 8
+TABLES = 20
+PROBES = 10
 #: Vectors of one bucket that meet its queries in one task.
 BLOCK = 4096
 #: Candidates that a block keeps for a query beyond those asked for, against rounding.
@@ -87,7 +89,7 @@ def _hasher(dim: int, tables: int, probes: int, longest: float | None):
 def _meet(keep: int):
     """The best ``keep`` vectors of a block for each of its queries."""
 
-    def work(key, queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+    def work(key: tuple[Any, ...], queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(queries) and len(block):
             c, rep = np.stack(block["v"].to_numpy()), block["rep"].to_numpy()
@@ -110,7 +112,7 @@ def _meet(keep: int):
 def _best(keep: int):
     """The best ``keep`` distinct vectors of each query over all its blocks."""
 
-    def work(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def work(key: tuple[Any, ...], rows: pd.DataFrame) -> pd.DataFrame:
         sizes = rows["reps"].map(len).to_numpy()
         flat = pd.DataFrame({"q": np.repeat(rows["q"].to_numpy(), sizes), "rep": np.concatenate(rows["reps"].to_list()), "s": np.concatenate(rows["scores"].to_list())})
         flat = flat.sort_values(["q", "rep", "s"]).drop_duplicates(["q", "rep"], keep="last").sort_values(["q", "s", "rep"], ascending=[True, False, True])
@@ -150,7 +152,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_column: str = "vec_id"
     Equal vectors are indexed once. A bucket of more than ``BLOCK`` vectors
     is dealt over several blocks and its queries meet each, so no candidate
     is capped and no task holds a whole hot bucket. At the defaults a query
-    is compared with about four in ten vectors.
+    is compared with about half of the vectors.
     """
     spark = vectors.sparkSession
     sound = cut(_usable(vectors, id_column, column), "vectors")

@@ -13,18 +13,22 @@ from __future__ import annotations
 
 import hashlib
 
+from typing import Any
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, cut, ids, mix, ngrams, text_buffers, _LOWER
+from .common import _LOWER, Words, chunks, cut, ids, mix, ngrams, release, text_buffers
 from .graph import connected_components
 
 RING = 1 << 20
 COORDINATES = 180
 GROUP = 256
+#: Classes of one bucket that are compared with one another in a task.
+BLOCK = 512
 
 
 def bands_for(threshold: float, coordinates: int = COORDINATES, miss: float = 1e-6) -> tuple[int, int]:
@@ -122,7 +126,7 @@ def _signer(n: int, coordinates: int, bands: int, rows: int):
 def _verify(n: int, percent: int):
     """Checks the members of one group against its leader on full sets."""
 
-    def check(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def check(key: tuple[Any, ...], left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(left) and len(right):
             lead = _set_of(left["text"].iloc[0], n)
@@ -157,34 +161,64 @@ def verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFra
     dealt = pairs.join(counts, "leader").select("leader", "member", F.pmod(F.xxhash64("member"), F.ceil(F.col("cnt") / GROUP)).alias("part"))
     dealt = cut(dealt, "dealt")
     wanted = dealt.select(F.col("member").alias("doc_id"), "leader", "part", F.lit(False).alias("leads")).unionByName(dealt.select(F.col("leader").alias("doc_id"), "leader", "part", F.lit(True).alias("leads")).distinct())
-    texts = wanted.join(docs.select("doc_id", "text"), "doc_id")
+    texts = wanted.hint("merge").join(docs.select("doc_id", "text"), "doc_id")
     left = texts.where("leads").select(F.col("leader").alias("l"), F.col("part").alias("p"), F.col("text").alias("text")).groupBy("l", "p")
     right = texts.where("not leads").select("leader", "part", "doc_id", "text").groupBy("leader", "part")
     return left.cogroup(right).applyInPandas(_verify(n, percent), "leader long, member long")
 
 
-def _rest(percent: int):
-    """Pairs of one block of a bucket that may still link two components."""
-    floor = percent / 100 - 0.17
+def _rest(n: int, percent: int):
+    """The links across components within one block, or between two blocks, of a bucket.
 
-    def pick(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found: list[np.ndarray] = []
-        if len(left) and len(right):
-            a = np.frombuffer(b"".join(left["sketch"]), dtype=np.uint8).reshape(len(left), -1)
-            b = np.frombuffer(b"".join(right["sketch"]), dtype=np.uint8).reshape(len(right), -1)
-            na, nb = left["n"].to_numpy(), right["n"].to_numpy()
-            ca, cb = left["component"].to_numpy(), right["component"].to_numpy()
-            ia, ib = left["rep"].to_numpy(), right["rep"].to_numpy()
-            for k in range(len(a)):
-                ok = (ca[k] != cb) & (100 * np.minimum(na[k], nb) >= percent * np.maximum(na[k], nb)) & (ia[k] < ib)
-                at = np.flatnonzero(ok)
-                if len(at):
-                    at = at[(b[at] == a[k]).mean(axis=1) >= floor]
-                    found.append(np.stack([np.full(len(at), ia[k]), ib[at]], axis=1))
-        flat = np.concatenate(found) if found else np.empty((0, 2), dtype=np.int64)
-        return pd.DataFrame(flat, columns=["leader", "member"])
-
-    return pick
+    A pair is looked at in the first bucket that it shares, if its sizes and
+    signatures leave a link possible, and then compared on full sets.
+    """
+    floor = percent / 100 - 0.14
+
+    def compare(key: tuple[Any, ...], rows: pd.DataFrame) -> pd.DataFrame:
+        bucket, x, y = key
+        rows = rows.sort_values("rep").reset_index(drop=True)
+        data, offsets = text_buffers(pa.array(rows["text"], pa.string(), from_pandas=True))
+        sets = [own for _, own in shingle_sets(_LOWER[data], offsets, n)]
+        sketch = np.frombuffer(b"".join(rows["sketch"]), dtype=np.uint8).reshape(len(rows), -1)
+        bands = np.stack(rows["bands"].to_numpy())
+        size, rep, side = rows["n"].to_numpy(), rows["rep"].to_numpy(), rows["block"].to_numpy()
+        group = {c: c for c in rows["component"]}
+
+        def root(c):
+            while group[c] != c:
+                group[c] = group[group[c]]
+                c = group[c]
+            return c
+
+        own = rows["component"].to_numpy()
+        band = int(np.flatnonzero(bands[0] == bucket)[0])
+        out = []
+        for k in range(len(rows) - 1):
+            later = slice(k + 1, len(rows))
+            ok = (own[later] != own[k]) & (100 * np.minimum(size[k], size[later]) >= percent * np.maximum(size[k], size[later]))
+            if x != y:
+                ok &= side[later] != side[k]
+            at = np.flatnonzero(ok) + k + 1
+            if len(at):
+                at = at[(sketch[at] == sketch[k]).mean(axis=1) >= floor]
+            if len(at):
+                at = at[(bands[at] == bands[k]).argmax(axis=1) == band]
+            at = [j for j in at.tolist() if root(own[j]) != root(own[k])]
+            for start in range(0, len(at), 256):
+                part = at[start : start + 256]
+                flat = np.concatenate([sets[j] for j in part])
+                place = np.searchsorted(sets[k], flat)
+                place[place == len(sets[k])] = 0
+                edges = np.cumsum([0, *(len(sets[j]) for j in part)])[:-1]
+                common = np.add.reduceat((sets[k][place] == flat).astype(np.int64), edges)
+                for j, c in zip(part, common.tolist()):
+                    if 100 * c >= percent * (len(sets[k]) + len(sets[j]) - c):
+                        out.append((rep[k], rep[j]))
+                        group[root(own[j])] = root(own[k])
+        return pd.DataFrame(out, columns=["leader", "member"]).astype("int64")
+
+    return compare
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, coordinates: int = COORDINATES) -> DataFrame:
@@ -200,7 +234,10 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, coordinates:
        with it: one pair for each membership, never all pairs of a bucket.
     3. Buckets whose classes still lie in different components are looked at
        again, in blocks, for pairs across components whose signatures do not
-       rule a link out; those are compared too.
+       rule a link out; those are compared on full sets too.
+
+    Joins that carry texts or bands are always shuffled, so the plan is the
+    same at every size.
 
     Null and empty texts have no shingles and are linked with nothing. Rows
     without doc_id take no part: component_id is null and kept is true. A
@@ -213,7 +250,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, coordinates:
     reps = cut(signed.where("doc_id is not null").groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "bands", "sketch")).alias("s")).select("set_key", "s.*"), "reps")
     member = reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     sizes = member.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    shared = cut(member.join(sizes, "bucket"), "shared")
+    shared = cut(member.hint("merge").join(sizes, "bucket"), "shared")
     company = shared.groupBy("rep").agg(F.sum("size").alias("mass"))
     ranked = shared.join(company, "rep").select("bucket", "rep", "n", F.struct(-F.col("mass"), F.col("rep"), F.col("n")).alias("rank"))
     leaders = ranked.groupBy("bucket").agg(F.min("rank").alias("lead")).select("bucket", F.col("lead.rep").alias("leader"), F.col("lead.n").alias("ln"))
@@ -225,25 +262,24 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, coordinates:
     )
     pairs = cut(pairs, "pairs")
     links = cut(verified(texts, pairs, n, percent), "links")
+    release(docs.sparkSession)
     part = connected_components(links, "leader", "member")
-    label = reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "sketch").join(part.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "n", "sketch", F.coalesce("component", "rep").alias("component"))
+    label = reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "sketch", "bands").join(part.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     label = cut(label, "label")
+    release(docs.sparkSession)
 
     inside = shared.select("bucket", "rep").join(label.select("rep", "component"), "rep")
     split = inside.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo < hi and size > 2")
-    left_over = cut(inside.join(split.select("bucket", "size"), "bucket").select("bucket", "rep", F.ceil(F.col("size") / 1024).cast("int").alias("blocks")), "open")
+    left_over = cut(shared.select("bucket", "rep").join(split.select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "bucket"), "open")
     if not left_over.isEmpty():
-        full = left_over.join(label, "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        a = full.select("bucket", F.col("block").alias("x"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("y"), "rep", "n", "sketch", "component")
-        b = full.select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"), F.col("block").alias("y"), "rep", "n", "sketch", "component")
-        a = a.select(*[F.col(c).alias(c) for c in a.columns])
-        b = b.select(F.col("bucket").alias("b2"), F.col("x").alias("x2"), F.col("y").alias("y2"), *[F.col(c).alias(c) for c in ("rep", "n", "sketch", "component")])
-        more = a.groupBy("bucket", "x", "y").cogroup(b.groupBy("b2", "x2", "y2")).applyInPandas(_rest(percent), "leader long, member long").distinct()
-        tested = pairs.select(F.least("leader", "member").alias("leader"), F.greatest("leader", "member").alias("member"))
-        more = cut(more.join(tested, ["leader", "member"], "left_anti"), "more")
+        held = cut(left_over.select("rep").distinct().join(label, "rep").hint("merge").join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep").dropDuplicates(["rep"]), "held")
+        dealt = left_over.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        other = F.sequence(F.lit(0), F.col("blocks") - 1)
+        dealt = dealt.withColumn("o", F.explode(other)).select("bucket", "rep", "block", F.least("block", "o").alias("x"), F.greatest("block", "o").alias("y"))
+        more = dealt.join(held, "rep").groupBy("bucket", "x", "y").applyInPandas(_rest(n, percent), "leader long, member long").distinct()
+        more = cut(more, "more")
         if not more.isEmpty():
-            links = links.unionByName(verified(texts, more, n, percent))
-            part = connected_components(links, "leader", "member")
+            part = connected_components(links.unionByName(more), "leader", "member")
 
     named = reps.select("set_key", "doc_id").join(part.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("set_key", F.coalesce("component", "doc_id").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
