@@ -17,18 +17,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, binary_column, chunks, ids
+from .common import _LOWER, Words, binary_column, chunks, ids
 
 #: Bytes of text for each group: a group's token ids fit easily in a task.
 GROUP_BYTES = 12 << 20
-CACHE_WORDS = 400_000
+#: Words that a worker remembers.
+CACHE_WORDS = 600_000
+_encoders: dict[str, "WordEncoder"] = {}
+
+
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+#: ASCII punctuation next to which a word may be cut; not the apostrophe (contractions) or the bar (special tokens).
+_POINT = np.zeros(256, dtype=bool)
+_POINT[[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) not in "'|"]] = True
 
 
 class WordEncoder:
-    """Token ids of texts, each distinct white-space-separated word encoded once.
+    """Token ids of texts, each distinct word encoded once.
 
-    For tokenizers that drop white space and let no token cross it, the ids of
-    a text are those of its words in order; so are ``word_bpe_49k.json``'s.
+    For tokenizers that drop white space, lower-case, and let no token cross
+    white space or go from letters to punctuation, the ids of a text are
+    those of its parts in order; so are ``word_bpe_49k.json``'s. Parts are
+    words between ASCII white space, cut further between an ASCII or Latin-1
+    letter and ASCII punctuation.
     """
 
     def __init__(self, path: str):
@@ -36,42 +48,84 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, np.ndarray] = {}
+        self.clear()
+
+    @classmethod
+    def of(cls, path: str) -> "WordEncoder":
+        """The worker's own encoder, which keeps what it knows from task to task."""
+        if path not in _encoders:
+            _encoders[path] = cls(path)
+        return _encoders[path]
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.flat = np.empty(1 << 16, dtype=np.uint32)
+        self.ends = np.zeros(1 << 16, dtype=np.int64)  # ends[k + 1]: past the ids of word k
+
+    def learn(self, words: list[str]) -> None:
+        """Encode new words, many in one call; a token belongs to the word where it starts."""
+        for k in range(0, len(words), 2000):
+            part = words[k : k + 2000]
+            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            new = np.array(found.ids, dtype=np.uint32)
+            first = np.array([a for a, _ in found.offsets], dtype=np.int64)
+            border = np.cumsum([len(w) + 1 for w in part])
+            n = len(self.number)
+            while n + len(part) + 1 > len(self.ends):
+                self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+            used = self.ends[n]
+            while used + len(new) > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+            self.flat[used : used + len(new)] = new
+            self.ends[n + 1 : n + 1 + len(part)] = used + np.searchsorted(first, border)
+            self.number.update(zip(part, range(n, n + len(part))))
+
+    def parts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(bytes, starts and ends of parts); the index of each text's first part is found from the starts."""
+        if b"<|" not in data.tobytes():
+            data = _LOWER[data]
+        words = Words(data, offsets)
+        letter, point = _LETTER[data], _POINT[data]
+        latin = np.zeros(len(data), dtype=bool)
+        lead = np.flatnonzero(data[:-1] == 0xC3)
+        latin[lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]] = True
+        ends_letter = letter.copy()
+        ends_letter[1:] |= latin[:-1]
+        cuts = np.flatnonzero((ends_letter[:-1] & point[1:]) | (point[:-1] & (letter | latin)[1:])) + 1
+        begin, end = np.zeros((2, len(data) + 1), dtype=bool)
+        begin[words.starts], end[words.ends] = True, True
+        begin[cuts], end[cuts] = True, True
+        return data, np.flatnonzero(begin), np.flatnonzero(end)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets of each text in them)."""
-        words = Words(data, offsets)
-        if not len(words.starts):
+        data, begin, end = self.parts(data, offsets)
+        if not len(begin):
             return np.empty(0, np.uint32), np.zeros(len(offsets), np.int64)
-        lengths = words.ends - words.starts
-        ends = np.cumsum(lengths)
-        packed = data[np.repeat(words.starts - (ends - lengths), lengths) + np.arange(ends[-1])]
-        column = pa.Array.from_buffers(pa.string(), len(lengths), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), pa.py_buffer(packed)])
+        lengths = end - begin
+        past = np.cumsum(lengths)
+        packed = data[np.repeat(begin - (past - lengths), lengths) + np.arange(past[-1])]
+        column = pa.Array.from_buffers(pa.string(), len(lengths), [None, pa.py_buffer(np.concatenate([[0], past]).astype(np.int32)), pa.py_buffer(packed)])
         coded = column.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        new = [w for w in distinct if w not in self.cache]
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.cache[w] = np.array(e.ids, dtype=np.uint32)
-        own = [self.cache[w] for w in distinct]
-        sizes = np.array([len(x) for x in own])
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        flat = np.concatenate(own) if len(own) else np.empty(0, np.uint32)
-        which = coded.indices.to_numpy(zero_copy_only=False)
-        count = sizes[which]
+        if len(self.number) > CACHE_WORDS:
+            self.clear()
+        self.learn([w for w in distinct if w not in self.number])
+        number = self.number
+        own = np.array([number[w] for w in distinct])
+        which = own[coded.indices.to_numpy(zero_copy_only=False)]
+        start = self.ends[which]
+        count = self.ends[which + 1] - start
         past = np.cumsum(count)
-        out = flat[np.repeat(starts[which] - (past - count), count) + np.arange(past[-1])]
-        return out, np.concatenate([[0], past])[words.first]
+        out = self.flat[np.repeat(start - (past - count), count) + np.arange(past[-1])]
+        return out, np.concatenate([[0], past])[np.searchsorted(begin, offsets)]
 
 
 def _encoder(path: str, end_id: int):
     """doc_id, number of ids with the final one, and the ids as little-endian 32-bit integers."""
 
     def work(batches):
-        encoder = WordEncoder(path)
+        encoder = WordEncoder.of(path)
         for batch in batches:
             key = ids(batch)
             for row, past, data, offsets in chunks(batch, "text", limit=2 << 20):
