@@ -12,8 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import cut
-
 K = 256
 SHINGLE = 5
 
@@ -79,20 +77,25 @@ def with_sketch(docs: DataFrame, column: str = "sketch", n: int = SHINGLE, k: in
     return wide.select("row.*", sketch_of_words(F.col("w"), n, k).alias(column))
 
 
-def successors(docs: DataFrame) -> DataFrame:
-    """(doc_id, next_id): each distinct id and the next larger one; the largest has the smallest as next.
+def range_starts(docs: DataFrame) -> list[int]:
+    """The first id of each of a number of ranges of about equal size; few, whatever the number of documents."""
+    spark = docs.sparkSession
+    ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null")
+    parted = ids.repartitionByRange(ranges, "doc_id").groupBy(F.spark_partition_id().alias("part")).agg(F.min("doc_id").alias("head"))
+    return sorted({r["head"] for r in parted.collect()})
 
-    Ids are dealt by range and written; each range is ordered by itself, and
-    only the first id of each range crosses a border.
-    """
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
-    ranged = cut(ids.repartitionByRange("doc_id").withColumn("part", F.spark_partition_id()), "ids")
-    # One row for each range: few, whatever the number of documents.
-    heads = ranged.groupBy("part").agg(F.min("doc_id").alias("head"))
-    order = Window.orderBy("part")
-    heads = heads.select("part", F.coalesce(F.lead("head").over(order), F.first("head").over(order)).alias("head"))
-    own = ranged.withColumn("after", F.lead("doc_id").over(Window.partitionBy("part").orderBy("doc_id")))
-    return own.join(F.broadcast(heads), "part").select("doc_id", F.coalesce("after", "head").alias("next_id"))
+
+def range_of(key: Column, starts: list[int]) -> Column:
+    """Index of the range that holds ``key``, by binary search in the sorted starts."""
+    bounds = F.lit(starts)
+    steps = [1 << b for b in range(len(starts).bit_length() - 1, -1, -1)]
+
+    def narrow(at: Column, step: Column) -> Column:
+        beyond = at + step
+        return F.when((beyond < len(starts)) & (F.get(bounds, beyond) <= key), beyond).otherwise(at)
+
+    return F.aggregate(F.lit(steps), F.lit(0), narrow)
 
 
 def compare_with_edits(docs: DataFrame, n: int = SHINGLE, k: int = K) -> DataFrame:
@@ -101,23 +104,32 @@ def compare_with_edits(docs: DataFrame, n: int = SHINGLE, k: int = K) -> DataFra
     Returns doc_id, n_chars, edited, sketch, edited_sketch, near_edited,
     near_next, next_id. In the edited text the last half of the code points
     (rounded down) is replaced by as many of the next document's first ones,
-    or all it has. Next is by ascending doc_id, around at the end; where ids
-    repeat, the smallest text counts. Null text is empty. A row without
-    doc_id has no next document: its edited text keeps the first half only,
-    and it is compared with an empty sketch.
+    or all it has. Next is by ascending doc_id, then text where ids repeat,
+    and the first follows the last. Null text is empty. A row without doc_id
+    has no next document: its edited text keeps the first half only, and it
+    is compared with an empty sketch. An empty table gives an empty table.
+
+    Texts are shuffled once, dealt by ranges of ids; each range is ordered by
+    itself, and only its first document crosses to the range before.
     """
     held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    known = held.where("doc_id is not null")
-    order = successors(docs)
-    halves = known.groupBy("doc_id").agg(F.max(F.length("text")).alias("most"))
-    order = order.join(halves, "doc_id").select(F.col("doc_id").alias("prev_id"), F.col("next_id").alias("doc_id"), F.floor(F.col("most") / 2).cast("int").alias("half"))
-    after = known.join(order, "doc_id").select("prev_id", F.col("doc_id").alias("next_id"), F.substring("text", F.lit(1), F.col("half")).alias("begin"), words_of(F.col("text")).alias("nw"), "text")
-    after = after.select("prev_id", "next_id", "begin", sketch_of_words(F.col("nw"), n, k).alias("next_sketch"), "text")
-    after = after.groupBy("prev_id").agg(F.min(F.struct("text", "next_id", "begin", "next_sketch")).alias("s")).select(F.col("prev_id").alias("doc_id"), "s.next_id", "s.begin", "s.next_sketch")
-    joined = known.join(after, "doc_id").unionByName(held.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("long").alias("next_id"), F.lit("").alias("begin"), F.array().cast("array<bigint>").alias("next_sketch")))
-    size = F.length("text")
+    none = F.array().cast("array<bigint>")
+    lone = held.where("doc_id is null").select("doc_id", "text", words_of(F.col("text")).alias("w")).select("doc_id", "text", sketch_of_words(F.col("w"), n, k).alias("sketch"), F.struct(F.lit(None).cast("long").alias("id"), F.lit("").alias("text"), none.alias("sketch")).alias("next"))
+    starts = range_starts(docs)
+    joined = lone
+    if starts:
+        known = held.where("doc_id is not null")
+        # One document for each range, found by its id.
+        first = known.where(F.col("doc_id").isin(starts)).groupBy("doc_id").agg(F.min("text").alias("text")).withColumn("w", words_of(F.col("text")))
+        head = first.select(F.pmod(range_of(F.col("doc_id"), starts) - 1, F.lit(len(starts))).alias("bucket"), F.struct(F.col("doc_id").alias("id"), "text", sketch_of_words(F.col("w"), n, k).alias("sketch")).alias("head"))
+        dealt = known.withColumn("bucket", range_of(F.col("doc_id"), starts)).repartition("bucket").withColumn("w", words_of(F.col("text")))
+        own = dealt.select("bucket", "doc_id", "text", sketch_of_words(F.col("w"), n, k).alias("sketch"))
+        order = Window.partitionBy("bucket").orderBy("doc_id", "text")
+        after = own.withColumn("next", F.lead(F.struct(F.col("doc_id").alias("id"), "text", "sketch")).over(order))
+        after = after.join(F.broadcast(head), "bucket").select("doc_id", "text", "sketch", F.coalesce("next", "head").alias("next"))
+        joined = after.unionByName(lone)
     half = F.floor(F.col("n") / 2).cast("int")
-    out = joined.withColumn("n", size).select("doc_id", F.col("n").cast("long").alias("n_chars"), "next_id", "next_sketch", words_of(F.col("text")).alias("w"), F.concat(F.substring("text", F.lit(1), F.col("n") - half), F.substring("begin", F.lit(1), half)).alias("edited"))
-    out = out.withColumn("ew", words_of(F.col("edited")))
-    out = out.select("doc_id", "n_chars", "next_id", "next_sketch", "edited", sketch_of_words(F.col("w"), n, k).alias("sketch"), sketch_of_words(F.col("ew"), n, k).alias("edited_sketch"))
+    out = joined.withColumn("n", F.length("text")).withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n") - half), F.substring("next.text", F.lit(1), half)))
+    out = out.select("doc_id", F.col("n").cast("long").alias("n_chars"), "edited", words_of(F.col("edited")).alias("ew"), "sketch", F.col("next.id").alias("next_id"), F.col("next.sketch").alias("next_sketch"))
+    out = out.select("doc_id", "n_chars", "edited", "sketch", sketch_of_words(F.col("ew"), n, k).alias("edited_sketch"), "next_id", "next_sketch")
     return out.select("doc_id", "n_chars", "edited", "sketch", "edited_sketch", resemblance(F.col("sketch"), F.col("edited_sketch"), k).alias("near_edited"), resemblance(F.col("sketch"), F.col("next_sketch"), k).alias("near_next"), "next_id")
