@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 # ---------------------------------------------------------------- storage
@@ -196,8 +196,8 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
-def chunks(batch: pa.RecordBatch, column: str, lower: bool = False, limit: int = CHUNK_BYTES):
-    """(first row, past last row, bytes, offsets) for runs of rows of about ``limit`` bytes.
+def chunks(batch: pa.RecordBatch, column: str, lower: bool = False, limit: int = CHUNK_BYTES, most: int = 4096):
+    """(first row, past last row, bytes, offsets) for runs of up to ``most`` rows of about ``limit`` bytes.
 
     A single longer text is a run of its own; texts are never cut.
     """
@@ -205,7 +205,7 @@ def chunks(batch: pa.RecordBatch, column: str, lower: bool = False, limit: int =
     row, rows = 0, batch.num_rows
     while row < rows:
         past = int(np.searchsorted(offsets, offsets[row] + limit, side="right")) - 1
-        past = min(max(past, row + 1), rows)
+        past = min(max(past, row + 1), row + most, rows)
         part = data[offsets[row] : offsets[past]]
         yield row, past, (_LOWER[part] if lower else part), offsets[row : past + 1] - offsets[row]
         row = past

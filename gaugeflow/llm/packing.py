@@ -22,7 +22,7 @@ from .common import _LOWER, Words, binary_column, chunks, ids
 #: Bytes of text for each group: a group's token ids fit easily in a task.
 GROUP_BYTES = 12 << 20
 #: Words that a worker remembers.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 250_000
 _encoders: dict[str, "WordEncoder"] = {}
 
 
@@ -128,7 +128,7 @@ def _encoder(path: str, end_id: int):
         encoder = WordEncoder.of(path)
         for batch in batches:
             key = ids(batch)
-            for row, past, data, offsets in chunks(batch, "text", limit=2 << 20):
+            for row, past, data, offsets in chunks(batch, "text"):
                 found, at = encoder.encode(data, offsets)
                 full = np.insert(found, at[1:], end_id).astype(np.uint32)
                 at = at + np.arange(len(at))

@@ -105,12 +105,12 @@ def fit(rows: np.ndarray, labels: np.ndarray, rank: int = 48, neighbours: int =
 
 def _rows(batches):
     for batch in batches:
-        for row, past, data, offsets in chunks(batch, "text", limit=1 << 20):
+        for row, past, data, offsets in chunks(batch, "text", most=512):
             found = features(data, offsets)
             yield pa.RecordBatch.from_arrays([batch.column("label").slice(row, past - row), pa.array([x.tobytes() for x in found], pa.binary())], names=["label", "row"])
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 4000, neighbours: int = 15, rank: int = 48) -> Voters:
+def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 3000, neighbours: int = 15, rank: int = 48) -> Voters:
     """Voters from at most ``sample`` labelled documents.
 
     ``labels`` has doc_id and label (0 or 1); rows with a null in either are
@@ -136,7 +136,7 @@ def _scorer(shared):
     def work(batches):
         voters = shared.value
         for batch in batches:
-            for row, past, data, offsets in chunks(batch, "text", limit=1 << 20):
+            for row, past, data, offsets in chunks(batch, "text", most=512):
                 score = voters.vote(voters.place(features(data, offsets)))
                 yield pa.RecordBatch.from_arrays([batch.column("row").slice(row, past - row), pa.array(np.clip(score, 0, 1))], names=["row", *schema_tail])
 

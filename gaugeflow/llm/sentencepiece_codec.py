@@ -230,7 +230,7 @@ def encode_texts(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[n
         return np.empty(0, np.uint32), np.zeros(len(offsets), np.int64)
     coded = column.dictionary_encode()
     distinct = coded.dictionary.to_pylist()
-    if len(model.encoded) > 400_000:
+    if len(model.encoded) > 200_000:
         model.encoded.clear()
     new = [s for s in distinct if s not in model.encoded]
     if new:
