@@ -108,20 +108,31 @@ def number(x: Column) -> Column:
     return F.regexp_replace(t, r"[^0-9.\-]", "").try_cast("decimal(38,10)")
 
 
-def numeric(a: Column, b: Column, relative: float = 0.0, absolute: float = 0.0) -> Column:
-    """1 if the numbers agree within a tolerance, else 0; unreadable numbers agree with nothing.
+def decimal_of(x: Column, kind: str = "str") -> Column:
+    """The decimal that a value of a declared type stands for; null if it stands for none."""
+    if kind in ("int", "float"):
+        return x.try_cast("decimal(38,10)")
+    return number(x)
 
-    The relative tolerance is of ``a``; where ``a`` is zero it bounds ``b``
+
+def close(x: Column, y: Column, relative: float = 0.0, absolute: float = 0.0) -> Column:
+    """1 if two decimals agree within a tolerance, else 0; null agrees with nothing.
+
+    The relative tolerance is of ``x``; where ``x`` is zero it bounds ``y``
     itself and the absolute one is not consulted.
     """
-    x, y = number(a), number(b)
     gap = F.abs(x - y)
-    same = x == y
+    near = x == y
+    if absolute > 0:
+        near = near | (gap <= F.lit(absolute))
     if relative > 0:
-        close = F.when(x == 0, F.abs(y) <= F.lit(relative)).otherwise(same | (gap <= F.abs(x) * F.lit(relative)) | ((gap <= F.lit(absolute)) if absolute > 0 else F.lit(False)))
-    else:
-        close = same | (gap <= F.lit(absolute)) if absolute > 0 else same
-    return _nulls(a, b, F.coalesce((same | close).cast("double"), F.lit(0.0)))
+        near = F.when((x == 0) & (y != 0), F.abs(y) <= F.lit(relative)).otherwise(near | (gap <= F.abs(x) * F.lit(relative)))
+    return F.coalesce(near.cast("double"), F.lit(0.0))
+
+
+def numeric(a: Column, b: Column, relative: float = 0.0, absolute: float = 0.0, kind: str = "str") -> Column:
+    """Agreement of two numbers, or of texts that hold numbers."""
+    return _nulls(a, b, close(decimal_of(a, kind), decimal_of(b, kind), relative, absolute))
 
 
 def cosine(a: Column, b: Column) -> Column:

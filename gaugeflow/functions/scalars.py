@@ -13,6 +13,7 @@ import string
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from decimal import Decimal, InvalidOperation
+from functools import lru_cache
 from typing import Any
 
 IGNORED = str.maketrans("", "", string.punctuation + string.whitespace)
@@ -22,20 +23,46 @@ def squeeze(text: str) -> str:
     return " ".join(text.split())
 
 
+@lru_cache(maxsize=1 << 16)
+def folded(text: str) -> str:
+    """Lower case, with single spaces."""
+    return squeeze(text.lower())
+
+
+@lru_cache(maxsize=1 << 16)
+def bare(text: str, case_sensitive: bool) -> str:
+    """Without ASCII punctuation and white space."""
+    return (text if case_sensitive else text.lower()).translate(IGNORED)
+
+
+@lru_cache(maxsize=1 << 16)
 def edit_distance(a: str, b: str) -> int:
-    """Insertions, deletions and substitutions between two texts."""
+    """Insertions, deletions and substitutions between two texts.
+
+    Columns of the distance table are held as two bit vectors, of rises and
+    of falls, so a column costs a few operations on integers.
+    """
     if a == b:
         return 0
-    if len(a) < len(b):
-        a, b = b, a
-    if not b:
-        return len(a)
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        diagonal, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            diagonal, row[j] = row[j], diagonal if x == y else 1 + min(diagonal, row[j], row[j - 1])
-    return row[-1]
+    if not a or not b:
+        return len(a) + len(b)
+    places: dict[str, int] = {}
+    for k, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << k
+    whole, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    rise, fall, distance = whole, 0, len(a)
+    for c in b:
+        hit = places.get(c, 0)
+        free = hit | fall
+        level = (((hit & rise) + rise) ^ rise) | hit
+        up = fall | ~(level | rise) & whole
+        down = level & rise
+        distance += (up & top != 0) - (down & top != 0)
+        up = (up << 1 | 1) & whole
+        down = down << 1 & whole
+        rise = down | ~(free | up) & whole
+        fall = up & free
+    return distance
 
 
 def common_length(a: str, b: str) -> int:
@@ -127,7 +154,7 @@ class Levenshtein(Comparator):
             raise TypeError("a dictionary has no edit distance; use a nested model")
         a, b = "" if a is None else str(a), "" if b is None else str(b)
         if self.normalize:
-            a, b = squeeze(a.lower()), squeeze(b.lower())
+            a, b = folded(a), folded(b)
         longer = max(len(a), len(b))
         return 1.0 - edit_distance(a, b) / longer if longer else 1.0
 
@@ -142,9 +169,9 @@ class Exact(Comparator):
         if a is None or b is None:
             return float(a is None and b is None)
         a, b = str(a), str(b)
-        if not self.case_sensitive:
-            a, b = a.lower(), b.lower()
-        return float(a.translate(IGNORED) == b.translate(IGNORED))
+        if a == b:
+            return 1.0
+        return float(bare(a, self.case_sensitive) == bare(b, self.case_sensitive))
 
 
 def as_decimal(value: Any) -> Decimal | None:

@@ -149,9 +149,12 @@ KEY_SCORE = T.StructType([T.StructField("path", T.ArrayType(T.StringType())), T.
 RESULT = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("closest", T.StringType()), T.StructField("keys", T.ArrayType(KEY_SCORE)), T.StructField("error", T.StringType())])
 
 
-@F.pandas_udf(RESULT)
-def anls_json(gt: pd.Series, pred: pd.Series) -> pd.DataFrame:
-    """Score, closest ground truth and key scores of two JSON texts."""
+def anls_json(gt: Column, pred: Column) -> Column:
+    """Score, closest ground truth and key scores of two JSON texts, as a struct."""
+    return F.pandas_udf(_anls_json, RESULT)(gt, pred)
+
+
+def _anls_json(gt: pd.Series, pred: pd.Series) -> pd.DataFrame:
     out = []
     for a, b in zip(gt, pred):
         try:

@@ -17,19 +17,6 @@ from ..plans.spec import COMPARABLE, FieldSpec, ModelSpec
 COUNTS = ("tp", "fa", "fd", "fp", "tn", "fn")
 
 
-def comparator_column(f: FieldSpec, a: Column, b: Column) -> Column:
-    """The field's comparator as an expression, on texts as Python prints the values."""
-    kind = {"float": "double", "bool": "boolean"}.get(f.kind, "string")
-    c = f.comparator
-    if isinstance(c, S.Levenshtein):
-        return C.levenshtein(C.py_str(a, kind), C.py_str(b, kind), c.normalize)
-    if isinstance(c, S.Exact):
-        return C.exact(C.py_str(a, kind), C.py_str(b, kind), c.case_sensitive)
-    if isinstance(c, S.Numeric):
-        return C.numeric(C.py_str(a, kind), C.py_str(b, kind), c.relative_tolerance, c.absolute_tolerance)
-    raise ValueError(f"{f.name}: {c.name} has no native form; use compare_documents")
-
-
 def counts(**own: Column) -> Column:
     one = {c: own.get(c, F.lit(0)).cast("long") for c in COUNTS}
     one["fp"] = one["fa"] + one["fd"]
@@ -37,70 +24,102 @@ def counts(**own: Column) -> Column:
 
 
 class Compiled:
-    """Expressions of a record: raw score, and for each field its counts, scores and what is below it."""
+    """A specification as successive projections.
 
-    def __init__(self, model: ModelSpec, gt: Column, pred: Column):
-        self.model = model
-        self.fields = {f.name: self._field(f, gt.getField(f.name), pred.getField(f.name)) for f in model.fields}
-        total = sum(f.weight for f in model.fields)
-        self.raw = self._mean({n: x["bare"] for n, x in self.fields.items()}, total)
-        self.applied = self._mean({n: x["applied"] for n, x in self.fields.items()}, total)
-
-    def _mean(self, scores: dict[str, Column], total: float) -> Column:
-        return sum((scores[f.name] * F.lit(float(f.weight)) for f in self.model.fields), F.lit(0.0)) / F.lit(float(total)) if total else F.lit(0.0)
+    Each step names what the next ones use more than once: prepared values,
+    then scores of leaves, then outcomes and scores of records from the
+    innermost out. So no expression is written out twice in generated code.
+    """
 
-    def _field(self, f: FieldSpec, a: Column, b: Column) -> dict:
-        """``bare``: similarity without thresholds, as records are paired by; the rest is the field's outcome."""
+    def __init__(self, model: ModelSpec, gt: str, pred: str):
+        self.steps: list[dict[str, Column]] = [{}, {}]
+        self.rows: list[Column] = []
+        self.missing: list[tuple[str, str]] = []
+        self._record(model, F.col(gt), F.col(pred), "", 1)
+
+    def _put(self, step: int, name: str, value: Column) -> Column:
+        while len(self.steps) <= step:
+            self.steps.append({})
+        self.steps[step][name] = value
+        return F.col(f"`{name}`")
+
+    def _record(self, model: ModelSpec, gt: Column, pred: Column, prefix: str, depth: int) -> tuple[int, Column, Column]:
+        """(step, unclipped score, score) of a record, both usable from that step on."""
+        bare, applied, last = [], [], 1
+        for f in model.fields:
+            step, b, a = self._field(f, gt.getField(f.name), pred.getField(f.name), prefix + f.name, depth)
+            bare.append(b * F.lit(float(f.weight)))
+            applied.append(a * F.lit(float(f.weight)))
+            last = max(last, step)
+        total = F.lit(float(sum(f.weight for f in model.fields)) or 1.0)
+        raw = self._put(last + 1, f"{prefix}~raw", sum(bare[1:], bare[0]) / total)
+        own = self._put(last + 1, f"{prefix}~applied", sum(applied[1:], applied[0]) / total)
+        return last + 1, raw, own
+
+    def _scalar(self, f: FieldSpec, a: Column, b: Column, path: str) -> Column:
+        """Raw score of a leaf, from prepared values."""
+        c, kind = f.comparator, {"float": "double", "bool": "boolean"}.get(f.kind, "string")
+        if f.kind not in COMPARABLE:
+            # Values of other types are equal to nothing.
+            return self._put(1, f"{path}~s", F.lit(0.0))
+        if isinstance(c, S.Numeric):
+            x, y = (self._put(0, f"{path}~{k}", C.decimal_of(v, f.kind)) for k, v in (("a", a), ("b", b)))
+            return self._put(1, f"{path}~s", C.close(x, y, c.relative_tolerance, c.absolute_tolerance))
+        if isinstance(c, S.Levenshtein):
+            ready = (lambda v: F.lower(C.squeeze(C.py_str(v, kind)))) if c.normalize else (lambda v: C.py_str(v, kind))
+            x, y = (self._put(0, f"{path}~{k}", F.coalesce(ready(v), F.lit(""))) for k, v in (("a", a), ("b", b)))
+            return self._put(1, f"{path}~s", C.levenshtein(x, y, normalize=False))
+        if isinstance(c, S.Exact):
+            ready = lambda v: C.strip_punctuation_space(C.py_str(v, kind) if c.case_sensitive else F.lower(C.py_str(v, kind)))
+            x, y = (self._put(0, f"{path}~{k}", ready(v)) for k, v in (("a", a), ("b", b)))
+            return self._put(1, f"{path}~s", F.coalesce((x == y).cast("double"), F.lit(0.0)))
+        raise ValueError(f"{path}: {c.name} has no native form; use compare_documents")
+
+    def _field(self, f: FieldSpec, a: Column, b: Column, path: str, depth: int) -> tuple[int, Column, Column]:
+        """Adds the field's row; (step, score without thresholds, score) as its record uses them."""
         if f.kind.startswith("list:"):
-            return self._list(f, a, b)
-        below = None
-        if f.kind == "struct":
-            below = Compiled(f.model, a, b)
-            no_a, no_b = a.isNull(), b.isNull()
-            raw, bare = below.raw, F.when(no_a & no_b, 1.0).when(no_a | no_b, 0.0).otherwise(below.applied)
-        elif f.kind in COMPARABLE:
-            no_a, no_b = C.is_empty_value(a), C.is_empty_value(b)
-            raw = comparator_column(f, a, b)
-            bare = C._nulls(a, b, raw)
+            return self._list(f, a, b, path, depth)
+        below = f.kind == "struct"
+        if below:
+            step, raw, inner = self._record(f.model, a, b, f"{path}.", depth + 1)
+            no_a, no_b, bare = a.isNull(), b.isNull(), inner
         else:
-            # Values of other types are equal to nothing, but missing ones are still missing.
-            no_a, no_b = C.is_empty_value(a), C.is_empty_value(b)
-            raw, bare = F.lit(0.0), F.when(a.isNull() & b.isNull(), 1.0).otherwise(0.0)
-        both, one = no_a & no_b, no_a | no_b
-        good = raw >= F.lit(float(f.threshold))
-        kind = F.when(both, "tn").when(no_a, "fa").when(no_b, "fn").when(good, "tp").otherwise("fd")
-        score = F.when(both, 1.0).when(one, 0.0).otherwise(raw)
-        applied = F.when(both, 1.0).when(one, 0.0).otherwise(C.clipped(raw, f.threshold, f.clip))
-        return {"spec": f, "kind": kind, "counts": None, "raw": score, "applied": applied, "bare": bare, "below": below}
-
-    def _list(self, f: FieldSpec, a: Column, b: Column) -> dict:
+            step, raw = 1, self._scalar(f, a, b, path)
+            no_a, no_b, bare = C.is_empty_value(a), C.is_empty_value(b), raw
+        kind = self._put(step + 1, f"{path}~kind", F.when(no_a & no_b, "tn").when(no_a, "fa").when(no_b, "fn").when(raw >= F.lit(float(f.threshold)), "tp").otherwise("fd"))
+        bare = self._put(step + 1, f"{path}~bare", C._nulls(a, b, bare))
+        score = F.when(kind == "tn", 1.0).when(kind.isin("fa", "fn"), 0.0).otherwise(raw)
+        applied = self._put(step + 2, f"{path}~applied", F.when(kind == "fd", F.lit(0.0) if f.clip else raw).otherwise(score))
+        self.rows.append(self._row(f, path, depth, not below, kind, None, score, applied))
+        if below:
+            self.missing.append((path, f"{path}~kind"))
+        return step + 2, bare, applied
+
+    def _list(self, f: FieldSpec, a: Column, b: Column, path: str, depth: int) -> tuple[int, Column, Column]:
         if not isinstance(f.comparator, S.Exact) or not 0 < f.threshold <= 1:
-            raise ValueError(f"{f.name}: only lists compared for equality have a native form; use lists.match_lists")
-        x, y = (F.transform(F.coalesce(v, F.array().cast("array<string>")), lambda e: _exact_key(e)) for v in (a, b))
+            raise ValueError(f"{path}: only lists compared for equality have a native form; use lists.match_lists")
+        x, y = (self._put(0, f"{path}~{k}", F.transform(F.coalesce(v, F.array().cast("array<string>")), lambda e: _exact_key(e))) for k, v in (("a", a), ("b", b)))
+        common = self._put(1, f"{path}~common", F.aggregate(F.array_distinct(x), F.lit(0), lambda s, k: s + F.least(_count(x, k), _count(y, k))))
         n, m = F.size(x), F.size(y)
-        common = F.aggregate(F.array_distinct(x), F.lit(0), lambda s, k: s + F.least(_count(x, k), _count(y, k)))
-        single = (n == 1) & (m == 1) & (common == 0)
-        pairs = F.when(single, 0).otherwise(F.least(n, m))
-        no_a, no_b = n == 0, m == 0
-        score = F.when(no_a & no_b, 1.0).when(no_a | no_b, 0.0).otherwise(common.cast("double") / F.greatest(n, m))
-        own = counts(tp=common, fd=pairs - common, fa=m - pairs, fn=n - pairs, tn=(no_a & no_b).cast("int"))
-        bare = F.when(a.isNull() & b.isNull(), 1.0).when(a.isNull() | b.isNull() | no_a | no_b, 0.0).otherwise(score)
-        return {"spec": f, "kind": None, "counts": own, "raw": score, "applied": score, "bare": bare, "below": None}
-
-    def outcomes(self, prefix: str = "", depth: int = 1) -> list[Column]:
-        out = []
-        for name, x in self.fields.items():
-            own = x["counts"]
-            k = F.lit(None).cast("string") if x["kind"] is None else x["kind"]
-            if own is None:
-                own = F.struct(*[F.lit(None).cast("long").alias(c) for c in COUNTS])
-            shown = x["below"] is not None
-            out.append(F.struct(
-                F.lit(prefix + name).alias("path"), F.lit(depth).alias("depth"), F.lit(not shown).alias("is_leaf"), k.alias("kind"), own.alias("own"),
-                x["raw"].alias("raw"), x["applied"].alias("applied"), F.lit(float(x["spec"].weight)).alias("weight"), F.lit(float(x["spec"].threshold)).alias("threshold"), F.lit(None if not shown else True).cast("boolean").alias("struct")))
-            if shown:
-                out += x["below"].outcomes(f"{prefix}{name}.", depth + 1)
-        return out
+        pairs = self._put(2, f"{path}~pairs", F.when((n == 1) & (m == 1) & (common == 0), 0).otherwise(F.least(n, m)))
+        score = self._put(2, f"{path}~s", F.when((n == 0) & (m == 0), 1.0).when((n == 0) | (m == 0), 0.0).otherwise(common.cast("double") / F.greatest(n, m)))
+        bare = self._put(3, f"{path}~bare", F.when(a.isNull() & b.isNull(), 1.0).when((n == 0) | (m == 0), 0.0).otherwise(score))
+        own = counts(tp=common, fd=pairs - common, fa=m - pairs, fn=n - pairs, tn=((n == 0) & (m == 0)).cast("int"))
+        self.rows.append(self._row(f, path, depth, True, F.lit(None).cast("string"), own, score, score))
+        return 3, bare, score
+
+    def _row(self, f: FieldSpec, path: str, depth: int, leaf: bool, kind: Column, own: Column | None, raw: Column, applied: Column) -> Column:
+        if own is None:
+            own = F.struct(*[F.lit(None).cast("long").alias(c) for c in COUNTS])
+        return F.struct(F.lit(path).alias("path"), F.lit(depth).alias("depth"), F.lit(leaf).alias("is_leaf"), kind.alias("kind"), own.alias("own"), raw.alias("raw"), applied.alias("applied"), F.lit(float(f.weight)).alias("weight"), F.lit(float(f.threshold)).alias("threshold"))
+
+    def outcomes(self) -> Column:
+        """All rows, without those below a record that is missing on a side."""
+        rows = F.array(*self.rows)
+        if not self.missing:
+            return rows
+        absent = F.array(*[F.when(F.col(f"`{kind}`").isin("tn", "fa", "fn"), path + ".") for path, kind in self.missing])
+        return F.filter(rows, lambda r: ~F.exists(absent, lambda p: F.coalesce(r["path"].startswith(p), F.lit(False))))
 
 
 def _exact_key(e: Column) -> Column:
@@ -117,26 +136,14 @@ def compare_flat(pairs: DataFrame, model: ModelSpec, gt: str = "gt", pred: str =
     ``gt`` and ``pred`` are structs with the model's fields. A nested struct
     that is missing on one side has no rows for what is below it.
     """
-    built = Compiled(model, F.col(gt), F.col(pred))
-    rows = pairs.select(*keys, F.explode(F.array(*built.outcomes())).alias("r")).select(*keys, "r.*")
-    by_kind = {c: F.when(F.col("kind").isNull(), F.col(f"own.{c}")).otherwise((F.col("kind") == c).cast("long")) for c in COUNTS}
-    by_kind["fp"] = F.when(F.col("kind").isNull(), F.col("own.fp")).otherwise(F.col("kind").isin("fa", "fd").cast("long"))
-    out = rows.select(*keys, "path", "depth", "is_leaf", *[by_kind[c].alias(c) for c in COUNTS], "raw", "applied", "weight", "threshold", F.col("kind").alias("outcome"))
-    return _without_missing(out, model, keys)
-
-
-def _without_missing(rows: DataFrame, model: ModelSpec, keys: tuple[str, ...]) -> DataFrame:
-    """Drops rows below a struct that is null on either side, which has no details."""
-    nested = [p for p in model.paths() if any(q.startswith(p + ".") for q in model.paths())]
-    if not nested:
-        return rows
-    from pyspark.sql import Window
-
-    own = Window.partitionBy(*keys)
-    bad = F.array_distinct(F.flatten(F.collect_list(F.when(~F.col("is_leaf") & F.col("outcome").isin("tn", "fa", "fn"), F.array("path"))).over(own)))
-    marked = rows.withColumn("bad", bad)
-    below = F.exists("bad", lambda p: F.col("path").startswith(F.concat(p, F.lit("."))))
-    return marked.where(~F.coalesce(below, F.lit(False))).drop("bad")
+    built = Compiled(model, gt, pred)
+    wide = pairs.select(*keys, gt, pred)
+    for step in built.steps:
+        wide = wide.withColumns(step) if step else wide
+    rows = wide.select(*keys, F.explode(built.outcomes()).alias("r")).select(*keys, "r.*")
+    by_kind = {c: F.coalesce(F.col(f"own.{c}"), (F.col("kind") == c).cast("long")) for c in COUNTS}
+    by_kind["fp"] = F.coalesce(F.col("own.fp"), F.col("kind").isin("fa", "fd").cast("long"))
+    return rows.select(*keys, "path", "depth", "is_leaf", *[by_kind[c].alias(c) for c in COUNTS], "raw", "applied", "weight", "threshold", F.col("kind").alias("outcome"))
 
 
 def document_scores(rows: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
