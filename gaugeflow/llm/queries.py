@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracles
 from .ann import nearest
 from .fingerprint import compare_with_edits
 from .html_text import extract_text
@@ -94,4 +95,10 @@ def queries():
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it can express the result; the others are tested against brute force."""
+    return {
+        "op1_url_filter": oracles.url_filter(URL_RULES),
+        "op4_license_scan": oracles.license_scan(),
+        "op5_minhash_near_dedup": oracles.near_duplicates(3, 85),
+        "op10_substring_dedup": oracles.substring_dedup(13),
+    }
