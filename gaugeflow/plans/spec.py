@@ -27,8 +27,10 @@ SCALARS: dict[str, T.DataType] = {
 #: Only these compare by value; anything else that is present on both sides counts as a mismatch.
 COMPARABLE = ("str", "int", "float", "bool")
 
-# Prefix of the extension keys in a JSON Schema.
-EXTENSION = "x-aws-stickler-"
+# Settings that extension keys of a JSON Schema carry, as ``x-<any vendor>-<setting>``.
+SETTINGS = ("comparator-config", "comparator", "match-threshold", "model-name", "threshold", "weight", "clip-under-threshold", "aggregate")
+EXTENSION = "x-gaugeflow-"
+_SETTING = re.compile(rf"^x-(?:[a-z0-9]+-)+?({'|'.join(SETTINGS)})$")
 SCHEMA_TYPES = {"string": "str", "number": "float", "integer": "int", "boolean": "bool"}
 
 
@@ -294,11 +296,16 @@ def model_from_json_schema(schema: dict[str, Any]) -> ModelSpec:
     return _from_object(schema, schema.get("title", "DynamicModel"), {**schema.get("definitions", {}), **schema.get("$defs", {})})
 
 
+def extensions(own: dict[str, Any]) -> dict[str, Any]:
+    """The settings among a schema's extension keys, whatever their vendor part."""
+    return {m[1]: v for k, v in own.items() if (m := _SETTING.match(k))}
+
+
 def _from_object(schema: dict[str, Any], name: str, shared: dict[str, Any]) -> ModelSpec:
     required = set(schema.get("required", []))
     fields = [_from_property(k, own, k in required, shared) for k, own in schema.get("properties", {}).items()]
-    name = schema.get(EXTENSION + "model-name", name)
-    return ModelSpec(re.sub(r"\W+", "", name) or "DynamicModel", fields, schema.get(EXTENSION + "match-threshold", 0.7))
+    ext = extensions(schema)
+    return ModelSpec(re.sub(r"\W+", "", ext.get("model-name", name)) or "DynamicModel", fields, ext.get("match-threshold", 0.7))
 
 
 def _resolved(own: dict[str, Any], shared: dict[str, Any]) -> dict[str, Any]:
@@ -315,7 +322,7 @@ def _resolved(own: dict[str, Any], shared: dict[str, Any]) -> dict[str, Any]:
 
 def _from_property(name: str, own: dict[str, Any], required: bool, shared: dict[str, Any]) -> FieldSpec:
     own = _resolved(own, shared)
-    ext = {k[len(EXTENSION) :]: v for k, v in own.items() if k.startswith(EXTENSION)}
+    ext = extensions(own)
     weight = ext.get("weight", 1.0)
     if isinstance(weight, bool) or not isinstance(weight, (int, float)) or weight <= 0:
         raise ValueError(f"{name}: weight must be a positive number")
