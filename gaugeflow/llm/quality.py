@@ -91,6 +91,8 @@ def fit(rows: np.ndarray, labels: np.ndarray, rank: int = 48, neighbours: int =
     if not len(rows):
         zero = np.zeros(WIDTH, dtype=np.float32)
         return Voters(zero, zero, np.zeros((WIDTH, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), 0.5, neighbours)
+    # No more neighbours than the rarer label has, or it could never win a vote.
+    neighbours = max(1, min(neighbours, int(min((labels == 0).sum(), (labels == 1).sum()))))
     mean = rows.mean(axis=0)
     spread = rows.std(axis=0)
     weight = np.where(spread > 0, 1 / np.sqrt(spread + 1e-4), 0).astype(np.float32)

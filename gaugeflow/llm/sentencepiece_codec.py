@@ -27,6 +27,8 @@ from .common import binary_column, chunks, ids
 from .html_text import suffix_array
 
 NORMAL, BYTE = 1, 6
+#: Segments that a worker remembers.
+KNOWN = 250_000
 _models: dict[str, "Model"] = {}
 
 
@@ -45,19 +47,26 @@ class Model:
         self.score: dict[str, float] = {}
         self.id: dict[str, int] = {}
         self.bytes: dict[int, int] = {}
-        self.text: list[bytes | str | None] = []
+        self.text: list[bytes] = []
         for k, p in enumerate(spec.pieces):
             if p.type == NORMAL:
                 piece = p.piece.replace("▁", " ")
                 self.score[piece], self.id[piece] = p.score, k
-                self.text.append(piece)
+                self.text.append(piece.encode())
             elif p.type == BYTE:
                 self.bytes[int(p.piece[3:5], 16)] = k
                 self.text.append(bytes([int(p.piece[3:5], 16)]))
             else:
-                self.text.append(None)
+                self.text.append(b"")
         if any(" " in p.lstrip(" ") for p in self.score):
             raise ValueError("a piece goes across a space, so texts can't be cut there")
+        #: Pairs of ASCII characters inside some piece; between others no merge ever happens.
+        self.joined = np.ones((256, 256), dtype=bool)
+        self.joined[:128, :128] = False
+        for piece in self.score:
+            for a, b in zip(piece, piece[1:]):
+                if a < "\x80" and b < "\x80":
+                    self.joined[ord(a), ord(b)] = True
         #: Pieces that merging makes of their own characters; others never come out.
         self.pieces = [p for p in self.score if self.merge(p) == [p]]
         width = max(map(len, self.pieces))
@@ -70,7 +79,8 @@ class Model:
         self.number = {p: k for k, p in enumerate(self.pieces)}
         self.pairs = np.empty(0, dtype=np.int64)
         self.valid = np.empty(0, dtype=bool)
-        self.encoded: dict[str, np.ndarray] = {}
+        self.spelled: list[np.ndarray] = []
+        self.clear()
 
     @classmethod
     def of(cls, path: str) -> "Model":
@@ -122,9 +132,36 @@ class Model:
             self.symbols.append(c)
         return self.number[c]
 
-    def symbol_ids(self, symbol: int) -> list[int]:
-        s = self.symbols[symbol]
-        return [self.id[s]] if s in self.id else [self.bytes[b] for b in s.encode()]
+    def expand(self, symbols: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of symbols, byte pieces for characters that are none, and the ids of each run of ``counts`` symbols."""
+        for s in self.symbols[len(self.spelled) :]:
+            self.spelled.append(np.array([self.id[s]] if s in self.id else [self.bytes[b] for b in s.encode()], dtype=np.uint32))
+        size = np.fromiter(map(len, self.spelled), dtype=np.int64, count=len(self.spelled))
+        start = np.cumsum(size) - size
+        flat = np.concatenate(self.spelled)
+        n = size[symbols]
+        past = np.cumsum(n)
+        out = flat[np.repeat(start[symbols] - (past - n), n) + np.arange(past[-1] if len(past) else 0)]
+        edges = np.concatenate([[0], past])[np.concatenate([[0], np.cumsum(counts)])]
+        return out, np.diff(edges)
+
+    def clear(self) -> None:
+        """Forget what segments were encoded to."""
+        self.encoded: dict[str, int] = {}
+        self.flat = np.empty(1 << 16, dtype=np.uint32)
+        self.ends = np.zeros(1 << 16, dtype=np.int64)
+
+    def learn(self, segments: list[str]) -> None:
+        ids_, sizes = encode_segments(self, segments)
+        n = len(self.encoded)
+        while n + len(segments) + 1 > len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        used = self.ends[n]
+        while used + len(ids_) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        self.flat[used : used + len(ids_)] = ids_
+        self.ends[n + 1 : n + 1 + len(segments)] = used + np.cumsum(sizes)
+        self.encoded.update(zip(segments, range(n, n + len(segments))))
 
 
 def occurrences(text: np.ndarray, pieces: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -162,8 +199,8 @@ def occurrences(text: np.ndarray, pieces: np.ndarray, lengths: np.ndarray) -> tu
     return piece, order[np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())]
 
 
-def encode_segments(model: Model, segments: list[str]) -> list[np.ndarray]:
-    """Ids of each segment; segments start with spaces or stand between characters that no piece crosses."""
+def encode_segments(model: Model, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, number of ids of each segment); segments stand between characters that no piece crosses."""
     codes = np.array([ord(c) for c in "".join(segments)], dtype=np.int64)
     sizes = np.array([len(s) for s in segments])
     # A mark between segments, which no piece holds, keeps edges inside them.
@@ -193,19 +230,25 @@ def encode_segments(model: Model, segments: list[str]) -> list[np.ndarray]:
         ok = model.follows(last[s], t)
         s, e, t = s[ok][::-1], e[ok][::-1], t[ok][::-1]
         last[e], came[e] = t, s
-    found: list[list[int]] = [[] for _ in segments]
     at = begin + sizes
     live = np.flatnonzero(sizes > 0)
+    owner, tokens = [], []
     while len(live):
-        for k, t in zip(live.tolist(), last[at[live]].tolist()):
-            found[k].append(t)
+        # One token of every segment, from its end back.
+        owner.append(live)
+        tokens.append(last[at[live]])
         at[live] = came[at[live]]
         live = live[at[live] > begin[live]]
-    return [np.array([i for t in reversed(x) for i in model.symbol_ids(t)], dtype=np.uint32) for x in found]
+    owner, tokens = np.concatenate(owner)[::-1], np.concatenate(tokens)[::-1]
+    order = np.argsort(owner, kind="stable")
+    return model.expand(tokens[order], np.bincount(owner, minlength=len(segments)))
 
 
-def _segments(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
-    """Segments of all texts, each text with its dummy space, and the index of each text's first."""
+def _segments(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """Segments of all texts, each text with its dummy space, and the index of each text's first.
+
+    A text is cut between two characters that stand together in no piece.
+    """
     marked = data.tobytes().replace("▁".encode(), b"\x20\x20\x20") if b"\xe2\x96\x81" in data.tobytes() else None
     if marked is not None:
         texts = [data[a:b].tobytes().replace("▁".encode(), b" ") for a, b in zip(offsets[:-1], offsets[1:])]
@@ -215,8 +258,7 @@ def _segments(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarr
     wide = np.insert(data, offsets[:-1][full], 32)
     at = offsets + np.concatenate([[0], np.cumsum(full)])
     starts = np.zeros(len(wide), dtype=bool)
-    space, line = wide == 32, wide == 10
-    starts[1:] = (space[1:] & ~space[:-1]) | (line[1:] != line[:-1])
+    starts[1:] = ~model.joined[wide[:-1], wide[1:]]
     starts[at[:-1][full]] = True
     begin = np.flatnonzero(starts)
     column = pa.Array.from_buffers(pa.string(), len(begin), [None, pa.py_buffer(np.append(begin, len(wide)).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(wide))])
@@ -225,31 +267,29 @@ def _segments(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarr
 
 def encode_texts(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(ids, offsets of each text in them) of a run of texts."""
-    column, first = _segments(data, offsets)
+    column, first = _segments(model, data, offsets)
     if not len(column):
         return np.empty(0, np.uint32), np.zeros(len(offsets), np.int64)
     coded = column.dictionary_encode()
     distinct = coded.dictionary.to_pylist()
-    if len(model.encoded) > 200_000:
-        model.encoded.clear()
+    if len(model.encoded) > KNOWN:
+        model.clear()
     new = [s for s in distinct if s not in model.encoded]
     if new:
-        model.encoded.update(zip(new, encode_segments(model, new)))
-    own = [model.encoded[s] for s in distinct]
-    sizes = np.array([len(x) for x in own])
-    starts = np.cumsum(sizes) - sizes
-    flat = np.concatenate(own)
-    which = coded.indices.to_numpy(zero_copy_only=False)
-    count = sizes[which]
+        model.learn(new)
+    known = model.encoded
+    which = np.array([known[s] for s in distinct])[coded.indices.to_numpy(zero_copy_only=False)]
+    start = model.ends[which]
+    count = model.ends[which + 1] - start
     past = np.cumsum(count)
-    out = flat[np.repeat(starts[which] - (past - count), count) + np.arange(past[-1])]
+    out = model.flat[np.repeat(start - (past - count), count) + np.arange(past[-1])]
     return out, np.concatenate([[0], past])[first]
 
 
 def decode_ids(model: Model, found: np.ndarray) -> bytes:
     """UTF-8 bytes that ids stand for; control pieces stand for nothing, and the dummy space goes."""
-    parts = [model.text[i] if 0 <= i < len(model.text) else None for i in found.tolist()]
-    text = b"".join(p.encode() if isinstance(p, str) else p for p in parts if p is not None)
+    table = model.text
+    text = b"".join([table[i] for i in found.tolist()])
     return text[1:] if text[:1] == b" " else text
 
 
