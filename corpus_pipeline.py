@@ -18,7 +18,7 @@ from gaugeflow.llm.substring_dedup import remove_repeats
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Documents that score below go. Junk scores near 0, clean prose near 1.
-REJECT_BELOW = 0.4
+REJECT_BELOW = 0.5
 #: A passage is repeated if this many consecutive words stand in an earlier document.
 PASSAGE_WORDS = 50
 
