@@ -17,3 +17,13 @@ def evaluator_rows(long: DataFrame, recall_with_fd: bool = False) -> DataFrame:
     whole = derived(long.where("path = ''"), recall_with_fd).select("doc_id", "path", "precision", "recall", "f1", "accuracy", F.col("applied").alias("anls_score"))
     fields = long.where("depth = 1").select("doc_id", "path", *score_metrics(F.col("applied")), F.col("applied").alias("anls_score"))
     return whole.unionByName(fields)
+
+
+def list_item_rows(matched: DataFrame, list_field: str, threshold: float = 0.5) -> DataFrame:
+    """One row for each matched pair of a list field's elements: indices, and its score taken as a soft count.
+
+    ``matched`` comes from ``lists.match_structs`` or ``lists.match_lists``.
+    """
+    each = matched.select("doc_id", F.explode_outer("pairs").alias("p")).where("p is not null")
+    path = F.format_string(f"{list_field}[%d]", F.col("p.i"))
+    return each.select("doc_id", path.alias("path"), "p.i", "p.j", *score_metrics(F.col("p.score"), threshold), F.col("p.score").alias("anls_score"))

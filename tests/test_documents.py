@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugeflow.functions.scalars import Exact, Levenshtein, Numeric
-from gaugeflow.operators import compare, flat, flatten, metrics
+from gaugeflow.operators import compare, flat, flatten, lists, metrics
 from gaugeflow.operators.document import Evaluator, comparisons, long_rows, non_matches
 from gaugeflow.plans.spec import FieldSpec, ModelSpec
 from gaugeflow.sources import records
@@ -136,6 +136,14 @@ def test_native_equals_document_evaluator(spark):
     assert scores == {doc: round(Evaluator(m).document(a, b).score, 9) for doc, a, b in pairs}
 
 
+def test_list_columns(spark):
+    df = spark.createDataFrame([("1", ["a b", "c"], ["C", "A  B", "z"]), ("2", ["q"], ["zzz"]), ("3", None, []), ("4", ["x"], None)], "doc_id string, a array<string>, b array<string>")
+    got = {r.doc_id: (r.tp, r.fd, r.fa, r.fn, r.tn) for r in lists.match_lists(df, "a", "b", threshold=0.9).collect()}
+    assert got == {"1": (2, 0, 1, 0, 0), "2": (0, 0, 1, 1, 0), "3": (0, 0, 0, 0, 1), "4": (0, 0, 0, 1, 0)}
+    items = flatten.list_item_rows(lists.match_lists(df, "a", "b"), "a").collect()
+    assert {(r.path, r.j, r.f1) for r in items} == {("a[0]", 1, 1.0), ("a[1]", 0, 1.0)}
+
+
 def test_auroc(spark):
     frame = lambda rows: spark.createDataFrame(rows, "confidence double, match boolean")
     value = lambda rows: metrics.auroc(frame(rows)).first()[0]
