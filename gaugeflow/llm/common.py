@@ -41,7 +41,18 @@ def cut(df: DataFrame, name: str = "t") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables that ``cut`` wrote and that no later result reads."""
+    for table in tables:
+        if table is not None:
+            spark = table.sparkSession
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table._cut_path)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def attach(df: DataFrame, side: DataFrame, on: list[str], limit: int = 50_000) -> DataFrame:
@@ -59,11 +70,18 @@ def attach(df: DataFrame, side: DataFrame, on: list[str], limit: int = 50_000) -
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of steps that have been cut off."""
+    """Let Spark drop the shuffle files of steps that have been cut off.
+
+    Spark forgets a shuffle when its plan is garbage, first here and then in
+    the JVM; the second round takes what the first has let go.
+    """
     import gc
+    import time
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 # ---------------------------------------------------------------- hashing

@@ -119,8 +119,9 @@ def compare_with_edits(docs: DataFrame, n: int = SHINGLE, k: int = K) -> DataFra
     joined = lone
     if starts:
         known = held.where("doc_id is not null")
-        # One document for each range, found by its id.
-        first = known.where(F.col("doc_id").isin(starts)).groupBy("doc_id").agg(F.min("text").alias("text")).withColumn("w", words_of(F.col("text")))
+        # One document for each range, found by its id; there are as many ids as ranges.
+        heads = docs.sparkSession.createDataFrame([(s,) for s in starts], "doc_id long")
+        first = known.join(F.broadcast(heads), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")).withColumn("w", words_of(F.col("text")))
         head = first.select(F.pmod(range_of(F.col("doc_id"), starts) - 1, F.lit(len(starts))).alias("bucket"), F.struct(F.col("doc_id").alias("id"), "text", sketch_of_words(F.col("w"), n, k).alias("sketch")).alias("head"))
         dealt = known.withColumn("bucket", range_of(F.col("doc_id"), starts)).repartition("bucket").withColumn("w", words_of(F.col("text")))
         own = dealt.select("bucket", "doc_id", "text", sketch_of_words(F.col("w"), n, k).alias("sketch"))

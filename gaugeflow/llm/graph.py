@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, discard
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -40,7 +40,8 @@ def connected_components(edges: DataFrame, left: str, right: str, most: int = 60
     for _ in range(most):
         if e.isEmpty():
             break
-        e = cut(_small_star(_large_star(e)), "edges")
+        before, e = e, cut(_small_star(_large_star(e)), "edges")
+        discard(before)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             break

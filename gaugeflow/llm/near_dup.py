@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LOWER, Words, chunks, cut, ids, mix, ngrams, release, text_buffers
+from .common import _LOWER, Words, chunks, cut, discard, ids, mix, ngrams, release, text_buffers
 from .graph import connected_components
 
 RING = 1 << 20
@@ -164,7 +164,9 @@ def verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFra
     texts = wanted.hint("merge").join(docs.select("doc_id", "text"), "doc_id")
     left = texts.where("leads").select(F.col("leader").alias("l"), F.col("part").alias("p"), F.col("text").alias("text")).groupBy("l", "p")
     right = texts.where("not leads").select("leader", "part", "doc_id", "text").groupBy("leader", "part")
-    return left.cogroup(right).applyInPandas(_verify(n, percent), "leader long, member long")
+    links = cut(left.cogroup(right).applyInPandas(_verify(n, percent), "leader long, member long"), "links")
+    discard(dealt)
+    return links
 
 
 def _rest(n: int, percent: int):
@@ -261,7 +263,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, coordinates:
         .distinct()
     )
     pairs = cut(pairs, "pairs")
-    links = cut(verified(texts, pairs, n, percent), "links")
+    links = verified(texts, pairs, n, percent)
+    discard(pairs)
     release(docs.sparkSession)
     part = connected_components(links, "leader", "member")
     label = reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "sketch", "bands").join(part.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
@@ -271,6 +274,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, coordinates:
     inside = shared.select("bucket", "rep").join(label.select("rep", "component"), "rep")
     split = inside.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo < hi and size > 2")
     left_over = cut(shared.select("bucket", "rep").join(split.select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "bucket"), "open")
+    held = more = None
     if not left_over.isEmpty():
         held = cut(left_over.select("rep").distinct().join(label, "rep").hint("merge").join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep").dropDuplicates(["rep"]), "held")
         dealt = left_over.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
@@ -283,7 +287,12 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, coordinates:
 
     named = reps.select("set_key", "doc_id").join(part.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("set_key", F.coalesce("component", "doc_id").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    # The classes are few bytes a document; what led to them goes.
+    out = cut(out, "classes")
+    discard(signed, reps, shared, links, label, left_over, held, more)
+    release(docs.sparkSession)
+    return out
 
 
 def deduplicate(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:

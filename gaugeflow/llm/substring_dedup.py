@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, binary_column, chunks, cut, ids, ngrams, release
+from .common import Words, binary_column, chunks, cut, discard, ids, ngrams, release
 
 #: Bytes of text for each hash partition: its fingerprints take about as much.
 PARTITION_BYTES = 32 << 20
@@ -350,6 +350,7 @@ def remove_repeats(docs: DataFrame, width: int = 13, with_text: bool = False, hi
     if history is not None:
         stated = stated.join(plain.select(F.col("doc_id").alias("src")).distinct(), "src", "left_semi")
     wrong = cut(_refuted(plain, stated, width), "wrong")
+    settled = True
     if not wrong.isEmpty():
         # A run may be made of windows that stand apart in the source: those are asked for one by one.
         split = stated.join(wrong, ["src", "print", "len", "digest"]).groupBy("doc_id").agg(F.collect_set(F.struct("at", "len")).alias("split"))
@@ -357,8 +358,14 @@ def remove_repeats(docs: DataFrame, width: int = 13, with_text: bool = False, hi
         single = again.withColumn("bad", F.lit(None).cast(kind)).mapInArrow(work, schema).select("doc_id", F.explode("runs").alias("r")).select("doc_id", "r.*").where("len = 1")
         single = cut(single, "single")
         false = cut(_refuted(plain, single, width), "false")
-        if not false.isEmpty():
+        settled = false.isEmpty()
+        if settled:
+            discard(single, false)
+        if not settled:
             bad = single.join(false, ["src", "print", "len", "digest"]).groupBy("doc_id").agg(F.collect_set(F.struct("at", "len")).alias("bad"))
             fixed = held.join(bad, "doc_id").join(marks, "doc_id").withColumn("split", F.lit(None).cast(kind)).mapInArrow(work, schema)
             out = out.join(bad, "doc_id", "left_anti").unionByName(fixed)
+    if settled:
+        discard(found, wrong)
+    release(spark)
     return out.drop("runs")
