@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import Words, chunks, ids
 
-HASHED = 2048
+HASHED = 1024
 REPEATS = 16
 WIDTH = HASHED + REPEATS
 
@@ -30,7 +30,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     sizes = np.diff(offsets)
     if len(data) >= 3:
         wide = data.astype(np.uint32)
-        code = ((wide[:-2] | wide[1:-1] << np.uint32(8) | wide[2:] << np.uint32(16)) * np.uint32(0x9E3779B1)) >> np.uint32(21)
+        code = ((wide[:-2] | wide[1:-1] << np.uint32(8) | wide[2:] << np.uint32(16)) * np.uint32(0x9E3779B1)) >> np.uint32(22)
         owner = np.repeat(np.arange(texts), sizes)
         inside = owner[:-2] == owner[2:]
         counts = np.bincount(owner[:-2][inside] * HASHED + code[inside], minlength=texts * HASHED).reshape(texts, HASHED)
@@ -112,7 +112,7 @@ def _rows(batches):
             yield pa.RecordBatch.from_arrays([batch.column("label").slice(row, past - row), pa.array([x.tobytes() for x in found], pa.binary())], names=["label", "row"])
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 3000, neighbours: int = 15, rank: int = 48) -> Voters:
+def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 2500, neighbours: int = 15, rank: int = 48) -> Voters:
     """Voters from at most ``sample`` labelled documents.
 
     ``labels`` has doc_id and label (0 or 1); rows with a null in either are
