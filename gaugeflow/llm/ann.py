@@ -1,10 +1,11 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
-Vectors are scaled into the unit ball and lifted to the unit sphere, so that
-the largest inner product is the smallest angle. Fast pseudo-rotations (three
-rounds of random signs and a Hadamard transform) turn them, and a vector's
-hash in a table is the signed axis nearest to its rotation. A query probes
-the nearest few signed axes of every table; what it meets there is ranked by
+Vectors are split into bands of nearly one length, so that within a band the
+largest inner product is the smallest angle. Fast pseudo-rotations (three
+rounds of random signs and a Hadamard transform) turn their directions, and a
+vector's hash in a table is the signed axis nearest to its rotation. A query
+probes the nearest few signed axes of every table in every band, and meets all
+vectors of bands too small to be worth hashing; what it meets is ranked by
 exact inner products on the original vectors.
 """
 
@@ -22,6 +23,9 @@ from .common import cut
 
 TABLES = 20
 PROBES = 10
+#: Longest to shortest vector of a band, and the part of all vectors from which a band is hashed.
+RATIO = 1.1
+DENSE = 1 / 16
 #: Vectors of one bucket that meet its queries in one task.
 BLOCK = 4096
 #: Candidates that a block keeps for a query beyond those asked for, against rounding.
@@ -43,33 +47,30 @@ class Rotations:
     """The pseudo-rotations of all tables; the same for the same size and seed."""
 
     def __init__(self, dim: int, tables: int, seed: int = 97):
-        self.size = 1 << dim.bit_length()  # at least one more than dim, for the lift
+        self.size = 1 << dim.bit_length()
         self.signs = np.random.default_rng(seed).choice(np.array([-1.0, 1.0]), size=(tables, 3, self.size))
 
-    def lifted(self, rows: np.ndarray, longest: float | None) -> np.ndarray:
-        """Candidates with ``longest``, the largest norm; queries without it."""
+    def directions(self, rows: np.ndarray) -> np.ndarray:
+        """The rows at length one, filled with zeros; scaled first, so that no square is out of range."""
         out = np.zeros((len(rows), self.size))
-        if longest is None:
-            out[:, : rows.shape[1]] = rows / np.linalg.norm(rows, axis=1, keepdims=True)
-        else:
-            out[:, : rows.shape[1]] = rows / longest
-            out[:, rows.shape[1]] = np.sqrt(np.maximum(0.0, 1 - (out**2).sum(axis=1)))
+        rows = rows / np.abs(rows).max(axis=1, keepdims=True)
+        out[:, : rows.shape[1]] = rows / np.linalg.norm(rows, axis=1, keepdims=True)
         return out
 
-    def turned(self, lifted: np.ndarray, table: int) -> np.ndarray:
+    def turned(self, rows: np.ndarray, table: int) -> np.ndarray:
         for signs in self.signs[table]:
-            lifted = hadamard(lifted * signs)
-        return lifted
+            rows = hadamard(rows * signs)
+        return rows
 
-    def axes(self, lifted: np.ndarray, table: int, probes: int) -> np.ndarray:
+    def axes(self, rows: np.ndarray, table: int, probes: int) -> np.ndarray:
         """The ``probes`` nearest signed axes of each row, nearest first."""
-        turned = self.turned(lifted, table)
+        turned = self.turned(rows, table)
         near = np.argsort(-np.abs(turned), axis=1, kind="stable")[:, :probes]
         return near * 2 + (np.take_along_axis(turned, near, axis=1) < 0)
 
 
-def _hasher(dim: int, tables: int, probes: int, longest: float | None):
-    """(bucket, rep, v): the buckets of each vector; queries have several in each table."""
+def _hasher(dim: int, tables: int, probes: int):
+    """(bucket, rep, v): the buckets of each vector, from ``shift`` on; queries have several in each table."""
 
     def work(frames):
         turn = Rotations(dim, tables)
@@ -78,10 +79,10 @@ def _hasher(dim: int, tables: int, probes: int, longest: float | None):
                 part = frame.iloc[a : a + 2048]
                 if not len(part):
                     continue
-                lifted = turn.lifted(np.stack(part["v"].to_numpy()), longest)
-                found = np.concatenate([turn.axes(lifted, t, probes) + t * 2 * turn.size for t in range(tables)], axis=1)
+                rows = turn.directions(np.stack(part["v"].to_numpy()))
+                found = np.concatenate([turn.axes(rows, t, probes) + t * 2 * turn.size for t in range(tables)], axis=1)
                 at = np.repeat(np.arange(len(part)), found.shape[1])
-                yield pd.DataFrame({"bucket": found.reshape(-1), "rep": part["rep"].to_numpy()[at], "v": part["v"].to_numpy()[at]})
+                yield pd.DataFrame({"bucket": found.reshape(-1) + part["shift"].to_numpy()[at], "rep": part["rep"].to_numpy()[at], "v": part["v"].to_numpy()[at]})
 
     return work
 
@@ -149,10 +150,15 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_column: str = "vec_id"
     repeats with one vector counts once; with several, its nearest counts.
     An empty table gives an empty table.
 
+    Vectors are hashed in bands of lengths within ``RATIO`` of one another,
+    and each band is probed, so long vectors do not hide shorter ones. Bands
+    with less than ``DENSE`` of the vectors, such as a few outliers, are
+    compared with all queries; so there are few bands to probe.
+
     Equal vectors are indexed once. A bucket of more than ``BLOCK`` vectors
     is dealt over several blocks and its queries meet each, so no candidate
     is capped and no task holds a whole hot bucket. At the defaults a query
-    is compared with about half of the vectors.
+    is compared with about half of the vectors of hashed bands.
     """
     spark = vectors.sparkSession
     sound = cut(_usable(vectors, id_column, column), "vectors")
@@ -163,28 +169,36 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_column: str = "vec_id"
     dim = sizes["d"]
     held = sound.where(F.size("v") == dim)
     index = cut(_smallest_ids(held, k + 1), "index")
-    longest = index.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()[0] * (1 + 1e-12)
+    banded = _banded(index)
+    sizes = {r["band"]: r["count"] for r in banded.groupBy("band").count().collect()}
+    dense = sorted(b for b, n in sizes.items() if n >= DENSE * sum(sizes.values()))
+    loose = sum(n for b, n in sizes.items() if b not in dense)
     asked = held.select(F.col("id").alias("vec_id"), "v").where(is_query).select("vec_id", F.col("v").alias("qv"))
     asked = cut(asked.join(index.select(F.col("rep").alias("q"), F.col("v").alias("qv")), "qv").select("vec_id", "q"), "asked")
     wanted = cut(index.join(asked.select(F.col("q").alias("rep")).distinct(), "rep", "left_semi").select("rep", "v"), "wanted")
 
-    hashed = "bucket long, rep long, v array<double>"
-    placed = cut(index.select("rep", "v").mapInPandas(_hasher(dim, tables, 1, longest), hashed), "placed")
-    counts = placed.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    probe = wanted.mapInPandas(_hasher(dim, tables, probes, None), hashed).select("bucket", F.col("rep").alias("q"), F.col("v").alias("qv"))
-    # At most tables * 2 * size rows, whatever the number of vectors.
-    probe = probe.join(F.broadcast(counts), "bucket").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = placed.join(F.broadcast(counts), "bucket").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    met = _met(probe, dealt, k)
+    met = []
+    if dense:
+        hashed = "bucket long, rep long, v array<double>"
+        shifts = [F.lit(i * tables * 2 * Rotations(dim, 0).size).cast("long") for i in range(len(dense))]
+        shift = F.element_at(F.array(*shifts), F.array_position(F.array(*map(F.lit, dense)), F.col("band")).cast("int"))
+        placed = cut(banded.where(F.col("band").isin(dense)).select("rep", "v", shift.alias("shift")).mapInPandas(_hasher(dim, tables, 1), hashed), "placed")
+        counts = placed.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        probe = wanted.withColumn("shift", F.lit(0)).mapInPandas(_hasher(dim, tables, probes), hashed)
+        probe = probe.select(F.explode(F.array(*[F.col("bucket") + x for x in shifts])).alias("bucket"), F.col("rep").alias("q"), F.col("v").alias("qv"))
+        # At most tables * 2 * size rows a hashed band, whatever the number of vectors.
+        probe = probe.join(F.broadcast(counts), "bucket").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = placed.join(F.broadcast(counts), "bucket").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        met.append(_met(probe, dealt, k))
+    if loose:
+        met.append(_met_all(wanted, banded.where(~F.col("band").isin(dense)), loose, k))
+    met = met[0].unionByName(met[1]) if len(met) > 1 else met[0]
     found = cut(_top(met, k), "found")
 
     reach = found.join(index.select("rep", F.size("ids").alias("n")), "rep").groupBy("q").agg(F.sum("n").alias("n"))
     short = cut(wanted.join(reach.where(F.col("n") > k).select(F.col("q").alias("rep")), "rep", "left_anti"), "short")
     if not short.isEmpty():
-        blocks = max(1, -(-index.count() // BLOCK))
-        every = index.select(F.lit(0).cast("long").alias("bucket"), "rep", "v", F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int").alias("block"))
-        again = short.select(F.lit(0).cast("long").alias("bucket"), F.col("rep").alias("q"), F.col("v").alias("qv"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-        found = found.join(short.select(F.col("rep").alias("q")), "q", "left_anti").unionByName(_top(_met(again, every, k), k))
+        found = found.join(short.select(F.col("rep").alias("q")), "q", "left_anti").unionByName(_top(_met_all(short, index, sum(sizes.values()), k), k))
 
     exact = F.aggregate(F.zip_with("qv", "v", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
     scored = found.join(index, "rep").join(wanted.select(F.col("rep").alias("q"), F.col("v").alias("qv")), "q").select("q", exact.alias("score"), F.explode("ids").alias("near"))
@@ -198,6 +212,26 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_column: str = "vec_id"
     return out.select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("x.near").alias("vec_id"), F.col("x.score").alias("score"))
 
 
+def _banded(index: DataFrame) -> DataFrame:
+    """(rep, v, band): the band of each vector's length, counted down from the longest's."""
+    most = F.array_max(F.transform("v", F.abs))
+    # The logarithm, of components scaled by the largest, is in range for all vectors.
+    length = F.log("most") + F.log(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / F.col("most")) * (x / F.col("most")))) / 2
+    sized = index.select("rep", "v", most.alias("most")).select("rep", "v", length.alias("length"))
+    longest = sized.agg(F.max("length")).first()[0] + 1e-12
+    return sized.select("rep", "v", F.floor((F.lit(longest) - F.col("length")) / float(np.log(RATIO))).cast("int").alias("band"))
+
+
+def _met_all(queries: DataFrame, vectors: DataFrame, n: int, k: int) -> DataFrame:
+    """What all ``queries`` meet among all ``n`` vectors; both are dealt over blocks, and every two blocks meet."""
+    blocks, parts = -(-n // BLOCK), max(1, -(-queries.count() // BLOCK))
+    block = lambda c, of: F.pmod(F.xxhash64(c), F.lit(of))
+    all_of = lambda of, kind: F.explode(F.sequence(F.lit(0).cast(kind), F.lit(of - 1).cast(kind)))
+    asking = queries.select(block("rep", parts).cast("long").alias("bucket"), F.col("rep").alias("q"), F.col("v").alias("qv"), all_of(blocks, "int").alias("block"))
+    every = vectors.select("rep", "v", block("rep", blocks).cast("int").alias("block"), all_of(parts, "long").alias("bucket"))
+    return _met(asking, every, k)
+
+
 def _met(probe: DataFrame, dealt: DataFrame, k: int) -> DataFrame:
     right = dealt.select(F.col("bucket").alias("b"), F.col("block").alias("c"), F.col("rep").alias("rep"), F.col("v").alias("v"))
     return probe.select("bucket", "block", "q", "qv").groupBy("bucket", "block").cogroup(right.groupBy("b", "c")).applyInPandas(_meet(k + 1 + SPARE), "q long, reps array<long>, scores array<double>")

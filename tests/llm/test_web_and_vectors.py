@@ -160,6 +160,23 @@ def test_recall_against_all_products(spark):
     assert hit / total >= 0.9
 
 
+@pytest.mark.parametrize("lengths", ["one long", "spread"])
+def test_recall_of_unequal_lengths(spark, lengths):
+    e = spark.read.parquet(f"{DATA}/sf0.1/embeddings.parquet").toPandas().sort_values("vec_id")
+    ids, x = e.vec_id.to_numpy(), np.stack(e.embedding).astype(float)
+    scale = np.random.default_rng(1).lognormal(0, 0.3, len(x)) if lengths == "spread" else np.where(np.arange(len(x)) == 5, 3.0, 1.0)
+    x *= scale[:, None]
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(df, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    asked = np.flatnonzero(ids % 20 == 0)
+    best = ([ids[k] for k in np.lexsort((ids, -s)) if k != i][:20] for i, s in zip(asked, x[asked] @ x.T))
+    recall = [len(got[ids[i]] & set(b)) / 20 for i, b in zip(asked, best)]
+    print(lengths, np.mean(recall), min(recall))
+    assert np.mean(recall) >= 0.96 and min(recall) >= 0.7
+
+
 def test_neighbours_of_odd_vectors(spark):
     nan = float("nan")
     rows = [(0, [1.0, 0.0]), (20, [0.0, 2.0]), (1, [1.0, 1.0]), (2, [1.0, 1.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [1.0, None]), (40, [1.0, 2.0, 3.0]), (7, [-1.0, 0.0]), (None, [1.0, 1.0]), (2, [1.0, 1.0])]
