@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach
+from .common import attach, cut
 from .url_filter import host_of
 
 #: Tokens in the shortest passage that counts as repeated.
@@ -172,15 +172,15 @@ def _token_ids(words: Iterable[str], salt: int) -> np.ndarray:
     return pd.util.hash_array(np.array(list(words), dtype=object), categorize=False).astype(np.uint64) ^ np.uint64(salt)
 
 
-def _grams(depth: int):
-    """(host, gram, pid): distinct token runs of pages that markup does not settle."""
+def _grams(depth: int, settled: bool):
+    """(host, gram, pid): distinct token runs of the pages that markup settles, or of those that it does not."""
 
     def work(batches):
         for frame in batches:
             rows = []
             for host, pid, page in zip(frame["host"], frame["pid"], frame["html"]):
                 blocks = blocks_of(page)
-                if any(z == MAIN for z, _ in blocks):
+                if any(z == MAIN for z, _ in blocks) != settled:
                     continue
                 stream = _token_ids((w for _, t in blocks for w in t.split(" ")), 0)
                 if len(stream) >= depth:
@@ -262,8 +262,8 @@ def extract_text(pages: DataFrame, depth: int = PASSAGE, group_pages: int = GROU
 
     Hosts with more pages than ``group_pages`` are split by page; runs that
     repeat across the parts are found by grouping the distinct runs of the
-    pages that markup leaves open, so nothing is missed and no host is ever
-    in one task. Null html is empty; null urls and urls without a host form
+    pages that markup leaves open, and those of the other pages that are among
+    them, so nothing is missed and no host is ever in one task. Null html is empty; null urls and urls without a host form
     one host of their own; a null page_id stands for the page's content.
     Repeated rows are one page, so they do not make each other's text
     boilerplate. An empty table gives an empty table.
@@ -275,8 +275,17 @@ def extract_text(pages: DataFrame, depth: int = PASSAGE, group_pages: int = GROU
     total = counts.agg(F.sum("cnt")).first()[0] or 0
     large = counts.where(F.col("cnt") > group_pages).select("host", F.ceil(F.col("cnt") / group_pages).alias("shards"))
     held = attach(held, large, ["host"])
-    open_grams = held.where("shards is not null").select("host", "pid", "html").mapInPandas(_grams(depth), "host string, gram long, pid long")
-    across = open_grams.groupBy("host", "gram").agg(F.min("pid").alias("lo"), F.max("pid").alias("hi")).where("lo < hi")
+    split = held.where("shards is not null").select("host", "pid", "html")
+    open_grams = cut(split.mapInPandas(_grams(depth, False), "host string, gram long, pid long"), "grams")
+    spread = open_grams.groupBy("host", "gram").agg(F.min("pid").alias("lo"), F.max("pid").alias("hi"))
+    across = spread
+    if not open_grams.isEmpty():
+        # Runs of pages with an article count only where an open page of the host has them.
+        settled = split.join(open_grams.select("host").distinct(), "host", "left_semi").mapInPandas(_grams(depth, True), "host string, gram long, pid long")
+        settled = settled.groupBy("host", "gram").agg(F.min("pid").alias("lo"), F.max("pid").alias("hi"))
+        across = spread.unionByName(settled.join(spread.select("host", "gram"), ["host", "gram"], "left_semi"))
+        across = across.groupBy("host", "gram").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    across = across.where("lo < hi")
     known = open_grams.join(across.select("host", "gram"), ["host", "gram"]).groupBy("host", "pid").agg(F.collect_set("gram").alias("known"))
     dealt = held.withColumn("shard", F.coalesce(F.pmod(F.xxhash64("pid"), F.col("shards")), F.lit(0)))
     dealt = attach(dealt, known, ["host", "pid"], limit=2000)

@@ -119,6 +119,17 @@ def test_host_boilerplate(spark, group):
     assert html_text.extract_text(pages.where("false")).collect() == []
 
 
+def test_host_boilerplate_of_article_pages(spark):
+    shared = [f"the passage of article number {k} stands on one more page" for k in range(12)]
+    rows = [(k, f"http://h.com/{k}", f"<article><p>{shared[k]}</article>") for k in range(12)]
+    rows += [(100 + k, f"http://h.com/{100 + k}", f"<p>own{k}</p><p>{shared[k]}") for k in range(12)]
+    rows += [(200, "http://other.com/", f"<p>{shared[0]}")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    texts = [{r.page_id: r.text for r in html_text.extract_text(pages, group_pages=g).collect()} for g in (2000, 4)]
+    assert texts[0] == texts[1]
+    assert all(texts[0][k] == shared[k] and texts[0][100 + k] == f"own{k}" for k in range(12)) and texts[0][200] == shared[0]
+
+
 def test_license_places_and_partial_matches(spark):
     texts = [
         (1, "Under the MIT license; again: mit-LICENSE. Apache  license\nGNU General Public License"), (2, None), (3, ""), (4, "CC BY-NC 4.0. Licensed under CC BY-NC"), (None, "mit license"),
