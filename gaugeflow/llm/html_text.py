@@ -30,40 +30,64 @@ PASSAGE = 8
 GROUP_PAGES = 2000
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>?", re.S)
-ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden)(?![\w-])\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+#: One attribute with its value, so that nothing inside a value counts as an attribute.
+ATTRIBUTE = re.compile(r"([^\s/=>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 RAW_TEXT = frozenset("script style textarea title noscript iframe noembed noframes xmp template svg math object select".split())
 CHROME = frozenset("nav footer aside form header menu dialog head button canvas audio video".split())
 ARTICLE = frozenset(("article", "main"))
+#: Elements that a class word never makes boilerplate.
+WHOLE = frozenset(("html", "body", *ARTICLE))
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CHROME_WORD = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|sidebar|side-bar|menu|navbar|navigation|nav|breadcrumbs?|footer|masthead|cookies?|consent|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login|search|share|sharing|social|related|recommend\w*|comments?|disqus|respond|pagination|pager|widget|toolbar|skip-link)(?:$|[\s_-])", re.I)
+#: Names such as has-sidebar tell what stands beside or inside an element, not what it is.
+LAYOUT_WORD = re.compile(r"(?:^|(?<=\s))(?:has|with|without|no|not|show|hide)[_-]\S*", re.I)
 CHROME_ROLE = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar".split())
 
 BOILER, OPEN, MAIN = 0, 1, 2
 
 
-def _is_chrome(name: str, attributes: str, inside_article: bool) -> bool:
+def _chrome_of(name: str, attributes: str, inside_article: bool) -> str | None:
+    """What marks an element as boilerplate: its tag, an attribute, or only a word of its class or id; else None."""
     if name in CHROME and not (name == "header" and inside_article):
-        return True
+        return "tag"
+    held: dict[str, str] = {}
     for m in ATTRIBUTE.finditer(attributes):
-        kind, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if kind == "hidden":
-            return True
-        if kind == "role" and value.lower() in CHROME_ROLE:
-            return True
-        if kind in ("class", "id") and CHROME_WORD.search(value):
-            return True
-    return False
+        held.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    if "hidden" in held:
+        return "attribute"
+    if held.get("role", "").lower() in CHROME_ROLE:
+        return "attribute"
+    if name not in WHOLE and any(CHROME_WORD.search(LAYOUT_WORD.sub(" ", held.get(k, ""))) for k in ("class", "id")):
+        return "word"
+    return None
 
 
 def blocks_of(page: str | None) -> list[tuple[int, str]]:
-    """(zone, text) of each block in page order; character references decoded, white space collapsed."""
+    """(zone, text) of each block in page order; character references decoded, white space collapsed.
+
+    An element that is boilerplate by a word only, and holds the page's only
+    articles, is taken for the page's layout.
+    """
     if not page:
         return []
+    out, covered = _blocks(page, False)
+    if covered and not any(zone == MAIN for zone, _ in out):
+        out, _ = _blocks(page, True)
+    return out
+
+
+def _blocks(page: str, around: bool) -> tuple[list[tuple[int, str]], bool]:
+    """The blocks, and whether an article lies in boilerplate by word; with ``around`` that is layout, not boilerplate.
+
+    Inside a layout, other boilerplate by word stays what it is.
+    """
     out: list[tuple[int, str]] = []
     parts: list[str] = []
-    open_chrome: list[list] = []  # [name, depth of the same name]
+    open_chrome: list[list] = []  # [name, depth of the same name, mark]
+    layout: list = []  # [name, depth of the same name]
     articles = 0
+    covered = False
     at = 0
 
     def flush() -> None:
@@ -98,6 +122,10 @@ def blocks_of(page: str | None) -> list[tuple[int, str]]:
             parts.append(" ")
         if name in VOID:
             continue
+        if layout and name == layout[0]:
+            layout[1] += -1 if closing else 1
+            if layout[1] == 0:
+                layout = []
         if closing:
             if open_chrome and open_chrome[-1][0] == name:
                 flush()
@@ -113,13 +141,18 @@ def blocks_of(page: str | None) -> list[tuple[int, str]]:
                 # A menu or header that was never closed ends where the article begins.
                 open_chrome.clear()
                 articles = 1
-        elif _is_chrome(name, m[3] or "", articles > 0):
+            elif name in ARTICLE and not articles and open_chrome[-1][2] == "word":
+                covered = True
+                if around and not layout:
+                    layout = open_chrome.pop()[:2]
+                    articles = 1
+        elif mark := _chrome_of(name, m[3] or "", articles > 0):
             flush()
-            open_chrome.append([name, 1])
+            open_chrome.append([name, 1, mark])
         elif name in ARTICLE:
             articles += 1
     flush()
-    return out
+    return out, covered
 
 
 # ---------------------------------------------------------------- suffix array

@@ -74,6 +74,12 @@ CASES = [
     ("<nav><ul><li>never closed<article><p>in</p></article>", "in"),
     ("<article><p>a<br>b</p><div role=navigation>n</div></article>outside", "a b"),
     ("<title>t</title><p hidden>h</p><p data-hidden-x>v", "v"), ("<p>1 < 2 and 3 > 2", "1 < 2 and 3 > 2"),
+    ("<html class='no-sidebar menu'><body class='has-sidebar nav'><article class=share><p>in</article>", "in"), ("<body id=menu><p>x", "x"),
+    ("<div class='layout with-nav'><p>x<div class=nav>n</div></div>", "x"), ("<main class='main comments'><p>in</main>", "in"),
+    ("<div class='sidebar page'><p>out</p><div><article><p>in<div class=related><article>other</article></div></article></div><p>out</p></div>", "in"),
+    ("<div class=related><article>other</article></div><article><p>in</article>", "in"),
+    ("<div id=widget><article>a</article></div><div id=widget><article>b</article></div>", "a\nb"),
+    ("<article><p title='the hidden truth'>a</p><p><a href='/x?id=login'>b</a> <a href=/x?class=ad>c</a></p><p data-x=\"role='menu'\">d</p><p HIDDEN>e</p><p x=1 Class = ad>f</p></article>", "a\nb c\nd"),
 ]
 
 
