@@ -12,6 +12,7 @@ on their full sets, and linked texts form components.
 from __future__ import annotations
 
 import hashlib
+import math
 
 from typing import Any
 
@@ -39,6 +40,19 @@ def bands_for(threshold: float, coordinates: int = COORDINATES, miss: float = 1e
     return coordinates // rows, rows
 
 
+def least_equal(threshold: float, coordinates: int = COORDINATES, miss: float = 1e-8) -> int:
+    """Equal coordinates from which a pair may be linked: fewer have a probability under ``miss`` at the threshold.
+
+    Never nearer to the threshold than 0.17, as coordinates are not quite independent.
+    """
+    tail, least = 0.0, 0
+    while True:
+        tail += math.comb(coordinates, least) * threshold**least * (1 - threshold) ** (coordinates - least)
+        if tail > miss or least + 1 > coordinates * (threshold - 0.17):
+            return least
+        least += 1
+
+
 class Circulant:
     """The two permutations: ``place`` by hashing, ``rank`` as a table that is read in rotation."""
 
@@ -175,7 +189,6 @@ def _rest(n: int, percent: int):
     A pair is looked at in the first bucket that it shares, if its sizes and
     signatures leave a link possible, and then compared on full sets.
     """
-    floor = percent / 100 - 0.14
 
     def compare(key: tuple[Any, ...], rows: pd.DataFrame) -> pd.DataFrame:
         bucket, x, y = key
@@ -183,6 +196,7 @@ def _rest(n: int, percent: int):
         data, offsets = text_buffers(pa.array(rows["text"], pa.string(), from_pandas=True))
         sets = [own for _, own in shingle_sets(_LOWER[data], offsets, n)]
         sketch = np.frombuffer(b"".join(rows["sketch"]), dtype=np.uint8).reshape(len(rows), -1)
+        least = least_equal(percent / 100, sketch.shape[1])
         bands = np.stack(rows["bands"].to_numpy())
         size, rep, side = rows["n"].to_numpy(), rows["rep"].to_numpy(), rows["block"].to_numpy()
         group = {c: c for c in rows["component"]}
@@ -203,7 +217,7 @@ def _rest(n: int, percent: int):
                 ok &= side[later] != side[k]
             at = np.flatnonzero(ok) + k + 1
             if len(at):
-                at = at[(sketch[at] == sketch[k]).mean(axis=1) >= floor]
+                at = at[(sketch[at] == sketch[k]).sum(axis=1) >= least]
             if len(at):
                 at = at[(bands[at] == bands[k]).argmax(axis=1) == band]
             at = [j for j in at.tolist() if root(own[j]) != root(own[k])]

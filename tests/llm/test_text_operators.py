@@ -2,11 +2,13 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -84,6 +86,18 @@ def test_near_duplicates_without_a_hub(spark):
     assert found == components(rows, 3, 85)
 
 
+def test_signatures_rule_out_no_likely_pair():
+    # One pair over the threshold on full sets, with fewer equal coordinates than most such pairs have.
+    texts = [" ".join(f"w{i}" for i in range(a, a + 40)) for a in (0, 4)]
+    sketch = [bytes(180), bytes(115) + bytes([1]) * 65]
+    rows = pd.DataFrame({"rep": [1, 2], "text": texts, "sketch": sketch, "bands": [np.array([7, 1]), np.array([7, 2])], "n": [38, 38], "block": [0, 0], "component": [1, 2]})
+    assert near_dup._rest(3, 80)((7, 0, 0), rows).values.tolist() == [[1, 2]]
+    assert near_dup._rest(3, 82)((7, 0, 0), rows).empty
+    for t in range(20, 100, 5):
+        least = near_dup.least_equal(t / 100, 180)
+        assert sum(math.comb(180, k) * (t / 100) ** k * (1 - t / 100) ** (180 - k) for k in range(least)) <= 1e-8
+
+
 def test_near_duplicates_edges(spark, corpus):
     assert near_dup.near_duplicates(frame(spark, [])).collect() == []
     odd = [(None, "a b c d e f"), (None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f")]
