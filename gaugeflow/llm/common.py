@@ -12,6 +12,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 20
 
@@ -19,14 +20,17 @@ CHUNK_BYTES = 1 << 20
 # ---------------------------------------------------------------- storage
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
+    """The folder that driver and executors share: what ``spark.checkpoint.dir`` names.
 
-    It is what ``spark.checkpoint.dir`` names. Only where that is unset, as
-    in tests on one machine, a temporary folder of this machine is chosen
-    and set.
+    Only where that is unset on one machine, as in tests, a temporary folder
+    of this machine is chosen and set; a cluster without the setting is
+    refused, as its executors would write where no other can read.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local"):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all of {master} share")
         path = "file://" + tempfile.mkdtemp(prefix="gaugeflow-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -46,38 +50,50 @@ def cut(df: DataFrame, name: str = "t") -> DataFrame:
     return out
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder through the file system that holds it."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(found, True)
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Delete tables that ``cut`` wrote and that no later result reads."""
     for table in tables:
         if table is not None:
-            spark = table.sparkSession
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table._cut_path)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            delete(table.sparkSession, table._cut_path)
 
 
-def attach(df: DataFrame, side: DataFrame, on: list[str], limit: int = 50_000) -> DataFrame:
-    """``df`` left-joined with ``side``, which is written first and broadcast only if it has at most ``limit`` rows.
+#: What a broadcast side may hold, by its rows and by the bytes that their values take.
+BROADCAST_ROWS = 50_000
+BROADCAST_BYTES = 64 << 20
 
-    An empty side costs no join: its columns are null.
-    """
-    from pyspark.sql import functions as F
 
+def attach(df: DataFrame, side: DataFrame, on: list[str], limit: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` left-joined with ``side``, which is written first and broadcast only if it is small in rows and bytes.
+
+    Bytes are those of the values as JSON, an upper estimate of numbers. An
+    empty side costs no join: its columns are null.
+    """
     side = cut(side, "side")
-    rows = side.count()
+    rows, size = side.agg(F.count("*"), F.sum(F.length(F.to_json(F.struct(*side.columns))))).first()
     if not rows:
         return df.withColumns({f.name: F.lit(None).cast(f.dataType) for f in side.schema if f.name not in on})
-    return df.join(F.broadcast(side) if rows <= limit else side, on, "left")
+    return df.join(F.broadcast(side) if rows <= limit and size <= BROADCAST_BYTES else side, on, "left")
 
 
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of steps that have been cut off.
 
     Spark forgets a shuffle when its plan is garbage, first here and then in
-    the JVM; the second round takes what the first has let go.
+    the JVM; the second round takes what the first has let go. Nothing
+    depends on it but how long shuffle files stay on disk; with
+    ``gaugeflow.release`` set to false it is left to Spark's own cleaner.
     """
     import gc
     import time
 
+    if spark.conf.get("gaugeflow.release", "true") == "false":
+        return
     for _ in range(2):
         gc.collect()
         spark.sparkContext._jvm.System.gc()

@@ -131,34 +131,66 @@ def test_substring_dedup_against_windows(spark, corpus, width):
     expected = removed(corpus, width)
     assert len(got) == len(corpus)
     for r in got:
-        assert (r.n_words, r.n_removed, r.kept_text) == expected[r.doc_id]
-        assert r.kept_sha256 == hashlib.sha256(r.kept_text.encode()).hexdigest()
+        n, gone, kept = expected[r.doc_id]
+        assert (r.n_words, r.n_removed, r.kept_text) == (n, gone, kept if gone else None)
+        assert r.kept_sha256 == hashlib.sha256(kept.encode()).hexdigest()
         assert r.row.score == 1.0
 
 
-def test_substring_dedup_edges_and_history(spark):
+def test_substring_dedup_edges(spark):
     text = " ".join(f"w{k}" for k in range(30))
     rows = [(None, text), (1, text), (1, text), (2, "a " + text), (3, None)]
     got = sorted((r.doc_id or 0, r.n_removed) for r in substring_dedup.remove_repeats(frame(spark, rows)).collect())
     assert got == [(0, 0), (1, 0), (1, 0), (2, 30), (3, 0)]
     assert substring_dedup.remove_repeats(frame(spark, [])).collect() == []
-    history = cut(substring_dedup.window_runs(frame(spark, [(1, text)]), 13, 6))
-    later = substring_dedup.remove_repeats(frame(spark, [(5, "b " + text), (6, "new words only")]), 13, history=history, parts=6)
-    assert sorted((r.doc_id, r.n_removed) for r in later.collect()) == [(5, 30), (6, 0)]
-
-
-def test_log_compacts():
-    log = substring_dedup.Log()
-    rnd = np.random.default_rng(1)
-    own = {}
-    for k in range(200):
-        keys = rnd.integers(0, 5000, 50).astype(np.uint64)
-        for x in keys.tolist():
-            own[x] = min(own.get(x, k), k)
-        log.add(*substring_dedup.earliest(keys, np.full(50, k)))
-    assert len(log.runs) <= 12
-    probe = np.arange(5000, dtype=np.uint64)
-    assert log.probe(probe).tolist() == [own.get(x, np.iinfo(np.int64).max) for x in range(5000)]
+
+
+def test_substring_dedup_of_ids_with_several_texts(spark):
+    a, b = (" ".join(f"{c}{k}" for k in range(n)) for c, n in (("a", 30), ("b", 40)))
+    rows = [(1, a), (1, b), (2, a + " " + b), (3, a), (3, "own words"), (3, b)]
+    got = sorted((r.doc_id, r.n_words, r.n_removed) for r in substring_dedup.remove_repeats(frame(spark, rows)).collect())
+    assert got == [(1, 30, 0), (1, 40, 0), (2, 70, 70), (3, 2, 0), (3, 30, 30), (3, 40, 40)]
+
+
+def test_substring_dedup_of_a_source_that_many_runs_name(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "ASKED", 3)
+    source = [f"s{k}" for k in range(200)]
+    rows = [(1, " ".join(source)), *((k, f"x{k} " + " ".join(source[k : k + 13 + k % 5]) + " y") for k in range(2, 60)), (60, "s1 s2 s3")]
+    expected = removed(rows, 13)
+    for r in substring_dedup.remove_repeats(frame(spark, rows), 13).collect():
+        assert (r.n_words, r.n_removed) == expected[r.doc_id][:2]
+
+
+def test_log_takes_batches_compacts_and_is_opened_again(spark, corpus, tmp_path):
+    path = f"file://{tmp_path}/log"
+    log = substring_dedup.FingerprintLog.create(spark, path, 5, 7)
+    expected = removed(corpus, 5)
+    ordered = sorted(corpus, key=lambda x: x[0])
+    step = -(-len(ordered) // 4)
+    for k in range(0, len(ordered), step):
+        if k:
+            log = substring_dedup.FingerprintLog.open(spark, path)
+        out = substring_dedup.remove_repeats(frame(spark, ordered[k : k + step]), 5, log=log, earlier=frame(spark, ordered[:k]))
+        for r in out.collect():
+            assert (r.n_words, r.n_removed) == expected[r.doc_id][:2]
+    sizes = [n for _, n in log.runs]
+    assert all(a >= 2 * b for a, b in zip(sizes, sizes[1:])) and len(sizes) < 4
+    log.compact(all_runs=True)
+    rows = spark.read.parquet(f"{path}/{log.runs[0][0]}").collect()
+    distinct = {tuple(w[i : i + 5]) for w in (words(t) for _, t in ordered) for i in range(len(w) - 4)}
+    assert len(log.runs) == 1 and sum(r.n for r in rows) == log.runs[0][1] == len(distinct)
+    for r in rows:
+        keys = substring_dedup.from_sorted(r.prints, r.n)
+        assert (keys[1:] > keys[:-1]).all()
+    with pytest.raises(ValueError):
+        substring_dedup.remove_repeats(frame(spark, ordered), 6, log=log)
+
+
+def test_numbers_as_bytes():
+    for values in ([], [0, 0], [5, 1 << 63, 7], [(1 << 64) - 1], list(range(1000))):
+        flat = np.array(values, dtype=np.uint64)
+        assert (substring_dedup.from_bytes(substring_dedup.to_bytes(flat), len(flat)) == flat).all()
+        assert (substring_dedup.from_sorted(substring_dedup.sorted_bytes(np.sort(flat)), len(flat)) == np.sort(flat)).all()
 
 
 def test_packing_round_trip(spark, corpus):
