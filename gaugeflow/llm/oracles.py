@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .license_scan import BASE, COVER, DRIFT, FURTHER
+from .license_scan import BASE, FURTHER
 
 AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
@@ -34,24 +34,25 @@ FROM m LEFT JOIN comp ON comp.node = m.k LEFT JOIN whole ON whole.c = comp.c"""
 
 
 def license_scan() -> str:
-    rows, labels = [], []
-    for t, (phrase, label) in enumerate([*BASE, *FURTHER]):
-        w = phrase.split()
-        labels.append(f"({t}, '{label}', {len(w) - 1})")
-        rows += [f"({t}, {k}, '{w[k]}', '{w[k + 1]}')" for k in range(len(w) - 1)]
-    return rf"""WITH t(template, tpos, wa, wb) AS (VALUES {', '.join(rows)}), n(template, label, pairs) AS (VALUES {', '.join(labels)}),
-d AS (SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(translate(coalesce(text, ''), {AZ}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
-w AS (SELECT id, unnest(ws) AS a, unnest(list_concat(ws[2:], [''])) AS b, generate_subscripts(ws, 1) - 1 AS pos FROM d),
-h AS (SELECT DISTINCT id, template, pos - tpos AS diag, tpos FROM w JOIN t ON wa = a AND wb = b),
-v AS (SELECT id, template, diag, list(tpos) AS hit FROM h GROUP BY ALL),
-g AS (SELECT *, CASE WHEN diag - lag(diag) OVER (PARTITION BY id, template ORDER BY diag) <= {DRIFT} THEN 0 ELSE 1 END AS apart FROM v),
-r AS (SELECT *, sum(apart) OVER (PARTITION BY id, template ORDER BY diag) AS run FROM g),
-c AS (SELECT id, template, run, len(list_distinct(flatten(list(hit)))) AS covered FROM r GROUP BY ALL),
-k AS (SELECT id, label, covered / pairs AS part, template < {len(BASE)} AS base FROM c JOIN n USING (template)),
-x AS (SELECT id, diag, label FROM v JOIN n USING (template) WHERE template < {len(BASE)} AND len(hit) = pairs),
+    """Places and covered parts by joining the words themselves; each diagonal's band is summed by a self-join."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    values = ", ".join(f"({t}, {quoted(label)}, {quoted(text)})" for t, (text, label) in enumerate([*BASE, *FURTHER]))
+    words = rf"regexp_extract_all(translate(coalesce({{0}}, ''), {AZ}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return rf"""WITH t0(template, label, text) AS (VALUES {values}), t AS (SELECT template, label, {words.format('text')} AS ws FROM t0),
+t2 AS (SELECT template, label, template < {len(BASE)} AS base, ws, len(ws) AS n, least(len(ws), 3) AS g FROM t),
+tg AS (SELECT template, g, i - 1 AS tpos, ws[i : i + g - 1] AS gram FROM t2, unnest(range(1, n - g + 2)) u(i)),
+d AS (SELECT row_number() OVER () AS id, doc_id, {words.format('text')} AS ws FROM documents),
+dg AS (SELECT id, g, i - 1 AS pos, ws[i : i + g - 1] AS gram FROM d, (VALUES (2), (3)) w(g), unnest(range(1, len(ws) - g + 2)) u(i)),
+h AS (SELECT id, template, tpos, pos - tpos AS diag FROM dg JOIN tg USING (g, gram)),
+v AS (SELECT id, template, diag, count(*) AS votes FROM h GROUP BY ALL),
+x AS (SELECT id, diag, label FROM v JOIN t2 USING (template) WHERE base AND votes = n - g + 1),
+b AS (SELECT a.id, a.template, a.diag, sum(o.votes) AS votes FROM v a JOIN t2 USING (template) JOIN v o ON o.id = a.id AND o.template = a.template AND o.diag BETWEEN a.diag AND a.diag + t2.n // 16 GROUP BY ALL),
+m AS (SELECT id, template, diag FROM b QUALIFY row_number() OVER (PARTITION BY id, template ORDER BY votes DESC, diag) = 1),
+c0 AS (SELECT m.id, template, label, base, n, count(DISTINCT tpos + k) AS met FROM m JOIN t2 USING (template) JOIN h USING (id, template), unnest(range(0, g)) r(k) WHERE h.diag BETWEEN m.diag AND m.diag + n // 16 GROUP BY ALL),
+c AS (SELECT *, met / n AS part FROM c0),
 o AS (SELECT id, count(*) AS n_base, min(diag) AS first_word, max(diag) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM x GROUP BY id),
-l AS (SELECT id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT id, label FROM x UNION SELECT id, label FROM k WHERE NOT base AND part >= {COVER}) GROUP BY id),
-s AS (SELECT id, max(part) AS score FROM k GROUP BY id)
+l AS (SELECT id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT id, label FROM x UNION SELECT id, label FROM c WHERE NOT base AND part >= 0.85) GROUP BY id),
+s AS (SELECT id, max(part) AS score FROM c GROUP BY id)
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
 FROM d LEFT JOIN o USING (id) LEFT JOIN l USING (id) LEFT JOIN s USING (id)"""
 

@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 from .common import Words, attach, chunks, cut, delete, discard, ids, ngrams, release, shared_dir
 
 #: Bytes of text for each hash partition: its fingerprints take about as much.
-PARTITION_BYTES = 16 << 20
+PARTITION_BYTES = 10 << 20
 #: Bytes of text whose equal windows a task combines before they are shuffled.
-COMBINE_BYTES = 8 << 20
+COMBINE_BYTES = 4 << 20
 #: Stated runs of one source text that are verified in one place.
 ASKED = 2000
 #: A table is fed to its log in batches by ascending id; these are where they end, as parts of all rows.
@@ -115,7 +115,8 @@ def _runs(width: int, parts: int):
         rows = [("run", int(p), None, int(b - a), sorted_bytes(keys[a:b]), to_bytes(least[a:b])) for p, a, b in zip(np.flatnonzero(np.diff(edges)), edges[:-1][np.diff(edges) > 0], edges[1:][np.diff(edges) > 0])]
         late = source < owner
         if late.any():
-            rows.extend(_repeats(int(abs(int(owner[0])) % parts), owner[late], ranked[late], source[late]))
+            # These pass the merge untouched, spread over all partitions by document.
+            rows.extend((kind, doc % parts, doc, *rest) for kind, _, doc, *rest in _repeats(0, owner[late], ranked[late], source[late]))
         return _table(rows).to_batches()
 
     def deal(batches):
@@ -155,9 +156,11 @@ def _merge(keep: bool):
         keys, owner, new = _load(table.filter(pa.compute.invert(found)))
         order, first, least = earliest(keys, owner)
         ranked, own, fresh = keys[order], owner[order], new[order]
+        del keys, owner, new, order
         source = np.repeat(least, np.diff(np.append(first, len(ranked))))
         late = fresh & (source < own)
         rows = list(_repeats(part, own[late], ranked[late], source[late]))
+        del source, late
         if keep and fresh.any():
             own_keys, own_owner = ranked[fresh], own[fresh]
             _, first, least = earliest(own_keys, own_owner)

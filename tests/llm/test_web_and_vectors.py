@@ -156,6 +156,41 @@ def test_license_places_and_partial_matches(spark):
     assert license_scan.scan_licenses(docs.where("false")).collect() == []
 
 
+def test_whole_license_texts(spark):
+    text = dict((label, t) for t, label in license_scan.TEXTS)
+    mit = text["mit"].split()
+    rnd = np.random.default_rng(5)
+    edited = [w for k, w in enumerate(mit) if k not in (20, 90)]
+    edited[50] = "otherwise"
+    scattered = [x for k in range(0, len(mit) - 3, 3) for x in (*mit[k : k + 3], *["filler"] * 9)]
+    shuffled = [x for k in rnd.permutation(len(mit) // 3) for x in mit[3 * k : 3 * k + 3]]
+    rows = [*((k, "Copyright (c) someone. " + t) for k, t in enumerate(text.values())), (100, " ".join(edited)), (101, " ".join(scattered)), (102, " ".join(shuffled)), (103, " ".join(mit[:40])), (104, "Copyright. " * 4000 + text["isc"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in license_scan.scan_licenses(docs).collect()}
+    for k, label in enumerate(text):
+        assert label in got[k].labels.split(",") and got[k].score == 1.0
+    assert "mit" in got[100].labels.split(",") and 0.95 < got[100].score < 1
+    assert all(got[k].labels == "" and got[k].score < 0.5 for k in (101, 102))
+    assert got[103].labels == "mit-grant" and "isc" in got[104].labels.split(",")
+    assert "bsd-2-clause" not in got[list(text).index("bsd-3-clause")].labels
+    # Each score again, by counting in plain Python.
+    phrases = [license_scan.template_words(t) for t, _ in [*license_scan.BASE, *license_scan.FURTHER]]
+    for k, t in rows:
+        w = license_scan.template_words(t)
+        best = 0.0
+        for p in phrases:
+            g = min(3, len(p))
+            at = {}
+            for i in range(len(p) - g + 1):
+                at.setdefault(tuple(p[i : i + g]), []).append(i)
+            hits = [(j - i, i) for j in range(len(w) - g + 1) for i in at.get(tuple(w[j : j + g]), ())]
+            bands = [(sum(d <= e <= d + len(p) // 16 for e, _ in hits), -d) for d in {d for d, _ in hits}]
+            if bands:
+                d = -max(bands)[1]
+                best = max(best, len({i + x for e, i in hits if d <= e <= d + len(p) // 16 for x in range(g)}) / len(p))
+        assert abs(best - got[k].score) < 1e-12
+
+
 def test_recall_against_all_products(spark):
     df = queries.op2_cross_polytope_ann(spark, f"{DATA}/sf0.001")
     got = {}
