@@ -12,8 +12,6 @@ on their full sets, and linked texts form components.
 from __future__ import annotations
 
 import hashlib
-import math
-
 from typing import Any
 
 import numpy as np
@@ -28,7 +26,7 @@ from .graph import connected_components
 RING = 1 << 20
 COORDINATES = 180
 GROUP = 256
-#: Classes of one bucket that are compared with one another in a task.
+#: Classes of one bucket, on either side, that are compared in a task.
 BLOCK = 512
 
 
@@ -40,19 +38,6 @@ def bands_for(threshold: float, coordinates: int = COORDINATES, miss: float = 1e
     return coordinates // rows, rows
 
 
-def least_equal(threshold: float, coordinates: int = COORDINATES, miss: float = 1e-8) -> int:
-    """Equal coordinates from which a pair may be linked: fewer have a probability under ``miss`` at the threshold.
-
-    Never nearer to the threshold than 0.17, as coordinates are not quite independent.
-    """
-    tail, least = 0.0, 0
-    while True:
-        tail += math.comb(coordinates, least) * threshold**least * (1 - threshold) ** (coordinates - least)
-        if tail > miss or least + 1 > coordinates * (threshold - 0.17):
-            return least
-        least += 1
-
-
 class Circulant:
     """The two permutations: ``place`` by hashing, ``rank`` as a table that is read in rotation."""
 
@@ -97,11 +82,15 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int):
             yield 0, np.empty(0, dtype=np.uint64)
 
 
-SIGNED = "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch binary"
+def set_key(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
+SIGNED = "doc_id long, n_shingles long, set_key binary, bands array<long>"
 
 
 def _signer(n: int, coordinates: int, bands: int, rows: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("bands", pa.list_(pa.int64()))])
     power = np.random.default_rng(104729).integers(1, 1 << 63, rows, dtype=np.uint64) | np.uint64(1)
     tag = mix(np.arange(1, bands + 1, dtype=np.uint64))
 
@@ -114,7 +103,7 @@ def _signer(n: int, coordinates: int, bands: int, rows: int):
                 for k, (_, shingles) in enumerate(shingle_sets(data, offsets, n)):
                     sizes.append(len(shingles))
                     if len(shingles):
-                        keys.append(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest())
+                        keys.append(set_key(shingles))
                         sigs.append(circulant.signature(shingles))
                         filled.append(k)
                     else:
@@ -126,13 +115,11 @@ def _signer(n: int, coordinates: int, bands: int, rows: int):
                     sig = np.stack(sigs)
                     joined = mix((sig[:, : bands * rows].reshape(-1, bands, rows).astype(np.uint64) * power).sum(axis=2, dtype=np.uint64) + tag)
                     ends[np.array(filled) + 1] = bands
-                    low = mix(sig.astype(np.uint64)).astype(np.uint8)
-                    small = dict(zip(filled, (x.tobytes() for x in low)))
                     flat = joined.reshape(-1).view(np.int64)
                 else:
-                    small, flat = {}, np.empty(0, dtype=np.int64)
+                    flat = np.empty(0, dtype=np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum(ends, dtype=np.int32)), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([key.slice(row, count), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), lists, pa.array([small.get(k) for k in range(count)], pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([key.slice(row, count), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), lists], schema=schema)
 
     return sign
 
@@ -141,25 +128,29 @@ def _verify(n: int, percent: int):
     """Checks the members of one group against its leader on full sets."""
 
     def check(key: tuple[Any, ...], left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        out = set()
         if len(left) and len(right):
-            lead = _set_of(left["text"].iloc[0], n)
+            leads = [own for own in (_set_of(text, n) for text in left["text"].drop_duplicates()) if len(own)]
             for start in range(0, len(right), 64):
                 part = right.iloc[start : start + 64]
                 data, offsets = text_buffers(pa.array(part["text"], pa.string(), from_pandas=True))
                 for doc, (_, own) in zip(part["doc_id"], shingle_sets(_LOWER[data], offsets, n)):
-                    if not len(own) or not len(lead):
-                        continue
-                    at = np.searchsorted(lead, own)
-                    at[at == len(lead)] = 0
-                    common = int((lead[at] == own).sum())
-                    if 100 * common >= percent * (len(lead) + len(own) - common):
-                        out.append((key[0], doc))
-        return pd.DataFrame(out, columns=["leader", "member"]).astype("int64")
+                    if any(_linked(lead, own, percent) for lead in leads):
+                        out.add((key[0], doc))
+        return pd.DataFrame(sorted(out), columns=["leader", "member"]).astype("int64")
 
     return check
 
 
+def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    if not len(b):
+        return False
+    at = np.searchsorted(a, b)
+    at[at == len(a)] = 0
+    common = int((a[at] == b).sum())
+    return 100 * common >= percent * (len(a) + len(b) - common)
+
+
 def _set_of(text: str | None, n: int) -> np.ndarray:
     data, offsets = text_buffers(pa.array([text], pa.string()))
     return next(iter(shingle_sets(_LOWER[data], offsets, n)))[1]
@@ -183,22 +174,48 @@ def verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFra
     return links
 
 
+def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
+    """How many of a set's ``n`` smallest elements include one of every set that it can be linked with.
+
+    Linked sets have ``percent`` of ``n`` elements in common, whichever set's
+    ``n`` is taken. If the two prefixes of this size had none in common, the
+    one that ends first would have all of its own left out of the overlap,
+    which would then be too small. So no link is lost.
+    """
+    return n - -(-percent * n // 100) + 1
+
+
 def _rest(n: int, percent: int):
-    """The links across components within one block, or between two blocks, of a bucket.
+    """The links across components between a block of a bucket's classes and a block of its minor ones.
 
-    A pair is looked at in the first bucket that it shares, if its sizes and
-    signatures leave a link possible, and then compared on full sets.
+    Minor are all but those of the bucket's largest component, so that its
+    classes are not compared with one another. A pair is looked at in the
+    first bucket that it shares, if its sizes leave a link possible and the
+    prefixes of the sorted sets meet, and then compared on full sets.
     """
 
     def compare(key: tuple[Any, ...], rows: pd.DataFrame) -> pd.DataFrame:
-        bucket, x, y = key
-        rows = rows.sort_values("rep").reset_index(drop=True)
+        bucket = key[0]
+        rows = rows.sort_values(["asks", "rep"]).reset_index(drop=True)
+        asks, rep, size, own = (rows[c].to_numpy() for c in ("asks", "rep", "n", "component"))
+        first = int(asks.argmax()) if asks.any() else len(rows)
+        out: list[tuple[int, int]] = []
+        if not 0 < first < len(rows):
+            return pd.DataFrame(out, columns=["leader", "member"]).astype("int64")
         data, offsets = text_buffers(pa.array(rows["text"], pa.string(), from_pandas=True))
-        sets = [own for _, own in shingle_sets(_LOWER[data], offsets, n)]
-        sketch = np.frombuffer(b"".join(rows["sketch"]), dtype=np.uint8).reshape(len(rows), -1)
-        least = least_equal(percent / 100, sketch.shape[1])
+        sets = [x for _, x in shingle_sets(_LOWER[data], offsets, n)]
+        mine = [set_key(x) == k for x, k in zip(sets, rows["set_key"])]
+        if not all(mine):
+            # An id with several texts has met each of its sets with each of them.
+            return compare(key, rows[mine])
+        short = prefix_size(size, percent)
         bands = np.stack(rows["bands"].to_numpy())
-        size, rep, side = rows["n"].to_numpy(), rows["rep"].to_numpy(), rows["block"].to_numpy()
+        band = int(np.flatnonzero(bands[0] == bucket)[0])
+        minor = rows["minor"].to_numpy()
+        held = np.concatenate([x[:k] for x, k in zip(sets[:first], short)])
+        holder = np.repeat(np.arange(first), short[:first])
+        order = np.argsort(held, kind="stable")
+        held, holder = held[order], holder[order]
         group = {c: c for c in rows["component"]}
 
         def root(c):
@@ -207,17 +224,15 @@ def _rest(n: int, percent: int):
                 c = group[c]
             return c
 
-        own = rows["component"].to_numpy()
-        band = int(np.flatnonzero(bands[0] == bucket)[0])
-        out = []
-        for k in range(len(rows) - 1):
-            later = slice(k + 1, len(rows))
-            ok = (own[later] != own[k]) & (100 * np.minimum(size[k], size[later]) >= percent * np.maximum(size[k], size[later]))
-            if x != y:
-                ok &= side[later] != side[k]
-            at = np.flatnonzero(ok) + k + 1
-            if len(at):
-                at = at[(sketch[at] == sketch[k]).sum(axis=1) >= least]
+        for k in range(first, len(rows)):
+            mine = sets[k][: short[k]]
+            lo, hi = np.searchsorted(held, mine), np.searchsorted(held, mine, side="right")
+            met = [holder[x:y] for x, y in zip(lo.tolist(), hi.tolist()) if y > x]
+            if not met:
+                continue
+            at = np.unique(np.concatenate(met))
+            # Of two minor classes each would meet the other; one direction will do.
+            at = at[(own[at] != own[k]) & (~minor[at] | (rep[at] < rep[k])) & (100 * np.minimum(size[k], size[at]) >= percent * np.maximum(size[k], size[at]))]
             if len(at):
                 at = at[(bands[at] == bands[k]).argmax(axis=1) == band]
             at = [j for j in at.tolist() if root(own[j]) != root(own[k])]
@@ -249,21 +264,24 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, coordinates:
        company over all its buckets leads, and each other class is compared
        with it: one pair for each membership, never all pairs of a bucket.
     3. Buckets whose classes still lie in different components are looked at
-       again, in blocks, for pairs across components whose signatures do not
-       rule a link out; those are compared on full sets too.
+       again, in blocks: classes outside the bucket's largest component meet
+       all others whose sets can be linked with theirs, and are compared on
+       full sets too.
 
     Joins that carry texts or bands are always shuffled, so the plan is the
     same at every size.
 
     Null and empty texts have no shingles and are linked with nothing. Rows
-    without doc_id take no part: component_id is null and kept is true. A
-    repeated doc_id stands for one document, so its rows should repeat the
-    text. An empty table gives an empty table.
+    without doc_id take no part: component_id is null and kept is true. Rows
+    that repeat a doc_id, with one text or several, are one document: it is
+    linked with what any of its texts is linked with, its rows share one
+    class, and n_shingles is each row's own. An empty table gives an empty
+    table.
     """
     bands, rows = bands_for(percent / 100, coordinates)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = cut(texts.mapInArrow(_signer(n, coordinates, bands, rows), SIGNED), "signed")
-    reps = cut(signed.where("doc_id is not null").groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "bands", "sketch")).alias("s")).select("set_key", "s.*"), "reps")
+    reps = cut(signed.where("doc_id is not null").groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "bands")).alias("s")).select("set_key", "s.*"), "reps")
     member = reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     sizes = member.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     shared = cut(member.hint("merge").join(sizes, "bucket"), "shared")
@@ -281,20 +299,24 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, coordinates:
     discard(pairs)
     release(docs.sparkSession)
     part = connected_components(links, "leader", "member")
-    label = reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "sketch", "bands").join(part.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    label = reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "set_key", "bands").join(part.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     label = cut(label, "label")
     release(docs.sparkSession)
 
-    inside = shared.select("bucket", "rep").join(label.select("rep", "component"), "rep")
-    split = inside.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo < hi and size > 2")
-    left_over = cut(shared.select("bucket", "rep").join(split.select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "bucket"), "open")
+    inside = shared.select("bucket", "rep").join(label.select("rep", "component"), "rep").groupBy("bucket", "component").agg(F.count("*").alias("own"))
+    split = inside.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("own").alias("size"), F.max(F.struct("own", "component")).alias("large")).where("parts > 1 and size > 2")
+    many = lambda c: F.ceil(c / BLOCK).cast("int")
+    split = split.select("bucket", F.col("large.component").alias("large"), many(F.col("size")).alias("blocks"), many(F.col("size") - F.col("large.own")).alias("minors"))
+    left_over = cut(shared.select("bucket", "rep").join(split, "bucket"), "open")
     held = more = None
     if not left_over.isEmpty():
-        held = cut(left_over.select("rep").distinct().join(label, "rep").hint("merge").join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep").dropDuplicates(["rep"]), "held")
-        dealt = left_over.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        other = F.sequence(F.lit(0), F.col("blocks") - 1)
-        dealt = dealt.withColumn("o", F.explode(other)).select("bucket", "rep", "block", F.least("block", "o").alias("x"), F.greatest("block", "o").alias("y"))
-        more = dealt.join(held, "rep").groupBy("bucket", "x", "y").applyInPandas(_rest(n, percent), "leader long, member long").distinct()
+        held = cut(left_over.select("rep").distinct().join(label, "rep").hint("merge").join(texts.select(F.col("doc_id").alias("rep"), "text").distinct(), "rep"), "held")
+        dealt = left_over.join(label.select("rep", "component"), "rep").withColumn("minor", F.col("component") != F.col("large"))
+        block = lambda of: F.pmod(F.xxhash64("rep"), F.col(of)).cast("int")
+        all_of = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+        every = dealt.select("bucket", "rep", "minor", F.lit(False).alias("asks"), block("blocks").alias("x"), all_of("minors").alias("y"))
+        asking = dealt.where("minor").select("bucket", "rep", "minor", F.lit(True).alias("asks"), all_of("blocks").alias("x"), block("minors").alias("y"))
+        more = every.unionByName(asking).join(held, "rep").groupBy("bucket", "x", "y").applyInPandas(_rest(n, percent), "leader long, member long").distinct()
         more = cut(more, "more")
         if not more.isEmpty():
             part = connected_components(links.unionByName(more), "leader", "member")

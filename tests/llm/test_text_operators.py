@@ -2,7 +2,6 @@
 
 import collections
 import hashlib
-import math
 import random
 import re
 import zlib
@@ -86,16 +85,39 @@ def test_near_duplicates_without_a_hub(spark):
     assert found == components(rows, 3, 85)
 
 
-def test_signatures_rule_out_no_likely_pair():
-    # One pair over the threshold on full sets, with fewer equal coordinates than most such pairs have.
-    texts = [" ".join(f"w{i}" for i in range(a, a + 40)) for a in (0, 4)]
-    sketch = [bytes(180), bytes(115) + bytes([1]) * 65]
-    rows = pd.DataFrame({"rep": [1, 2], "text": texts, "sketch": sketch, "bands": [np.array([7, 1]), np.array([7, 2])], "n": [38, 38], "block": [0, 0], "component": [1, 2]})
-    assert near_dup._rest(3, 80)((7, 0, 0), rows).values.tolist() == [[1, 2]]
+def test_second_look_loses_no_pair():
+    """Every pair of random sets at or over the threshold shares an element of both prefixes."""
+    rnd = np.random.default_rng(4)
+    for _ in range(3000):
+        n, percent = int(rnd.integers(1, 60)), int(rnd.integers(50, 100))
+        pool = rnd.permutation(200)
+        a, b = set(pool[:n].tolist()), set(pool[int(rnd.integers(0, 1 + n // 3)) :][: int(rnd.integers(1, n + 3))].tolist())
+        if 100 * len(a & b) >= percent * len(a | b):
+            x, y = (set(sorted(s)[: int(near_dup.prefix_size(np.array(len(s)), percent))]) for s in (a, b))
+            assert x & y
+
+
+def test_second_look_in_one_block():
+    texts = [" ".join(f"w{i}" for i in range(a, a + 40)) for a in (0, 4, 1000)]
+    keys = [near_dup.set_key(near_dup._set_of(t, 3)) for t in texts]
+    rows = pd.DataFrame({"rep": [1, 2, 3, 2, 3], "text": [*texts, *texts[1:]], "set_key": [*keys, *keys[1:]], "bands": [np.array([7, k]) for k in (1, 2, 3, 2, 3)], "n": 38, "component": [1, 2, 3, 2, 3], "minor": [False, True, True, True, True], "asks": [False, False, False, True, True]})
+    assert near_dup._rest(3, 80)((7, 0, 0), rows).values.tolist() == [[2, 1]]
     assert near_dup._rest(3, 82)((7, 0, 0), rows).empty
-    for t in range(20, 100, 5):
-        least = near_dup.least_equal(t / 100, 180)
-        assert sum(math.comb(180, k) * (t / 100) ** k * (1 - t / 100) ** (180 - k) for k in range(least)) <= 1e-8
+    assert near_dup._rest(3, 80)((7, 0, 0), rows[rows["rep"] != 1]).empty
+
+
+def test_near_duplicates_in_small_blocks(spark, monkeypatch, corpus):
+    monkeypatch.setattr(near_dup, "BLOCK", 2)
+    monkeypatch.setattr(near_dup, "GROUP", 2)
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(frame(spark, corpus), 3, 60).collect()}
+    assert found == components(corpus, 3, 60)
+
+
+def test_near_duplicates_of_ids_with_several_texts(spark):
+    a, b = (" ".join(f"{c}{k}" for k in range(60)) for c in "ab")
+    rows = [(1, a), (2, a + " x"), (2, b), (3, b + " y"), (4, "other words only"), (4, "")]
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in near_dup.near_duplicates(frame(spark, rows), 3, 85).collect())
+    assert got == [(1, 1, True), (2, 1, False), (2, 1, False), (3, 1, False), (4, 4, True), (4, 4, True)]
 
 
 def test_near_duplicates_edges(spark, corpus):
