@@ -96,6 +96,18 @@ def _repeats(part: int, doc: np.ndarray, prints: np.ndarray, sources: np.ndarray
         yield "found", part, int(doc[a]), b - a, sorted_bytes(prints[a:b]), to_bytes(sources[a:b])
 
 
+#: Entries of a run in one row, and rows in one batch.
+ROW_ENTRIES = 1 << 16
+BATCH_ROWS = 64
+
+
+def _run_rows(part: int, keys: np.ndarray, owner: np.ndarray):
+    """Rows of a run: sorted distinct fingerprints and their owners."""
+    for a in range(0, len(keys), ROW_ENTRIES):
+        k, o = keys[a : a + ROW_ENTRIES], owner[a : a + ROW_ENTRIES]
+        yield "run", part, None, len(k), sorted_bytes(k), to_bytes(o)
+
+
 def _runs(width: int, parts: int):
     """Texts combined as far as ``COMBINE_BYTES`` go: one sorted run for every hash partition that they touch.
 
@@ -112,12 +124,12 @@ def _runs(width: int, parts: int):
         keys = ranked[first]
         home = ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
         edges = np.searchsorted(home, np.arange(parts + 1))
-        rows = [("run", int(p), None, int(b - a), sorted_bytes(keys[a:b]), to_bytes(least[a:b])) for p, a, b in zip(np.flatnonzero(np.diff(edges)), edges[:-1][np.diff(edges) > 0], edges[1:][np.diff(edges) > 0])]
+        rows = [x for p in np.flatnonzero(np.diff(edges)).tolist() for x in _run_rows(p, keys[edges[p] : edges[p + 1]], least[edges[p] : edges[p + 1]])]
         late = source < owner
         if late.any():
             # These pass the merge untouched, spread over all partitions by document.
             rows.extend((kind, doc % parts, doc, *rest) for kind, _, doc, *rest in _repeats(0, owner[late], ranked[late], source[late]))
-        return _table(rows).to_batches()
+        return _table(rows).to_batches(max_chunksize=BATCH_ROWS)
 
     def deal(batches):
         held, size = [], 0
@@ -164,7 +176,7 @@ def _merge(keep: bool):
         if keep and fresh.any():
             own_keys, own_owner = ranked[fresh], own[fresh]
             _, first, least = earliest(own_keys, own_owner)
-            rows.append(("run", part, None, len(first), sorted_bytes(own_keys[first]), to_bytes(least)))
+            rows.extend(_run_rows(part, own_keys[first], least))
         return pa.concat_tables([passed, _table(rows)])
 
     return work
@@ -174,7 +186,7 @@ def _compact(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """One hash partition of several runs, as one run."""
     keys, owner, _ = _load(table)
     order, first, least = earliest(keys, owner)
-    return _table([("run", key[0].as_py(), None, len(first), sorted_bytes(keys[order][first]), to_bytes(least))])
+    return _table(list(_run_rows(key[0].as_py(), keys[order][first], least)))
 
 
 class FingerprintLog:
