@@ -70,6 +70,19 @@ def merge_groups(df: DataFrame, keys: list[str], column: str = "sketch", k: int
     return step.groupBy(*keys).agg(F.sort_array(F.collect_list("h")).alias(column))
 
 
+def to_text(sketch: Column) -> Column:
+    """A sketch as text: sixteen hexadecimal digits for each hash, in ascending order."""
+    return F.array_join(F.transform(sketch, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
+
+
+def from_text(text: Column) -> Column:
+    """The sketch that ``to_text`` wrote."""
+    whole = F.regexp_extract_all(text, F.lit("[0-9a-f]{16}"), F.lit(0))
+    high = lambda h: F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint")
+    low = lambda h: F.conv(F.substring(h, 9, 8), 16, 10).cast("bigint")
+    return F.transform(whole, lambda h: F.shiftleft(high(h), 32).bitwiseOR(low(h)))
+
+
 def with_sketch(docs: DataFrame, column: str = "sketch", n: int = SHINGLE, k: int = K) -> DataFrame:
     """``docs`` with the sketch of each whole text; null text has an empty one."""
     keep = [F.col(f"`{c}`") for c in docs.columns if c != column]
@@ -109,8 +122,9 @@ def compare_with_edits(docs: DataFrame, n: int = SHINGLE, k: int = K) -> DataFra
     has no next document: its edited text keeps the first half only, and it
     is compared with an empty sketch. An empty table gives an empty table.
 
-    Texts are shuffled once, dealt by ranges of ids; each range is ordered by
-    itself, and only its first document crosses to the range before.
+    Texts are shuffled once, dealt by ranges of ids. The first document of
+    each range goes to the range before as well, as its last one's next, so
+    nothing but the ranges' first ids is broadcast.
     """
     held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     none = F.array().cast("array<bigint>")
@@ -118,17 +132,14 @@ def compare_with_edits(docs: DataFrame, n: int = SHINGLE, k: int = K) -> DataFra
     starts = range_starts(docs)
     joined = lone
     if starts:
-        known = held.where("doc_id is not null")
-        # One document for each range, found by its id; there are as many ids as ranges.
-        heads = docs.sparkSession.createDataFrame([(s,) for s in starts], "doc_id long")
-        first = known.join(F.broadcast(heads), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")).withColumn("w", words_of(F.col("text")))
-        head = first.select(F.pmod(range_of(F.col("doc_id"), starts) - 1, F.lit(len(starts))).alias("bucket"), F.struct(F.col("doc_id").alias("id"), "text", sketch_of_words(F.col("w"), n, k).alias("sketch")).alias("head"))
-        dealt = known.withColumn("bucket", range_of(F.col("doc_id"), starts)).repartition("bucket").withColumn("w", words_of(F.col("text")))
-        own = dealt.select("bucket", "doc_id", "text", sketch_of_words(F.col("w"), n, k).alias("sketch"))
-        order = Window.partitionBy("bucket").orderBy("doc_id", "text")
+        known = held.where("doc_id is not null").withColumn("at", range_of(F.col("doc_id"), starts))
+        before = F.pmod(F.col("at") - 1, F.lit(len(starts))).cast("int")
+        places = F.when(F.get(F.lit(starts), F.col("at")) == F.col("doc_id"), F.array(F.struct(F.col("at").alias("bucket"), F.lit(False).alias("guest")), F.struct(before.alias("bucket"), F.lit(True).alias("guest")))).otherwise(F.array(F.struct(F.col("at").alias("bucket"), F.lit(False).alias("guest"))))
+        dealt = known.select("doc_id", "text", F.explode(places).alias("p")).select("p.bucket", "p.guest", "doc_id", "text").repartition("bucket").withColumn("w", words_of(F.col("text")))
+        own = dealt.select("bucket", "guest", "doc_id", "text", sketch_of_words(F.col("w"), n, k).alias("sketch"))
+        order = Window.partitionBy("bucket").orderBy("guest", "doc_id", "text")
         after = own.withColumn("next", F.lead(F.struct(F.col("doc_id").alias("id"), "text", "sketch")).over(order))
-        after = after.join(F.broadcast(head), "bucket").select("doc_id", "text", "sketch", F.coalesce("next", "head").alias("next"))
-        joined = after.unionByName(lone)
+        joined = after.where("not guest").select("doc_id", "text", "sketch", "next").unionByName(lone)
     half = F.floor(F.col("n") / 2).cast("int")
     out = joined.withColumn("n", F.length("text")).withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n") - half), F.substring("next.text", F.lit(1), half)))
     out = out.select("doc_id", F.col("n").cast("long").alias("n_chars"), "edited", words_of(F.col("edited")).alias("ew"), "sketch", F.col("next.id").alias("next_id"), F.col("next.sketch").alias("next_sketch"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import oracles
 from .ann import nearest
-from .fingerprint import compare_with_edits
+from .fingerprint import compare_with_edits, containment, distinct_count, to_text
 from .html_text import extract_text
 from .license_scan import scan_licenses
 from .near_dup import near_duplicates
@@ -54,8 +54,7 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_document_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bottom-k fingerprints of all documents, against their edited texts and the next documents."""
     out = compare_with_edits(table(spark, sf_dir, "documents"))
-    digest = lambda c: F.sha2(F.concat_ws(",", F.col(c).cast("array<string>")), 256)
-    return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), digest("sketch").alias("fingerprint"), digest("edited_sketch").alias("edited_fingerprint"), "near_edited", "near_next")
+    return out.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), to_text(F.col("sketch")).alias("fingerprint"), to_text(F.col("edited_sketch")).alias("edited_fingerprint"), "near_edited", "near_next", distinct_count(F.col("sketch")).alias("n_distinct"), containment(F.col("sketch"), F.col("edited_sketch")).alias("kept_in_edited"))
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
