@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, ids
+from .common import BROADCAST_ROWS, Words, chunks
 
 HASHED = 1024
 REPEATS = 16
@@ -109,14 +109,14 @@ def _rows(batches):
     for batch in batches:
         for row, past, data, offsets in chunks(batch, "text", most=512):
             found = features(data, offsets)
-            yield pa.RecordBatch.from_arrays([batch.column("label").slice(row, past - row), pa.array([x.tobytes() for x in found], pa.binary())], names=["label", "row"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(row, past - row), batch.column("label").slice(row, past - row), pa.array([x.tobytes() for x in found], pa.binary())], names=["doc_id", "label", "row"])
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 2500, neighbours: int = 15, rank: int = 48) -> Voters:
     """Voters from at most ``sample`` labelled documents.
 
     ``labels`` has doc_id and label (0 or 1); rows with a null in either are
-    ignored, and of repeated ids one label stays. The sample is the labelled
+    ignored; of repeated ids the larger label stays and the smallest text. The sample is the labelled
     documents with the smallest hash of their id, so it does not depend on
     partitioning. It is the only thing collected, and its size is bounded by
     ``sample`` whatever the input.
@@ -124,11 +124,14 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = 2500, neighbou
     own = labels.where("doc_id is not null and label is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("label").cast("int")).alias("label"))
     picked = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    held = texts.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]) if sample <= 20000 else texts.join(picked, "doc_id").dropDuplicates(["doc_id"])
-    table = held.select("label", "text").mapInArrow(_rows, "label int, row binary").toArrow()
+    # The sample is bounded; within the limit it is small enough to be sent to every task.
+    held = texts.join(F.broadcast(picked) if sample <= BROADCAST_ROWS else picked, "doc_id")
+    held = held.groupBy("doc_id").agg(F.min(F.struct("text", "label")).alias("x")).select("doc_id", "x.*")
+    table = held.select("doc_id", "label", "text").mapInArrow(_rows, "doc_id long, label int, row binary").toArrow()
     y = table.column("label").to_numpy()
     x = np.frombuffer(b"".join(table.column("row").to_pylist()), dtype=np.float32).reshape(-1, WIDTH)
-    order = np.lexsort((x[:, :3].sum(axis=1), y))
+    # One order, whatever task a row came from, so that equally near neighbours are chosen alike.
+    order = np.argsort(table.column("doc_id").to_numpy(), kind="stable")
     return fit(x[order], y[order], rank, neighbours)
 
 

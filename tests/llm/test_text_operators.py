@@ -304,6 +304,31 @@ def test_fingerprints_against_sets(spark, corpus):
     assert {(r.doc_id, r.edited) for r in lone} == {(None, "ab cd "), (7, "x")}
 
 
+def test_fingerprint_over_many_ranges(spark):
+    """Next documents across the borders of ranges, with repeated ids and one id alone in its range."""
+    rows = [(k // 2 if k < 20 else k, " ".join(f"w{k}-{i}" for i in range(k % 7 + 1))) for k in range(60)]
+    order = sorted(rows)
+    got = sorted((r.doc_id, r.edited) for r in fingerprint.compare_with_edits(frame(spark, rows)).collect())
+    expected = []
+    for (k, t), (_, u) in zip(order, order[1:] + order[:1]):
+        expected.append((k, t[: len(t) - len(t) // 2] + u[: len(t) // 2]))
+    assert got == sorted(expected)
+
+
+def test_fingerprint_text_round_trip(spark):
+    df = spark.createDataFrame([([-(1 << 63), -5, 0, 1, (1 << 63) - 1],), ([],)], "s array<long>")
+    for r in df.select("s", fingerprint.from_text(fingerprint.to_text(F.col("s"))).alias("t"), fingerprint.to_text(F.col("s")).alias("x")).collect():
+        assert r.s == r.t and len(r.x) == 16 * len(r.s)
+
+
+def test_packing_groups_of_many_short_rows(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_ROWS", 50)
+    path = queries.tokenizer_file("word_bpe_49k.json")
+    out = packing.pack_documents(frame(spark, [(1, None)] * 300 + [(2, "same words")] * 300), path, room=64).collect()
+    assert len(out) == 600 + sum(r.start > 0 for r in out) and len({r.sequence_id >> 32 for r in out}) > 6
+    assert max(collections.Counter(r.sequence_id >> 32 for r in out).values()) < 150
+
+
 def test_fingerprint_merge_and_estimates(spark):
     rnd = random.Random(3)
     whole = [f"w{rnd.randrange(10**6)}" for _ in range(4000)]
