@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ast
 from collections.abc import Callable, Sequence
 from typing import Any
 
@@ -86,3 +87,34 @@ def list_metrics(a: Sequence[Any], b: Sequence[Any], compare: Callable[[Any, Any
         recall = tp / n if n else 1.0
     f1 = 2 * precision * recall / (precision + recall) if precision + recall else 0.0
     return {"tp": tp, "fp": m - tp, "fn": n - tp, "precision": precision, "recall": recall, "f1": f1, "matched_pairs": pairs}
+
+
+def as_list(value: Any) -> list[Any]:
+    """A list from any value: text like a list is read as one, anything else is a list of itself."""
+    if isinstance(value, str) and value.startswith("[") and value.endswith("]"):
+        try:
+            value = ast.literal_eval(value)
+        except (ValueError, SyntaxError):
+            # Not a list after all.
+            pass
+    return value if isinstance(value, list) else [value]
+
+
+def binary_compare(a: Any, b: Any, compare: Callable[[Any, Any], float], threshold: float = 0.7) -> tuple[int, int]:
+    """(tp, fp) of two lists, or of values that stand for lists."""
+    found = list_metrics(as_list(a), as_list(b), compare, threshold)
+    return found["tp"], found["fp"]
+
+
+def matching_info(a: Sequence[Any], b: Sequence[Any], compare: Callable[[Any, Any], float], threshold: float = 0.7) -> dict[str, Any]:
+    """Pairs with scores, pairs alone, and which indices of either side are in a pair and which are not."""
+    pairs = list_metrics(a or [], b or [], compare, threshold)["matched_pairs"] if a and b else []
+    left, right = {i for i, _, _ in pairs}, {j for _, j, _ in pairs}
+    return {
+        "matched_pairs": pairs,
+        "assignments": [(i, j) for i, j, _ in pairs],
+        "unmatched_gt_indices": [i for i in range(len(a or [])) if i not in left],
+        "unmatched_pred_indices": [j for j in range(len(b or [])) if j not in right],
+        "matched_gt_indices": left,
+        "matched_pred_indices": right,
+    }

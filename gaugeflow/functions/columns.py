@@ -1,17 +1,20 @@
 """Comparators and null predicates as Catalyst expressions.
 
 Each comparator is a function of two columns that gives a similarity from 0
-to 1 and never null. They run inside whole-stage code generation; nothing
-here starts a Python worker.
+to 1 and never null. They run inside whole-stage code generation; only the
+fuzzy ratios, which Spark lacks, start a Python worker.
 """
 
 from __future__ import annotations
 
 import string
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .scalars import Fuzzy, batch_scores
+
 # ASCII punctuation and white space, which the exact comparator ignores.
 IGNORED = string.punctuation + string.whitespace
 
@@ -100,33 +103,63 @@ def exact(a: Column, b: Column, case_sensitive: bool = False) -> Column:
     return _nulls(a, b, (x == y).cast("double"))
 
 
-def number(x: Column) -> Column:
-    """The decimal in a text: (n) is negative, other characters than digits, dot and minus go; null if none."""
+def _digits(x: Column) -> Column:
+    """A text without what is no part of a number: (n) is negative, other characters than digits, dot and minus go."""
     t = F.trim(x)
     bracketed = t.startswith("(") & t.endswith(")")
     t = F.when(bracketed, F.concat(F.lit("-"), F.regexp_replace(t, r"^\(|\)$", ""))).otherwise(t)
-    return F.regexp_replace(t, r"[^0-9.\-]", "").try_cast("decimal(38,10)")
+    return F.regexp_replace(t, r"[^0-9.\-]", "")
+
+
+def number(x: Column) -> Column:
+    """The decimal in a text, as far as 28 whole digits and 10 decimals hold it; null if none."""
+    return _digits(x).try_cast("decimal(38,10)")
+
+
+#: A value's number: the same ``key`` for equal numbers of any length, and its size for tolerances.
+NUMBER = "struct<key: string, exact: decimal(38,10), near: double>"
 
 
 def decimal_of(x: Column, kind: str = "str") -> Column:
-    """The decimal that a value of a declared type stands for; null if it stands for none."""
-    if kind in ("int", "float"):
-        return x.try_cast("decimal(38,10)")
-    return number(x)
+    """The number that a value of a declared type stands for, as ``NUMBER``; null if it stands for none."""
+    if kind == "int":
+        return F.when(x.isNotNull(), F.struct(x.cast("string").alias("key"), x.try_cast("decimal(38,10)").alias("exact"), x.cast("double").alias("near")))
+    if kind == "float":
+        # Equal doubles have equal shortest texts; the zeros are one number.
+        d = x.cast("double")
+        return F.when(d.isNotNull(), F.struct(F.when(d == 0, F.lit("0.0")).otherwise(d.cast("string")).alias("key"), d.try_cast("decimal(38,10)").alias("exact"), d.alias("near")))
+    t = _digits(x)
+    sign = F.when(t.startswith("-"), F.lit("-")).otherwise(F.lit(""))
+    whole = F.regexp_replace(F.regexp_extract(t, r"^-?([0-9]*)", 1), "^0+", "")
+    rest = F.regexp_replace(F.regexp_extract(t, r"\.([0-9]*)$", 1), "0+$", "")
+    plain = F.concat(whole, F.lit("."), rest)
+    key = F.when(plain == ".", F.lit(".")).otherwise(F.concat(sign, plain))
+    sound = t.rlike(r"^-?([0-9]+\.?[0-9]*|\.[0-9]+)$")
+    return F.when(sound, F.struct(key.alias("key"), t.try_cast("decimal(38,10)").alias("exact"), t.try_cast("double").alias("near")))
 
 
 def close(x: Column, y: Column, relative: float = 0.0, absolute: float = 0.0) -> Column:
-    """1 if two decimals agree within a tolerance, else 0; null agrees with nothing.
+    """1 if two numbers agree within a tolerance, else 0; null agrees with nothing.
 
-    The relative tolerance is of ``x``; where ``x`` is zero it bounds ``y``
-    itself and the absolute one is not consulted.
+    Without a tolerance all digits count. The relative tolerance is of ``x``;
+    where ``x`` is zero it bounds ``y`` itself and the absolute one is not
+    consulted. Tolerances are of decimals where both numbers fit, else of
+    doubles.
     """
-    gap = F.abs(x - y)
-    near = x == y
-    if absolute > 0:
-        near = near | (gap <= F.lit(absolute))
-    if relative > 0:
-        near = F.when((x == 0) & (y != 0), F.abs(y) <= F.lit(relative)).otherwise(near | (gap <= F.abs(x) * F.lit(relative)))
+    near = x["key"] == y["key"]
+    if absolute > 0 or relative > 0:
+        exact = x["exact"].isNotNull() & y["exact"].isNotNull()
+
+        def within(size: Column | None, limit: float) -> Column:
+            d, f = (F.abs(x["exact"] - y["exact"]), F.abs(x["near"] - y["near"])) if size is None else (size, F.abs(y["near"]))
+            return F.when(exact, d <= F.lit(limit)).otherwise(f <= F.lit(limit))
+
+        equal = near
+        if absolute > 0:
+            near = near | within(None, absolute)
+        if relative > 0:
+            part = F.when(exact, F.abs(x["exact"] - y["exact"]) <= F.abs(x["exact"]) * F.lit(relative)).otherwise(F.abs(x["near"] - y["near"]) <= F.abs(x["near"]) * F.lit(relative))
+            near = F.when((x["near"] == 0) & ~equal, within(F.abs(y["exact"]), relative)).otherwise(near | part)
     return F.coalesce(near.cast("double"), F.lit(0.0))
 
 
@@ -135,6 +168,16 @@ def numeric(a: Column, b: Column, relative: float = 0.0, absolute: float = 0.0,
     return _nulls(a, b, close(decimal_of(a, kind), decimal_of(b, kind), relative, absolute))
 
 
+def fuzzy(a: Column, b: Column, method: str = "ratio", normalize: bool = True) -> Column:
+    """A fuzzy ratio of two texts, in Arrow batches; each distinct pair of a batch is compared once."""
+
+    @F.pandas_udf("double")
+    def score(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series(batch_scores(Fuzzy(method=method, normalize=normalize), x, y))
+
+    return score(a, b)
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity of two arrays; 0 if one is null, empty or zero."""
     dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)

@@ -10,7 +10,8 @@ from __future__ import annotations
 import math
 import re
 import string
-from collections.abc import Callable
+import time
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from decimal import Decimal, InvalidOperation
 from functools import lru_cache
@@ -85,11 +86,20 @@ def indel_ratio(a: str, b: str) -> float:
 
 
 def partial_ratio(a: str, b: str) -> float:
-    """The best ratio of the shorter text with a window of the longer one; windows may run off its ends."""
+    """The best ratio of the shorter text with a window of the longer one; windows may run off its ends.
+
+    Of two texts of one length either may be the shorter, and the better way
+    counts.
+    """
     if len(a) > len(b):
         a, b = b, a
     if not a:
         return 1.0 if not b else 0.0
+    best = _best_window(a, b)
+    return max(best, _best_window(b, a)) if len(a) == len(b) and best < 1.0 else best
+
+
+def _best_window(a: str, b: str) -> float:
     n, best = len(a), 0.0
     for end in range(1, len(b) + n):
         window = b[max(0, end - n) : end]
@@ -237,6 +247,63 @@ class Fuzzy(Comparator):
         return RATIOS.get(self.method, indel_ratio)(a, b)
 
 
+@dataclass
+class Structured(Comparator):
+    """Records by the score of their model; without one, equality. Two texts are an error if types are strict."""
+
+    strict_types: bool = False
+    model: Any = None
+    name = "StructuredModelComparator"
+
+    def compare(self, a: Any, b: Any) -> float:
+        if self.strict_types and isinstance(a, str) and isinstance(b, str):
+            raise TypeError("only records are compared here, not texts")
+        if a is None or b is None:
+            return float(a is None and b is None)
+        if self.model is not None and isinstance(a, dict) and isinstance(b, dict):
+            from ..operators.document import Evaluator
+
+            return Evaluator(self.model).document(a, b).score
+        return float(a == b)
+
+
+def embedded(texts: Sequence[str], embed: Callable[[list[str]], list[list[float]]], attempts: int = 3, wait: float = 0.5) -> dict[str, list[float]]:
+    """The embedding of each distinct text, all in one call; a call that fails is tried again after longer and longer waits.
+
+    Texts are sent with single spaces; one without words has no embedding
+    and is not sent.
+    """
+    wanted = {t: squeeze(t) for t in texts}
+    asked = sorted({x for x in wanted.values() if x})
+    found: dict[str, list[float]] = {"": []}
+    for attempt in range(attempts):
+        try:
+            if asked:
+                found.update(zip(asked, embed(asked), strict=True))
+            break
+        except Exception:
+            if attempt + 1 == attempts:
+                raise
+            time.sleep(wait * 2**attempt)
+    return {t: found[x] for t, x in wanted.items()}
+
+
+def batch_scores(comparator: Comparator, a: Sequence[Any], b: Sequence[Any]) -> list[float]:
+    """Scores of paired values; each distinct pair is compared once, so a model is asked once."""
+    seen: dict[tuple, float] = {}
+    out = []
+    for x, y in zip(a, b):
+        pair = (None if _is_null(x) else x, None if _is_null(y) else y)
+        if pair not in seen:
+            seen[pair] = float(comparator.compare(*pair))
+        out.append(seen[pair])
+    return out
+
+
+def _is_null(x: Any) -> bool:
+    return x is None or (isinstance(x, float) and math.isnan(x))
+
+
 @dataclass
 class Semantic(Comparator):
     """Cosine of two embeddings from a pluggable function of one text; without one, equality."""
@@ -306,6 +373,7 @@ _registry: dict[str, type[Comparator]] = {
     "NumericExactC": Numeric,
     "FuzzyComparator": Fuzzy,
     "Fuzz": Fuzzy,
+    "StructuredModelComparator": Structured,
     "SemanticComparator": Semantic,
     "BERTComparator": Scored,
     "LLMComparator": Judged,

@@ -15,6 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.spec import ModelSpec
+from ..sources import records
+from . import flat, metrics
+from .flatten import evaluator_rows
 from .document import COUNTS, Evaluator, as_text, comparisons, long_rows, non_matches
 
 LONG = "doc_id string, path string, depth int, is_leaf boolean, " + ", ".join(f"{c} long" for c in COUNTS) + ", raw double, applied double, weight double, error string"
@@ -41,7 +44,7 @@ def _evaluate(model: ModelSpec, rows: Callable[[Evaluator, dict, dict, Any], lis
             out = []
             for doc, expected, predicted in zip(frame["doc_id"], frame["expected"], frame["predicted"]):
                 try:
-                    gt, pred = (model.from_json(json.loads(x)) if x is not None else dict.fromkeys(f.name for f in model.fields) for x in (expected, predicted))
+                    gt, pred = (model.from_json(records.unwrapped(json.loads(x))) if x is not None else dict.fromkeys(f.name for f in model.fields) for x in (expected, predicted))
                     found = rows(ev, gt, pred, ev.document(gt, pred))
                 except Exception as e:
                     # A bad document is a row with its error, not the end of the job.
@@ -65,7 +68,8 @@ def compare_documents(pairs: DataFrame, model: ModelSpec, count_list_extras: boo
     """One row for each document (empty path) and each of its fields, with counts and scores.
 
     A document that can't be read has one row, with ``error`` and no counts.
-    A null side is a record without values.
+    A null side is a record without values. A ``{value, confidence}`` object
+    stands for its value.
     """
     work = _evaluate(model, lambda ev, a, b, r: [(*x, None) for x in long_rows(r)], lambda e: [("", 0, False, *[0] * 6, None, None, None, e)], _names(LONG), count_list_extras)
     return _held(pairs).mapInPandas(work, LONG)
@@ -81,3 +85,47 @@ def document_comparisons(pairs: DataFrame, model: ModelSpec) -> DataFrame:
     """Every leaf comparison of every readable document."""
     work = _evaluate(model, lambda ev, a, b, r: [(k, as_text(x), l, as_text(y), m, s, w, why) for k, x, l, y, m, s, w, why in comparisons(ev, model, a, b, r.fields)], lambda e: [], _names(COMPARISON), False)
     return _held(pairs).mapInPandas(work, COMPARISON)
+
+
+def is_native(pairs: DataFrame, model: ModelSpec) -> bool:
+    """Whether both sides are structs of a model whose records have a native form."""
+    kinds = dict(pairs.dtypes)
+    return all(kinds[c].startswith("struct") for c in ("expected", "predicted")) and flat.supports(model)
+
+
+def compare_with(pairs: DataFrame, model: ModelSpec, non_matches: bool = False, comparisons: bool = False, evaluator_format: bool = False, recall_with_fd: bool = False, derived: bool = True, extras: str | None = None) -> dict[str, DataFrame]:
+    """Everything that a comparison of documents can give, as relations by name.
+
+    ``pairs`` has doc_id, expected and predicted. ``fields``: one row for each
+    document and field, natively where the model and its columns allow it,
+    else by the document evaluator, with the roll-up of counts under
+    ``aggregate``; ``scores``: overall_score of each document. On request:
+    ``non_matches``, ``comparisons``, ``evaluator`` and, by default,
+    ``metrics`` (corpus counts of every path with derived metrics). The
+    column ``extras`` counts undeclared keys where the sides are structs,
+    which have no others.
+    """
+    if is_native(pairs, model):
+        held = pairs.withColumn("doc_id", F.col("doc_id").cast("string"))
+        rows = flat.compare_flat(held, model, "expected", "predicted", documents=True, extras=extras).withColumn("error", F.lit(None).cast("string"))
+        rows = rows.select(*_names(LONG))
+    else:
+        rows = compare_documents(pairs, model)
+    sound = rows.where("error is null")
+    out = {"fields": rows, "scores": sound.where("path = ''").select("doc_id", F.col("applied").alias("overall_score")), "aggregate": metrics.roll_up(sound, ("doc_id",))}
+    if derived:
+        out["metrics"] = metrics.derived(metrics.bulk(sound), recall_with_fd)
+    if evaluator_format:
+        out["evaluator"] = evaluator_rows(sound, recall_with_fd)
+    if non_matches:
+        out["non_matches"] = document_non_matches(pairs, model)
+    if comparisons:
+        out["comparisons"] = document_comparisons(pairs, model)
+    return out
+
+
+def confidence_matches(pairs: DataFrame, model: ModelSpec) -> DataFrame:
+    """(doc_id, path, confidence, match, score): the comparisons whose predicted value came with a confidence."""
+    held = _held(pairs)
+    rows = document_comparisons(pairs, model).select("doc_id", F.col("actual_key").alias("path"), "match", "score")
+    return rows.join(records.confidences(held), ["doc_id", "path"]).select("doc_id", "path", "confidence", "match", "score")

@@ -69,6 +69,9 @@ class Compiled:
             ready = (lambda v: F.lower(C.squeeze(C.py_str(v, kind)))) if c.normalize else (lambda v: C.py_str(v, kind))
             x, y = (self._put(0, f"{path}~{k}", F.coalesce(ready(v), F.lit(""))) for k, v in (("a", a), ("b", b)))
             return self._put(1, f"{path}~s", C.levenshtein(x, y, normalize=False))
+        if isinstance(c, S.Fuzzy):
+            x, y = (self._put(0, f"{path}~{k}", C.py_str(v, kind)) for k, v in (("a", a), ("b", b)))
+            return self._put(1, f"{path}~s", C.fuzzy(x, y, c.method, c.normalize))
         if isinstance(c, S.Exact):
             ready = lambda v: C.strip_punctuation_space(C.py_str(v, kind) if c.case_sensitive else F.lower(C.py_str(v, kind)))
             x, y = (self._put(0, f"{path}~{k}", ready(v)) for k, v in (("a", a), ("b", b)))
@@ -90,7 +93,9 @@ class Compiled:
         bare = self._put(step + 1, f"{path}~bare", C._nulls(a, b, bare))
         score = F.when(kind == "tn", 1.0).when(kind.isin("fa", "fn"), 0.0).otherwise(raw)
         applied = self._put(step + 2, f"{path}~applied", F.when(kind == "fd", F.lit(0.0) if f.clip else raw).otherwise(score))
-        self.rows.append(self._row(f, path, depth, not below, kind, None, score, applied))
+        # A record that is missing on a side has nothing below it and is a leaf itself.
+        leaf = kind.isin("tn", "fa", "fn") if below else F.lit(True)
+        self.rows.append(self._row(f, path, depth, leaf, kind, None, score, applied))
         if below:
             self.missing.append((path, f"{path}~kind"))
         return step + 2, bare, applied
@@ -105,13 +110,13 @@ class Compiled:
         score = self._put(2, f"{path}~s", F.when((n == 0) & (m == 0), 1.0).when((n == 0) | (m == 0), 0.0).otherwise(common.cast("double") / F.greatest(n, m)))
         bare = self._put(3, f"{path}~bare", F.when(a.isNull() & b.isNull(), 1.0).when((n == 0) | (m == 0), 0.0).otherwise(score))
         own = counts(tp=common, fd=pairs - common, fa=m - pairs, fn=n - pairs, tn=((n == 0) & (m == 0)).cast("int"))
-        self.rows.append(self._row(f, path, depth, True, F.lit(None).cast("string"), own, score, score))
+        self.rows.append(self._row(f, path, depth, F.lit(True), F.lit(None).cast("string"), own, score, score))
         return 3, bare, score
 
-    def _row(self, f: FieldSpec, path: str, depth: int, leaf: bool, kind: Column, own: Column | None, raw: Column, applied: Column) -> Column:
+    def _row(self, f: FieldSpec, path: str, depth: int, leaf: Column, kind: Column, own: Column | None, raw: Column, applied: Column) -> Column:
         if own is None:
             own = F.struct(*[F.lit(None).cast("long").alias(c) for c in COUNTS])
-        return F.struct(F.lit(path).alias("path"), F.lit(depth).alias("depth"), F.lit(leaf).alias("is_leaf"), kind.alias("kind"), own.alias("own"), raw.alias("raw"), applied.alias("applied"), F.lit(float(f.weight)).alias("weight"), F.lit(float(f.threshold)).alias("threshold"))
+        return F.struct(F.lit(path).alias("path"), F.lit(depth).alias("depth"), leaf.alias("is_leaf"), kind.alias("kind"), own.alias("own"), raw.alias("raw"), applied.alias("applied"), F.lit(float(f.weight)).alias("weight"), F.lit(float(f.threshold)).alias("threshold"))
 
     def outcomes(self) -> Column:
         """All rows, without those below a record that is missing on a side."""
@@ -130,20 +135,62 @@ def _count(array: Column, key: Column) -> Column:
     return F.size(F.filter(array, lambda e: e == key))
 
 
-def compare_flat(pairs: DataFrame, model: ModelSpec, gt: str = "gt", pred: str = "pred", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Long relation of native outcomes: keys, path, depth, is_leaf, six counts, raw, applied, weight, threshold.
+ROW = ["path", "depth", "is_leaf", *COUNTS, "raw", "applied", "weight", "threshold", "outcome"]
+
+
+def _finished(r: Column) -> Column:
+    """A row with its six counts, from its own or from its outcome."""
+    by_kind = {c: F.coalesce(r["own"][c], (r["kind"] == c).cast("long")) for c in COUNTS}
+    by_kind["fp"] = F.coalesce(r["own"]["fp"], r["kind"].isin("fa", "fd").cast("long"))
+    return F.struct(r["path"].alias("path"), r["depth"].alias("depth"), r["is_leaf"].alias("is_leaf"), *[by_kind[c].alias(c) for c in COUNTS], r["raw"].alias("raw"), r["applied"].alias("applied"), r["weight"].alias("weight"), r["threshold"].alias("threshold"), r["kind"].alias("outcome"))
+
+
+def _whole(rows: Column, extras: Column) -> Column:
+    """The document's own row: sums over its direct fields and undeclared keys, and its weighted score."""
+    top = F.filter(rows, lambda r: r["depth"] == 1)
+    total = lambda get: F.aggregate(top, F.lit(0).cast("long"), lambda s, r: s + get(r))
+    mean = F.aggregate(top, F.lit(0.0), lambda s, r: s + r["applied"] * r["weight"]) / F.aggregate(top, F.lit(0.0), lambda s, r: s + r["weight"])
+    sums = {c: total(lambda r, c=c: r[c]) for c in COUNTS}
+    for c in ("fa", "fp"):
+        sums[c] = sums[c] + extras.cast("long")
+    score = F.coalesce(mean, F.lit(0.0))
+    none = F.lit(None).cast("double")
+    return F.struct(F.lit("").alias("path"), F.lit(0).alias("depth"), F.lit(False).alias("is_leaf"), *[sums[c].alias(c) for c in COUNTS], score.alias("raw"), score.alias("applied"), none.alias("weight"), none.alias("threshold"), F.lit(None).cast("string").alias("outcome"))
+
+
+def compare_flat(pairs: DataFrame, model: ModelSpec, gt: str = "gt", pred: str = "pred", keys: tuple[str, ...] = ("doc_id",), documents: bool = False, extras: str | None = None) -> DataFrame:
+    """Long relation of native outcomes: keys, path, depth, is_leaf, six counts, raw, applied, weight, threshold, outcome.
 
     ``gt`` and ``pred`` are structs with the model's fields. A nested struct
-    that is missing on one side has no rows for what is below it.
+    that is missing on one side has no rows for what is below it and is a
+    leaf. With ``documents`` each pair has a row of its own, with the empty
+    path; the column ``extras`` then holds the number of undeclared keys of
+    its prediction (``sources.records.parse`` counts them), which are false
+    alarms of the document.
     """
     built = Compiled(model, gt, pred)
-    wide = pairs.select(*keys, gt, pred)
+    wide = pairs.select(*keys, gt, pred, *([F.col(extras).alias("~extras")] if extras else []))
     for step in built.steps:
         wide = wide.withColumns(step) if step else wide
-    rows = wide.select(*keys, F.explode(built.outcomes()).alias("r")).select(*keys, "r.*")
-    by_kind = {c: F.coalesce(F.col(f"own.{c}"), (F.col("kind") == c).cast("long")) for c in COUNTS}
-    by_kind["fp"] = F.coalesce(F.col("own.fp"), F.col("kind").isin("fa", "fd").cast("long"))
-    return rows.select(*keys, "path", "depth", "is_leaf", *[by_kind[c].alias(c) for c in COUNTS], "raw", "applied", "weight", "threshold", F.col("kind").alias("outcome"))
+    if not documents:
+        return wide.select(*keys, F.explode(built.outcomes()).alias("r")).select(*keys, _finished(F.col("r")).alias("r")).select(*keys, *[f"r.{c}" for c in ROW])
+    rows = wide.select(*keys, *(["`~extras`"] if extras else []), F.transform(built.outcomes(), _finished).alias("~rows"))
+    own = _whole(F.col("~rows"), F.coalesce(F.col("~extras"), F.lit(0)) if extras else F.lit(0))
+    return rows.select(*keys, F.explode(F.array_prepend("~rows", own)).alias("r")).select(*keys, *[f"r.{c}" for c in ROW])
+
+
+def supports(model: ModelSpec) -> bool:
+    """Whether records of a model have a native form."""
+    for f in model.fields:
+        if f.kind == "struct":
+            if not supports(f.model):
+                return False
+        elif f.kind.startswith("list:"):
+            if not isinstance(f.comparator, S.Exact) or not 0 < f.threshold <= 1:
+                return False
+        elif f.is_list or not isinstance(f.comparator, (S.Exact, S.Levenshtein, S.Numeric, S.Fuzzy)):
+            return False
+    return True
 
 
 def document_scores(rows: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:

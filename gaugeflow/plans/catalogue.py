@@ -7,6 +7,7 @@ rules are SQL that Spark and DuckDB read alike.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import columns as C
-from ..functions.scalars import Exact, Fuzzy, Levenshtein, Numeric
+from ..functions.scalars import Exact, Levenshtein, Numeric
 from ..operators import anls, compare, flat, flatten, lists, metrics, packet
 from ..sources import records
 from .spec import FieldSpec, ModelSpec
@@ -37,14 +38,32 @@ def query(sql: str | None = None):
     return add
 
 
+def _all() -> None:
+    """The further modules register their queries when they are imported."""
+    from . import matching_queries, surface_queries  # noqa: F401
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _all()
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    _all()
     return dict(_oracle)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a temporary one of this machine only where Spark runs on it alone."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="gaugeflow-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root.rstrip("/")
+
+
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
@@ -70,7 +89,7 @@ def exact_sql(a: str, b: str, lower: bool = True) -> str:
 
 
 def numeric_sql(a: str, b: str, rel: float = 0.0, absolute: float = 0.0) -> str:
-    return f"(CASE WHEN {a} IS NULL AND {b} IS NULL THEN 1.0 WHEN {a} IS NULL OR {b} IS NULL THEN 0.0 WHEN {a} = {b} OR abs({a} - {b}) <= {absolute} OR ({rel} > 0 AND abs({a} - {b}) <= abs({a}) * {rel}) THEN 1.0 ELSE 0.0 END)"
+    return f"(CASE WHEN {a} IS NULL AND {b} IS NULL THEN 1.0 WHEN {a} IS NULL OR {b} IS NULL THEN 0.0 WHEN {a} = {b} OR ({absolute} > 0 AND abs({a} - {b}) <= {absolute} AND NOT ({rel} > 0 AND {a} = 0)) OR ({rel} > 0 AND abs({a} - {b}) <= CASE WHEN {a} = 0 THEN {rel} ELSE abs({a}) * {rel} END) THEN 1.0 ELSE 0.0 END)"
 
 
 def _neighbours(spark: SparkSession, d: str) -> DataFrame:
@@ -104,9 +123,12 @@ def cmp_numeric_abs(spark, d):
     return _neighbours(spark, d).select("p_partkey", C.numeric(F.col("p_retailprice"), F.col("other_price"), absolute=0.15, kind="float").alias("score"))
 
 
-@query(f"SELECT c_custkey, {numeric_sql('c_acctbal', 'b', rel=0.03)} AS score FROM (SELECT c_custkey, c_acctbal, c_acctbal * CASE c_custkey % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 1.02 ELSE 1.05 END AS b FROM customer WHERE c_acctbal <> 0)")
+@query(f"SELECT c_custkey, {numeric_sql('c_acctbal', 'b', rel=0.03)} AS score FROM (SELECT c_custkey, c_acctbal, c_acctbal * CASE c_custkey % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 1.02 ELSE 1.05 END AS b FROM (SELECT c_custkey, CASE WHEN c_custkey % 50 = 0 THEN 0 ELSE c_acctbal END AS c_acctbal FROM customer) UNION ALL SELECT -c_custkey, 0, (c_custkey % 7 - 3) / 100.0 FROM customer)")
 def cmp_numeric_rel(spark, d):
-    c = table(spark, d, "customer").where("c_acctbal <> 0").withColumn("b", F.expr("c_acctbal * CASE c_custkey % 3 WHEN 0 THEN 1.0D WHEN 1 THEN 1.02D ELSE 1.05D END"))
+    """Balances that are off by some percent; where the truth is zero the tolerance bounds the prediction itself."""
+    own = table(spark, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 50 == 0, 0.0).otherwise(F.col("c_acctbal")).alias("c_acctbal"))
+    c = own.withColumn("b", F.expr("c_acctbal * CASE c_custkey % 3 WHEN 0 THEN 1.0D WHEN 1 THEN 1.02D ELSE 1.05D END"))
+    c = c.unionByName(own.select((-F.col("c_custkey")).alias("c_custkey"), F.lit(0.0).alias("c_acctbal"), ((F.col("c_custkey") % 7 - 3) / 100.0).alias("b")))
     return c.select("c_custkey", C.numeric(F.col("c_acctbal"), F.col("b"), relative=0.03, kind="float").alias("score"))
 
 
@@ -132,24 +154,6 @@ def binary_compare(spark, d):
     return hit.agg(F.sum("b.tp").cast("long").alias("tp"), F.sum("b.fp").cast("long").alias("fp"))
 
 
-def _fuzzy(method: str):
-    def run(spark, d):
-        compare_ = Fuzzy(method=method)
-
-        def work(frames):
-            for f in frames:
-                yield f[["p_partkey"]].assign(score=[round(compare_(a, b), 6) for a, b in zip(f["p_name"], f["other"])])
-
-        return _neighbours(spark, d).mapInPandas(work, "p_partkey long, score double")
-
-    run.__doc__ = f"Fuzzy {method} of neighbouring part names."
-    return run
-
-
-for _name, _method in (("cmp_fuzzy_ratio", "ratio"), ("cmp_partial", "partial_ratio"), ("cmp_token_sort", "token_sort_ratio"), ("cmp_token_set", "token_set_ratio")):
-    _queries[_name] = _fuzzy(_method)
-
-
 # ---------------------------------------------------------------- flat records
 
 ORDER = ModelSpec("Order", [
@@ -277,24 +281,29 @@ CUSTOMER = ModelSpec("Customer", [
     FieldSpec("segment", "str", Exact(), 1.0),
     FieldSpec("nation", "struct", threshold=0.7, model=ADDRESS, weight=2.0),
 ])
-CUSTOMER_SQL = "c AS (SELECT c_custkey AS doc_id, c_name AS a_name, CASE WHEN c_custkey % 6 = 0 THEN c_name || ' Ltd' ELSE c_name END AS b_name, c_mktsegment AS a_segment, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_mktsegment END AS b_segment, n_name AS a_nation, CASE WHEN c_custkey % 5 = 0 THEN 'ELSEWHERE' ELSE n_name END AS b_nation, r_name AS a_region, CASE WHEN c_custkey % 10 = 0 THEN 'NOWHERE' ELSE r_name END AS b_region, c_custkey % 8 = 0 AS gone FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
+CUSTOMER_SQL = "c AS (SELECT c_custkey AS doc_id, c_name AS a_name, CASE WHEN c_custkey % 6 = 0 THEN c_name || ' Ltd' ELSE c_name END AS b_name, c_mktsegment AS a_segment, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_mktsegment END AS b_segment, n_name AS a_nation, CASE WHEN c_custkey % 5 = 0 THEN 'ELSEWHERE' ELSE n_name END AS b_nation, r_name AS a_region, CASE WHEN c_custkey % 10 = 0 THEN 'NOWHERE' ELSE r_name END AS b_region, c_custkey % 8 = 0 AS gone, c_custkey % 9 = 4 AS lost FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
 CUSTOMER_LONG = CUSTOMER_SQL + f""", s AS (SELECT *, {lev_sql('a_name', 'b_name')} AS name_s, {exact_sql('a_nation', 'b_nation')} AS nation_s, {exact_sql('a_region', 'b_region')} AS region_s FROM c),
 l AS (SELECT doc_id, 'name' AS path, true AS leaf, 1 AS depth, CASE WHEN name_s >= 0.9 THEN 'tp' ELSE 'fd' END AS kind FROM s
 UNION ALL SELECT doc_id, 'segment', true, 1, CASE WHEN b_segment IS NULL THEN 'fn' ELSE 'tp' END FROM s
-UNION ALL SELECT doc_id, 'nation', false, 1, CASE WHEN gone THEN 'fn' WHEN (nation_s + region_s) / 2 >= 0.7 THEN 'tp' ELSE 'fd' END FROM s
-UNION ALL SELECT doc_id, 'nation.name', true, 2, CASE WHEN nation_s >= 1 THEN 'tp' ELSE 'fd' END FROM s WHERE NOT gone
-UNION ALL SELECT doc_id, 'nation.region', true, 2, CASE WHEN region_s >= 1 THEN 'tp' ELSE 'fd' END FROM s WHERE NOT gone),
+UNION ALL SELECT doc_id, 'nation', gone OR lost, 1, CASE WHEN gone AND lost THEN 'tn' WHEN lost THEN 'fa' WHEN gone THEN 'fn' WHEN (nation_s + region_s) / 2 >= 0.7 THEN 'tp' ELSE 'fd' END FROM s
+UNION ALL SELECT doc_id, 'nation.name', true, 2, CASE WHEN nation_s >= 1 THEN 'tp' ELSE 'fd' END FROM s WHERE NOT gone AND NOT lost
+UNION ALL SELECT doc_id, 'nation.region', true, 2, CASE WHEN region_s >= 1 THEN 'tp' ELSE 'fd' END FROM s WHERE NOT gone AND NOT lost),
 o AS (SELECT doc_id, path, leaf, depth, {', '.join(f"CASE WHEN kind = '{c}' THEN 1 ELSE 0 END AS {c}" for c in COUNTS if c != 'fp')}, CASE WHEN kind IN ('fa', 'fd') THEN 1 ELSE 0 END AS fp FROM l)"""
 
 
-def _customer_long(spark, d):
+def customer_pairs(spark, d):
+    """(doc_id, gt, pred) of customers; either side, or both, may lack the nation."""
     nation = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     c = table(spark, d, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
     k = F.col("c_custkey")
-    gt = F.struct(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"), F.struct(F.col("n_name").alias("name"), F.col("r_name").alias("region")).alias("nation"))
+    gt = F.struct(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"), F.when(k % 9 != 4, F.struct(F.col("n_name").alias("name"), F.col("r_name").alias("region"))).alias("nation"))
     there = F.struct(F.when(k % 5 == 0, "ELSEWHERE").otherwise(F.col("n_name")).alias("name"), F.when(k % 10 == 0, "NOWHERE").otherwise(F.col("r_name")).alias("region"))
     pred = F.struct(F.when(k % 6 == 0, F.concat("c_name", F.lit(" Ltd"))).otherwise(F.col("c_name")).alias("name"), F.when(k % 4 != 0, F.col("c_mktsegment")).alias("segment"), F.when(k % 8 != 0, there).alias("nation"))
-    return flat.compare_flat(c.select(k.alias("doc_id"), gt.alias("gt"), pred.alias("pred")), CUSTOMER)
+    return c.select(k.alias("doc_id"), gt.alias("gt"), pred.alias("pred"))
+
+
+def _customer_long(spark, d):
+    return flat.compare_flat(customer_pairs(spark, d), CUSTOMER)
 
 
 @query(f"WITH {CUSTOMER_LONG} SELECT path, {SUMS} FROM o GROUP BY path")
@@ -303,18 +312,21 @@ def nested_struct(spark, d):
     return metrics.bulk(_customer_long(spark, d))
 
 
-@query(f"WITH {CUSTOMER_LONG}, up AS (SELECT doc_id, path, leaf, depth, {', '.join(COUNTS)} FROM o UNION ALL SELECT doc_id, 'nation', leaf, depth, {', '.join(COUNTS)} FROM o WHERE path LIKE 'nation.%' UNION ALL SELECT doc_id, '', leaf, depth, {', '.join(COUNTS)} FROM o) SELECT path, {SUMS} FROM up WHERE leaf OR (path = 'nation' AND NOT EXISTS (SELECT 1 FROM o x WHERE x.doc_id = up.doc_id AND x.path = 'nation.name') AND false) GROUP BY path")
+ROLLED_UP = f"WITH {CUSTOMER_LONG}, up AS (SELECT path, {', '.join(COUNTS)} FROM o WHERE leaf UNION ALL SELECT 'nation', {', '.join(COUNTS)} FROM o WHERE path LIKE 'nation.%' UNION ALL SELECT '', {', '.join(COUNTS)} FROM o WHERE leaf) SELECT path, {SUMS} FROM up GROUP BY path"
+
+
+@query(ROLLED_UP)
 def aggregate_rollup(spark, d):
-    """Leaf counts rolled up to every node and summed over documents."""
+    """Leaf counts rolled up to every node and summed over documents; a record missing on a side counts itself."""
     return metrics.bulk(metrics.roll_up(_customer_long(spark, d)))
 
 
-@query("SELECT 'k' AS key, 0 AS declared, count(*) AS fa FROM events WHERE props LIKE '%\"k\":%'")
+@query("SELECT '' AS path, CAST(sum(CASE WHEN props LIKE '%\"k\":%' THEN 1 ELSE 0 END) AS BIGINT) AS fa, CAST(sum(CASE WHEN props LIKE '%\"k\":%' THEN 1 ELSE 0 END) AS BIGINT) AS fp FROM events")
 def hallucinated_fa(spark, d):
-    """Undeclared keys of JSON predictions, as false alarms."""
+    """Undeclared keys of JSON predictions are false alarms of their documents."""
     model = ModelSpec("Event", [FieldSpec("page", "str", optional=True)])
-    e = records.parse(table(spark, d, "events").select("props"), model, "props")
-    return e.select(F.explode("extra_keys").alias("key")).groupBy("key").agg(F.lit(0).alias("declared"), F.count("*").alias("fa")).select("key", "declared", "fa")
+    e = table(spark, d, "events").select(F.col("event_id").alias("doc_id"), F.lit("{}").alias("expected"), F.col("props").alias("predicted"))
+    return metrics.bulk(compare.compare_documents(e, model)).where("path = ''").select("path", "fa", "fp")
 
 
 # ---------------------------------------------------------------- lists
@@ -363,30 +375,9 @@ def _item_lists(spark, d):
     return each.groupBy("doc_id").agg(F.array_sort(F.collect_list("a")).alias("gt"), F.reverse(F.array_sort(F.collect_list("b"))).alias("pred"))
 
 
-@query()
-def list_levenshtein_match(spark, d):
-    """Lists of names matched optimally by edit distance."""
-    names = _item_lists(spark, d).select("doc_id", F.col("gt.name").alias("a"), F.col("pred.name").alias("b"))
-    return r6(lists.match_lists(names, "a", "b", threshold=0.8).select("doc_id", "tp", "fd", "fa", "fn", "score"))
-
-
 ITEM_FIELDS = [("flag", C.exact, 1.0), ("quantity", lambda a, b: C.numeric(a, b, kind="float"), 1.0), ("name", C.levenshtein, 2.0)]
 
 
-@query()
-def struct_list_match(spark, d):
-    """Lists of records matched optimally by weighted similarity."""
-    return r6(lists.match_structs(_item_lists(spark, d), "gt", "pred", ITEM_FIELDS, 0.8).select("doc_id", "tp", "fd", "fa", "fn", "score"))
-
-
-@query()
-def struct_list_nested_metrics(spark, d):
-    """Field counts over the pairs that reach the match threshold."""
-    good = lists.gated_pairs(lists.match_structs(_item_lists(spark, d), "gt", "pred", ITEM_FIELDS, 0.8), "gt", "pred", 0.8)
-    scored = good.select(F.explode(F.array(*[F.struct(F.lit(n).alias("path"), (f(F.col(f"gt.{n}"), F.col(f"pred.{n}")) >= 0.8).cast("long").alias("tp")) for n, f, _ in ITEM_FIELDS])).alias("r"))
-    return scored.select("r.*").groupBy("path").agg(F.sum("tp").alias("tp"), (F.count("*") - F.sum("tp")).alias("fd"))
-
-
 ITEM = ModelSpec("Item", [FieldSpec("flag", "str", Exact(), 1.0), FieldSpec("quantity", "float", Numeric(), 1.0), FieldSpec("name", "str", Levenshtein(), 0.9, weight=2.0)], match_threshold=0.8)
 PURCHASE = ModelSpec("Purchase", [FieldSpec("key", "int", Exact(), 1.0), FieldSpec("items", "list", model=ITEM, weight=2.0)], match_threshold=0.7)
 BUYER = ModelSpec("Buyer", [FieldSpec("segment", "str", Exact(), 1.0), FieldSpec("orders", "list", model=PURCHASE)])
@@ -443,12 +434,6 @@ def _anls_orders(spark, d):
     return both.select("doc_id", anls.anls_json(F.col("a"), F.col("b")).alias("r"))
 
 
-@query()
-def anls_nested(spark, d):
-    """Scores of orders with item lists, without a schema."""
-    return r6(_anls_orders(spark, d).select("doc_id", F.col("r.score").alias("score")))
-
-
 @query(f"SELECT 'priority' AS path, round(avg({anls_sql('o_orderpriority', 'b')}), 6) AS score, count(*) AS n FROM (SELECT *, {GUESS['priority']} AS b FROM orders)")
 def key_score_mean(spark, d):
     o = table(spark, d, "orders").select(F.to_json(F.struct(F.col("o_orderpriority").alias("priority"))).alias("a"), F.to_json(F.struct(F.expr(GUESS["priority"]).alias("priority"))).alias("b"))
@@ -557,11 +542,6 @@ def stream_bulk_metrics(spark, d):
     events = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
     hit = (F.col("value") >= 20).cast("long")
     long = events.select(F.col("event_type").alias("path"), hit.alias("tp"), (1 - hit).alias("fd"), (1 - hit).alias("fp"), *[F.lit(0).cast("long").alias(c) for c in ("fa", "tn", "fn")])
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        import tempfile
-
-        root = "file://" + tempfile.mkdtemp(prefix="gaugeflow-")
-    stream = streams.start(streams.running_totals(long), name, f"{root}/{name}")
+    stream = streams.start(streams.running_totals(long), name, f"{shared_folder(spark)}/{name}")
     stream.awaitTermination()
     return spark.table(name).select("path", "tp", "fd")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.spec import ModelSpec
 
@@ -13,19 +14,37 @@ from ..plans.spec import ModelSpec
 def json_pairs(df: DataFrame, expected: str = "expected", predicted: str = "predicted", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, expected, predicted) JSON texts; rows without readable objects on both sides are skipped.
 
-    Without an id column a row is named after its content, which does not
-    depend on how the table is partitioned.
+    Without an id column a row is named after its content and, where rows
+    repeat, its number among them, which does not depend on how the table is
+    partitioned. Repeated rows are counted before they are numbered, so they
+    are not gathered in one task.
     """
-    name = F.col(doc_id).cast("string") if doc_id in df.columns else F.concat(F.lit("row_"), F.hex(F.xxhash64(expected, predicted)))
-    held = df.select(name.alias("doc_id"), F.col(expected).alias("expected"), F.col(predicted).alias("predicted"))
+    if doc_id in df.columns:
+        held = df.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(expected).alias("expected"), F.col(predicted).alias("predicted"))
+    else:
+        each = df.groupBy(F.col(expected).alias("expected"), F.col(predicted).alias("predicted")).agg(F.count("*").alias("n"))
+        named = F.concat(F.lit("row_"), F.hex(F.xxhash64("expected", "predicted")))
+        held = each.select(named.alias("name"), "expected", "predicted", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("k"))
+        held = held.select(F.when(F.col("k") == 1, F.col("name")).otherwise(F.concat_ws("_", "name", "k")).alias("doc_id"), "expected", "predicted")
     sound = lambda c: F.coalesce(F.json_object_keys(c).isNotNull(), F.lit(False))
     return held.where(sound("expected") & sound("predicted"))
 
 
+def _undeclared(column: Column, model: ModelSpec) -> Column:
+    """How many keys of a JSON object and of the nested objects that the model declares are not declared."""
+    names = F.array(*[F.lit(f.name) for f in model.fields]) if model.fields else F.array().cast("array<string>")
+    total = F.coalesce(F.size(F.array_except(F.json_object_keys(column), names)), F.lit(0))
+    for f in model.fields:
+        if f.kind == "struct":
+            total = total + _undeclared(F.get_json_object(column, f"$['{f.name}']"), f.model)
+    return total
+
+
 def parse(df: DataFrame, model: ModelSpec, column: str, to: str = "record") -> DataFrame:
-    """``df`` with the model's struct from JSON text, and the undeclared top-level keys."""
+    """``df`` with the model's struct from JSON text, the undeclared top-level keys, and ``n_extras``, which counts nested ones too."""
     declared = F.array(*[F.lit(f.name) for f in model.fields])
-    return df.withColumns({to: F.from_json(column, model.schema()), "extra_keys": F.array_except(F.coalesce(F.json_object_keys(column), F.array().cast("array<string>")), declared)})
+    keys = F.array_except(F.coalesce(F.json_object_keys(column), F.array().cast("array<string>")), declared)
+    return df.withColumns({to: F.from_json(column, model.schema()), "extra_keys": keys, "n_extras": _undeclared(F.col(column), model)})
 
 
 def packet_pages(spark: SparkSession, data) -> DataFrame:
@@ -88,7 +107,12 @@ def write_results(long: DataFrame, path: str) -> None:
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
     """The long relation of ``write_results``."""
-    return spark.read.json(path).select("doc_id", F.inline("comparison_result"))
+    from ..operators.compare import LONG
+
+    fields = T.StructType.fromDDL(LONG)
+    inner = T.StructType([f for f in fields if f.name != "doc_id"])
+    held = T.StructType([fields["doc_id"], T.StructField("comparison_result", T.ArrayType(inner))])
+    return spark.read.schema(held).json(path).select("doc_id", F.inline("comparison_result"))
 
 
 def save_state(totals: DataFrame, path: str) -> None:
