@@ -2,11 +2,13 @@
 
 A page is parsed into blocks of text. Markup settles what it can: text in
 menus, forms, adverts and the like is no main text, and text in an article
-element is. All pages of a host, in bounded groups, then put their token
-streams one after another; a suffix array of the whole, sorted as deep as the
-shortest passage of interest, brings repeated passages together, and those
-found in two pages are boilerplate unless the article element holds them.
-What remains of a page that has no article element are its unique runs.
+element is. Two kinds of blocks it leaves open: those of pages without an
+article, and those inside an article whose class or id only holds a word such
+as share or related. All pages of a host, in bounded groups, then put their
+token streams one after another; a suffix array of the whole, sorted as deep
+as the shortest passage of interest, brings repeated passages together, and
+what stands in two pages is boilerplate among the open blocks. What remains
+of them are their unique runs.
 """
 
 from __future__ import annotations
@@ -26,8 +28,9 @@ from .url_filter import host_of
 
 #: Tokens in the shortest passage that counts as repeated.
 PASSAGE = 8
-#: Pages of one host that share a suffix array, and pages in a task.
+#: Pages of one host that share a suffix array, and their bytes; a task has as much.
 GROUP_PAGES = 2000
+GROUP_BYTES = 16 << 20
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>?", re.S)
 #: One attribute with its value, so that nothing inside a value counts as an attribute.
@@ -39,16 +42,24 @@ ARTICLE = frozenset(("article", "main"))
 WHOLE = frozenset(("html", "body", *ARTICLE))
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Words of a class or id that mark an element outside an article as boilerplate, also as a part of a name.
 CHROME_WORD = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|sidebar|side-bar|menu|navbar|navigation|nav|breadcrumbs?|footer|masthead|cookies?|consent|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login|search|share|sharing|social|related|recommend\w*|comments?|disqus|respond|pagination|pager|widget|toolbar|skip-link)(?:$|[\s_-])", re.I)
+#: Inside an article, words of adverts, comments, forms and notices do so only where they are the whole name or name a list, box and the like,
+ARTICLE_CHROME = re.compile(r"(?:^|\s)(?:ads?|advert|advertisement|sponsored|promo|promotion|cookie|cookies|consent|notice|alert|popup|modal|newsletter|subscribe|signup|login|comments?|disqus|respond)(?:[_-](?:area|banner|bar|block|box|container|content|form|inner|item|list|message|notice|panel|section|slot|thread|unit|wrap|wrapper))*(?:$|\s)", re.I)
+#: and words of menus and sidebars only where they are the whole name. Other names with such words leave the element open.
+ARTICLE_FRAME = re.compile(r"(?:^|\s)(?:sidebar|side-bar|menu|nav|navbar|navigation|breadcrumbs?|footer|pagination|pager|toolbar|skip-link)(?:$|\s)", re.I)
 #: Names such as has-sidebar tell what stands beside or inside an element, not what it is.
 LAYOUT_WORD = re.compile(r"(?:^|(?<=\s))(?:has|with|without|no|not|show|hide)[_-]\S*", re.I)
 CHROME_ROLE = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar".split())
 
-BOILER, OPEN, MAIN = 0, 1, 2
+#: MAYBE: in an article, for repeated runs to decide.
+BOILER, OPEN, MAIN, MAYBE = 0, 1, 2, 3
+#: Fills short open blocks of an article up to a run's length, so that they can be found again whole.
+FILL = "\0"
 
 
 def _chrome_of(name: str, attributes: str, inside_article: bool) -> str | None:
-    """What marks an element as boilerplate: its tag, an attribute, or only a word of its class or id; else None."""
+    """What marks an element as boilerplate: its tag, an attribute, or only a word of its class or id; "maybe" if runs decide; else None."""
     if name in CHROME and not (name == "header" and inside_article):
         return "tag"
     held: dict[str, str] = {}
@@ -58,8 +69,13 @@ def _chrome_of(name: str, attributes: str, inside_article: bool) -> str | None:
         return "attribute"
     if held.get("role", "").lower() in CHROME_ROLE:
         return "attribute"
-    if name not in WHOLE and any(CHROME_WORD.search(LAYOUT_WORD.sub(" ", held.get(k, ""))) for k in ("class", "id")):
+    if name in WHOLE:
+        return None
+    names = [LAYOUT_WORD.sub(" ", held.get(k, "")) for k in ("class", "id")]
+    if inside_article and any(ARTICLE_CHROME.search(x) or ARTICLE_FRAME.search(x) for x in names):
         return "word"
+    if any(CHROME_WORD.search(x) for x in names):
+        return "maybe" if inside_article else "word"
     return None
 
 
@@ -84,18 +100,30 @@ def _blocks(page: str, around: bool) -> tuple[list[tuple[int, str]], bool]:
     """
     out: list[tuple[int, str]] = []
     parts: list[str] = []
-    open_chrome: list[list] = []  # [name, depth of the same name, mark]
+    open_chrome: list[list] = []  # [name, depth of the same name, mark, where it began in an unfinished block if it is inline]
     layout: list = []  # [name, depth of the same name]
+    maybe: list = []  # [name, depth of the same name], of an element of the article that runs decide
     articles = 0
     covered = False
+    unclosed: set[str] = set()
     at = 0
 
+    def emit(text: str, zone: int) -> None:
+        text = " ".join(html.unescape(text).split())
+        if text:
+            out.append((zone, text))
+
     def flush() -> None:
         if parts:
-            text = " ".join(html.unescape("".join(parts)).split())
+            own = OPEN if not articles else MAYBE if maybe else MAIN
+            if open_chrome and open_chrome[-1][3] is not None:
+                # An inline element of boilerplate: what stood before it in its block is not part of it.
+                emit("".join(parts[: open_chrome[-1][3]]), own)
+                emit("".join(parts[open_chrome[-1][3] :]), BOILER)
+                open_chrome[-1][3] = 0
+            else:
+                emit("".join(parts), BOILER if open_chrome else own)
             parts.clear()
-            if text:
-                out.append((BOILER if open_chrome else MAIN if articles else OPEN, text))
 
     while True:
         m = TOKEN.search(page, at)
@@ -110,7 +138,10 @@ def _blocks(page: str, around: bool) -> tuple[list[tuple[int, str]], bool]:
             continue
         closing = m[1] == "/"
         if not closing and name in RAW_TEXT:
-            end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
+            end = None if name in unclosed else re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
+            if not end:
+                # Nor will a later one be closed.
+                unclosed.add(name)
             if name not in ("svg", "math") or end:
                 at = end.end() if end else len(page)
             if name == "title" or name in BLOCK:
@@ -122,18 +153,30 @@ def _blocks(page: str, around: bool) -> tuple[list[tuple[int, str]], bool]:
             parts.append(" ")
         if name in VOID:
             continue
+        if maybe and name == maybe[0] and not open_chrome:
+            if closing and maybe[1] == 1:
+                flush()
+            maybe[1] += -1 if closing else 1
+            if maybe[1] == 0:
+                maybe = []
         if layout and name == layout[0]:
             layout[1] += -1 if closing else 1
             if layout[1] == 0:
                 layout = []
         if closing:
             if open_chrome and open_chrome[-1][0] == name:
-                flush()
+                inline = open_chrome[-1][3]
+                if inline is None:
+                    flush()
                 open_chrome[-1][1] -= 1
                 if open_chrome[-1][1] == 0:
                     open_chrome.pop()
+                    if inline is not None:
+                        parts[inline:] = [" "]
             elif name in ARTICLE and not open_chrome:
                 articles = max(0, articles - 1)
+                if not articles:
+                    maybe = []
         elif open_chrome:
             if name == open_chrome[-1][0]:
                 open_chrome[-1][1] += 1
@@ -146,9 +189,15 @@ def _blocks(page: str, around: bool) -> tuple[list[tuple[int, str]], bool]:
                 if around and not layout:
                     layout = open_chrome.pop()[:2]
                     articles = 1
-        elif mark := _chrome_of(name, m[3] or "", articles > 0):
-            flush()
-            open_chrome.append([name, 1, mark])
+        elif (mark := _chrome_of(name, m[3] or "", articles > 0)) == "maybe":
+            # Only a block can be repeated whole.
+            if not maybe and name in BLOCK:
+                maybe = [name, 1]
+        elif mark:
+            inline = name not in BLOCK and name not in CHROME
+            if not inline:
+                flush()
+            open_chrome.append([name, 1, mark, len(parts) if inline else None])
         elif name in ARTICLE:
             articles += 1
     flush()
@@ -205,6 +254,17 @@ def _token_ids(words: Iterable[str], salt: int) -> np.ndarray:
     return pd.util.hash_array(np.array(list(words), dtype=object), categorize=False).astype(np.uint64) ^ np.uint64(salt)
 
 
+def is_open(blocks: list[tuple[int, str]]) -> bool:
+    """Whether repeated runs have anything to decide on a page."""
+    return any(z == MAYBE for z, _ in blocks) or not any(z == MAIN for z, _ in blocks)
+
+
+def words_in(zone: int, text: str, depth: int) -> list[str]:
+    """The tokens of a block; a short one that runs decide is filled up, so that it makes a run of its own."""
+    words = text.split(" ")
+    return words + [FILL] * (depth - len(words)) if zone == MAYBE else words
+
+
 def _grams(depth: int, settled: bool):
     """(host, gram, pid): distinct token runs of the pages that markup settles, or of those that it does not."""
 
@@ -213,9 +273,9 @@ def _grams(depth: int, settled: bool):
             rows = []
             for host, pid, page in zip(frame["host"], frame["pid"], frame["html"]):
                 blocks = blocks_of(page)
-                if any(z == MAIN for z, _ in blocks) != settled:
+                if is_open(blocks) == settled:
                     continue
-                stream = _token_ids((w for _, t in blocks for w in t.split(" ")), 0)
+                stream = _token_ids((w for z, t in blocks for w in words_in(z, t, depth)), 0)
                 if len(stream) >= depth:
                     grams = np.unique(_roll(stream, depth))
                     rows.append(pd.DataFrame({"host": host, "gram": grams.view(np.int64), "pid": pid}))
@@ -231,7 +291,7 @@ def _roll(stream: np.ndarray, depth: int) -> np.ndarray:
     return ngrams(stream, depth)
 
 
-RESULT = "page_id long, url string, text string, n_chars long"
+RESULT = "page_id long, url string, text string, n_chars long, run_words long"
 
 
 def _extract(depth: int):
@@ -241,7 +301,7 @@ def _extract(depth: int):
         order = sorted(range(len(pids)), key=lambda k: (hosts[k], shards[k], pids[k]))
         parsed = {k: blocks_of(pages[k]) for k in order}
         pages.clear()
-        words = {k: [t.split(" ") for _, t in parsed[k]] for k in order}
+        words = {k: [words_in(z, t, depth) for z, t in parsed[k]] for k in order}
         sizes = {k: sum(map(len, words[k])) for k in order}
         groups = {g: i for i, g in enumerate(dict.fromkeys((hosts[k], shards[k]) for k in order))}
         distinct: dict[tuple, int] = {}
@@ -264,49 +324,65 @@ def _extract(depth: int):
                     gone[h : h + depth] = True
             out[k] = _keep(parsed[k], words[k], gone)
             at += n
-        text = pa.array(out, pa.string())
-        return pa.table({"page_id": page_id, "url": url, "text": text, "n_chars": pa.array([len(x) for x in out], pa.int64())})
+        text = pa.array([x for x, _ in out], pa.string())
+        return pa.table({"page_id": page_id, "url": url, "text": text, "n_chars": pa.array([len(x) for x, _ in out], pa.int64()), "run_words": pa.array([n for _, n in out], pa.int64())})
 
     return work
 
 
-def _keep(blocks, words, gone) -> str:
-    """The article's blocks as they are; without an article, what is neither boilerplate by markup nor repeated."""
-    if any(z == MAIN for z, _ in blocks):
-        return "\n".join(t for z, t in blocks if z == MAIN)
-    lines, at = [], 0
-    for (zone, _), own in zip(blocks, words):
-        kept = [w for w, g in zip(own, gone[at : at + len(own)]) if not g]
+def _keep(blocks, words, gone) -> tuple[str, int]:
+    """(text, words that repeated runs took from it).
+
+    With an article: its blocks as they are, but for open ones that are
+    repeated whole. Without: what is neither boilerplate by markup nor
+    repeated.
+    """
+    article = any(z in (MAIN, MAYBE) for z, _ in blocks)
+    lines, at, taken = [], 0, 0
+    for (zone, text), own in zip(blocks, words):
+        there = gone[at : at + len(own)]
         at += len(own)
-        if zone == OPEN and kept:
-            lines.append(" ".join(kept))
-    return "\n".join(lines)
+        if zone == MAIN:
+            lines.append(text)
+        elif zone == MAYBE:
+            if there.all():
+                taken += len(text.split(" "))
+            else:
+                lines.append(text)
+        elif zone == OPEN and not article:
+            kept = [w for w, g in zip(own, there) if not g]
+            taken += len(own) - len(kept)
+            if kept:
+                lines.append(" ".join(kept))
+    return "\n".join(lines), taken
 
 
 def extract_text(pages: DataFrame, depth: int = PASSAGE, group_pages: int = GROUP_PAGES) -> DataFrame:
-    """One row for each page: page_id, url, text, n_chars.
+    """One row for each page: page_id, url, text, n_chars, run_words (how many words repeated runs took away).
 
     Blocks of the main text are joined by one newline in page order. With an
     article (or main) element the text is what that holds, without the menus,
-    forms, adverts and comments in it; passages that its host repeats stay,
-    as they are the article's own. Without one, it is all text that markup
-    does not mark as boilerplate, without tokens in runs of ``depth`` that
-    another page of the host also has.
-
-    Hosts with more pages than ``group_pages`` are split by page; runs that
-    repeat across the parts are found by grouping the distinct runs of the
-    pages that markup leaves open, and those of the other pages that are among
-    them, so nothing is missed and no host is ever in one task. Null html is empty; null urls and urls without a host form
-    one host of their own; a null page_id stands for the page's content.
-    Repeated rows are one page, so they do not make each other's text
-    boilerplate. An empty table gives an empty table.
+    forms, adverts, notices and comments in it; passages that its host
+    repeats stay, as they are the article's own, but for whole elements whose
+    class or id holds a word such as share or related. Without one, it is all
+    text that markup does not mark as boilerplate, without tokens in runs of
+    ``depth`` that another page of the host also has.
+
+    Hosts with more pages than ``group_pages``, or more than ``GROUP_BYTES``,
+    are split by page; runs that repeat across the parts are found by
+    grouping the distinct runs of the pages that markup leaves open, and those
+    of the other pages that are among them, so the result is the same at any
+    size of groups and no host is ever in one task. Null html is empty; null
+    urls and urls without a host form one host of their own; a null page_id
+    stands for the page's content. Repeated rows are one page, so they do not
+    make each other's text boilerplate. An empty table gives an empty table.
     """
     url = F.col("url").cast("string")
     held = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), host_of(url).alias("host"), F.col("html").cast("string").alias("html"))
     held = held.withColumn("pid", F.coalesce("page_id", F.xxhash64("url", "html")))
-    counts = held.groupBy("host").agg(F.count("*").alias("cnt"))
-    total = counts.agg(F.sum("cnt")).first()[0] or 0
-    large = counts.where(F.col("cnt") > group_pages).select("host", F.ceil(F.col("cnt") / group_pages).alias("shards"))
+    counts = held.groupBy("host").agg(F.count("*").alias("cnt"), F.coalesce(F.sum(F.octet_length("html")), F.lit(0)).alias("size"))
+    total, size = counts.agg(F.sum("cnt"), F.sum("size")).first()
+    large = counts.where((F.col("cnt") > group_pages) | (F.col("size") > GROUP_BYTES)).select("host", F.ceil(F.greatest(F.col("cnt") / group_pages, F.col("size") / GROUP_BYTES)).alias("shards"))
     held = attach(held, large, ["host"])
     split = held.where("shards is not null").select("host", "pid", "html")
     open_grams = cut(split.mapInPandas(_grams(depth, False), "host string, gram long, pid long"), "grams")
@@ -321,7 +397,7 @@ def extract_text(pages: DataFrame, depth: int = PASSAGE, group_pages: int = GROU
     across = across.where("lo < hi")
     known = open_grams.join(across.select("host", "gram"), ["host", "gram"]).groupBy("host", "pid").agg(F.collect_set("gram").alias("known"))
     dealt = held.withColumn("shard", F.coalesce(F.pmod(F.xxhash64("pid"), F.col("shards")), F.lit(0)))
-    dealt = attach(dealt, known, ["host", "pid"], limit=2000)
-    buckets = max(1, -(-total // (group_pages // 2)))
+    dealt = attach(dealt, known, ["host", "pid"])
+    buckets = max(1, -(-(total or 0) // max(1, group_pages // 2)), -(-(size or 0) // (GROUP_BYTES // 2)))
     dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("host", "shard"), F.lit(buckets)))
     return dealt.select("bucket", "page_id", "url", "host", "shard", "pid", "html", "known").groupBy("bucket").applyInArrow(_extract(depth), RESULT)

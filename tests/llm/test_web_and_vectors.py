@@ -3,6 +3,7 @@
 import html
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -111,19 +112,69 @@ CASES = [
     ("<title>t</title><p hidden>h</p><p data-hidden-x>v", "v"), ("<p>1 < 2 and 3 > 2", "1 < 2 and 3 > 2"),
     ("<html class='no-sidebar menu'><body class='has-sidebar nav'><article class=share><p>in</article>", "in"), ("<body id=menu><p>x", "x"),
     ("<div class='layout with-nav'><p>x<div class=nav>n</div></div>", "x"), ("<main class='main comments'><p>in</main>", "in"),
-    ("<div class='sidebar page'><p>out</p><div><article><p>in<div class=related><article>other</article></div></article></div><p>out</p></div>", "in"),
+    ("<div class='sidebar page'><p>out</p><div><article><p>in<div class=related><article>other</article></div></article></div><p>out</p></div>", "in\nother"),
     ("<div class=related><article>other</article></div><article><p>in</article>", "in"),
     ("<div id=widget><article>a</article></div><div id=widget><article>b</article></div>", "a\nb"),
     ("<article><p title='the hidden truth'>a</p><p><a href='/x?id=login'>b</a> <a href=/x?class=ad>c</a></p><p data-x=\"role='menu'\">d</p><p HIDDEN>e</p><p x=1 Class = ad>f</p></article>", "a\nb c\nd"),
+    ("<article><p class=share-price>a</p><p id='related-work'>b</p><div class='menu-planning'>c</div><p class=search-results>d</p></article>", "a\nb\nc\nd"),
+    ("<article><p>a</p><ul class='comment-list'><li>x</ul><div class=ad-box>x</div><div class='cookie-notice'>x</div><form>x</form><div id=sidebar>x</div><p class=notice>x</p>b</article>", "a\nb"),
+    ("<article><p>a <span class=ad>x</span> b <i class=share-price>c</i> d <span class=ad>x<p>y</span>z</article>", "a b c d\nz"),
+    ("<p>a <span class=sponsor>x</span>b", "a b"),
 ]
 
 
 @pytest.mark.parametrize("page,text", CASES)
 def test_blocks(page, text):
     blocks = html_text.blocks_of(page)
-    words = [t.split(" ") for _, t in blocks]
-    assert html_text._keep(blocks, words, np.zeros(sum(map(len, words)), bool)) == text
-
+    words = [html_text.words_in(z, t, 8) for z, t in blocks]
+    assert html_text._keep(blocks, words, np.zeros(sum(map(len, words)), bool)) == (text, 0)
+
+
+def test_long_and_broken_pages_are_parsed_in_little_time():
+    start = time.time()
+    assert html_text.blocks_of("<svg>" * 20_000 + "<p>x") == [(html_text.OPEN, "x")]
+    assert html_text.blocks_of("<nav>" * 50_000 + "a") == [(html_text.BOILER, "a")]
+    long = "<p>" + "word " * 400_000
+    assert len(html_text.blocks_of(long)[0][1]) == 5 * 400_000 - 1
+    assert len(html_text.blocks_of("<p>a" * 100_000)) == 100_000
+    assert time.time() - start < 20
+
+
+def brute_text(pages, depth):
+    """(text, words taken by runs) of each page by sets of runs of each page."""
+    parsed = {k: html_text.blocks_of(p) for k, _, p in pages}
+    stream = {k: [w for z, t in b for w in html_text.words_in(z, t, depth)] for k, b in parsed.items()}
+    runs = {k: {tuple(w[i : i + depth]) for i in range(len(w) - depth + 1)} for k, w in stream.items()}
+    host = {k: h for k, h, _ in pages}
+    out = {}
+    for k, w in stream.items():
+        gone = np.zeros(len(w), bool)
+        others = set().union(*(runs[j] for j in runs if j != k and host[j] == host[k]))
+        for i in range(len(w) - depth + 1):
+            if tuple(w[i : i + depth]) in others:
+                gone[i : i + depth] = True
+        out[k] = html_text._keep(parsed[k], [html_text.words_in(z, t, depth) for z, t in parsed[k]], gone)
+    return out
+
+
+def test_mixed_hosts_are_the_same_at_any_group_size(spark):
+    """Open pages, article pages and articles with open elements, whose tags and names say nothing of what repeats."""
+    rnd = random.Random(11)
+    notes = [" ".join(f"note{k}w{i}" for i in range(rnd.randint(2, 12))) for k in range(12)]
+    rows = []
+    for k in range(150):
+        own = " ".join(f"p{k}w{i}" for i in range(rnd.randint(3, 30)))
+        a, b = rnd.choice(notes), rnd.choice(notes)
+        kind = k % 3
+        page = f"<div>{a}</div><p>{own}</p><div>{b}</div>" if kind == 0 else f"<article><p>{own}</p><p>{a}</p></article>" if kind == 1 else f"<article><p>{own}</p><div class=share-bar>{a}</div><div class='related-note'>only here {k}</div></article>"
+        rows.append((k, f"http://h{k % 2}.com/{k}", page))
+    expected = brute_text([(k, u.split("/")[2], p) for k, u, p in rows], html_text.PASSAGE)
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for group in (1, 4, 2000):
+        got = {r.page_id: (r.text, r.run_words) for r in html_text.extract_text(pages, group_pages=group).collect()}
+        assert got == expected
+    assert sum(n > 0 for _, n in expected.values()) > 60
+    assert all(f"only here {k}" in expected[k][0] for k in range(2, 150, 3))
 
 def test_repeated_against_all_substrings():
     rnd = random.Random(7)
