@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 COUNTS = ("tp", "fa", "fd", "fp", "tn", "fn")
+#: Ranges of confidence that are ordered by themselves.
+RANGES = 200
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -95,14 +97,22 @@ def auroc(rows: DataFrame, confidence: str = "confidence", match: str = "match",
 
     Equal confidences are counted first, so what is ordered is one row for
     each distinct value; wins of each are the misses below it and half of
-    those beside it.
+    those beside it. The values are dealt over ranges between ``RANGES``
+    quantiles, which are ordered by themselves, and each range adds the misses
+    of the ranges before it, so no task orders all values.
     """
     from pyspark.sql import Window
 
     held = rows.where(F.col(confidence).isNotNull())
     steps = held.groupBy(*keys, confidence).agg(F.sum(F.col(match).cast("long")).alias("hit"), F.count("*").alias("all"))
     steps = steps.withColumn("miss", F.col("all") - F.col("hit"))
-    before = Window.partitionBy(*[F.col(k) for k in keys] or [F.lit(0)]).orderBy(confidence).rowsBetween(Window.unboundedPreceding, -1)
-    won = F.col("hit") * (F.coalesce(F.sum("miss").over(before), F.lit(0)) + F.col("miss") / 2)
-    total = steps.withColumn("won", won).groupBy(*keys).agg(F.sum("won").alias("won"), F.sum("hit").alias("hit"), F.sum("miss").alias("miss"))
+    bounds = held.agg(F.percentile_approx(confidence, [k / RANGES for k in range(1, RANGES)])).first()[0] or []
+    steps = steps.withColumn("range", F.size(F.filter(F.array(*[F.lit(b) for b in sorted(set(bounds))]), lambda b: b < F.col(confidence))) if bounds else F.lit(0))
+    earlier = Window.partitionBy(*keys or [F.lit(0)]).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    # At most RANGES rows for each key.
+    ranges = steps.groupBy(*keys, "range").agg(F.sum("miss").alias("m")).withColumn("base", F.coalesce(F.sum("m").over(earlier), F.lit(0))).drop("m")
+    before = Window.partitionBy(*keys, "range").orderBy(confidence).rowsBetween(Window.unboundedPreceding, -1)
+    inside = steps.withColumn("below", F.coalesce(F.sum("miss").over(before), F.lit(0))).join(ranges, [*keys, "range"])
+    won = F.col("hit") * (F.col("base") + F.col("below") + F.col("miss") / 2)
+    total = inside.withColumn("won", won).groupBy(*keys).agg(F.sum("won").alias("won"), F.sum("hit").alias("hit"), F.sum("miss").alias("miss"))
     return total.select(*keys, F.coalesce(F.try_divide(F.col("won"), (F.col("hit") * F.col("miss")).cast("double")), F.lit(0.5)).alias("auroc"))

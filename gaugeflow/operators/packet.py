@@ -133,17 +133,16 @@ def ordering(pages: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Kendall's tau-b of page numbers in each true group; 1 for a single page, 0 where it is undefined."""
     listed = pages.groupBy(*keys, "group_id").agg(F.array_sort(F.collect_list(F.struct(F.col("page_number").alias("x"), F.col("page_number_predicted").alias("y")))).alias("l"))
     size = F.size("l")
+    zero = F.struct(*[F.lit(0).cast("long").alias(c) for c in ("s", "tx", "ty")])
 
-    def over(pair):
-        """Sum over all pairs of pages of a group, which is one document's pages."""
-        return F.aggregate(F.transform("l", lambda p, i: F.aggregate(F.slice("l", i + 2, size), F.lit(0), lambda s, q: s + pair(p, q))), F.lit(0), lambda s, v: s + v)
+    def added(acc, p, q):
+        """One pair of pages into the three sums: agreement of order, ties of truth, ties of prediction."""
+        dx, dy = F.signum((p["x"] - q["x"]).cast("double")), F.signum((p["y"] - q["y"]).cast("double"))
+        return F.struct((acc["s"] + (dx * dy).cast("long")).alias("s"), (acc["tx"] + (dx == 0).cast("long")).alias("tx"), (acc["ty"] + (dy == 0).cast("long")).alias("ty"))
 
-    tau = listed.withColumns({
-        "s": over(lambda p, q: (F.signum((p["x"] - q["x"]).cast("double")) * F.signum((p["y"] - q["y"]).cast("double"))).cast("int")),
-        "tx": over(lambda p, q: (p["x"] == q["x"]).cast("int")),
-        "ty": over(lambda p, q: (p["y"] == q["y"]).cast("int")),
-        "n0": (size * (size - 1) / 2).cast("double"),
-    })
+    # Every page meets every other, in one pass that copies nothing; each pair is met twice, and each page meets itself.
+    sums = F.aggregate("l", zero, lambda acc, p: F.aggregate("l", acc, lambda inner, q: added(inner, p, q)))
+    tau = listed.withColumns({"sums": sums, "n0": (size * (size - 1) / 2).cast("double")}).withColumns({"s": F.col("sums.s") / 2, "tx": (F.col("sums.tx") - size) / 2, "ty": (F.col("sums.ty") - size) / 2})
     value = F.try_divide(F.col("s").cast("double"), F.sqrt((F.col("n0") - F.col("tx")) * (F.col("n0") - F.col("ty"))))
     return tau.select(*keys, "group_id", F.when(size <= 1, 1.0).otherwise(F.coalesce(F.nanvl(value, F.lit(0.0)), F.lit(0.0))).alias("kendall_tau"))
 
