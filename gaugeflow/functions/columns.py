@@ -117,17 +117,17 @@ def number(x: Column) -> Column:
 
 
 #: A value's number: the same ``key`` for equal numbers of any length, and its size for tolerances.
-NUMBER = "struct<key: string, exact: decimal(38,10), near: double>"
+NUMBER = "struct<key: string, exact: decimal(38,10), whole: decimal(38,0), near: double>"
 
 
 def decimal_of(x: Column, kind: str = "str") -> Column:
     """The number that a value of a declared type stands for, as ``NUMBER``; null if it stands for none."""
     if kind == "int":
-        return F.when(x.isNotNull(), F.struct(x.cast("string").alias("key"), x.try_cast("decimal(38,10)").alias("exact"), x.cast("double").alias("near")))
+        return F.when(x.isNotNull(), F.struct(x.cast("string").alias("key"), x.try_cast("decimal(38,10)").alias("exact"), x.try_cast("decimal(38,0)").alias("whole"), x.cast("double").alias("near")))
     if kind == "float":
         # Equal doubles have equal shortest texts; the zeros are one number.
         d = x.cast("double")
-        return F.when(d.isNotNull(), F.struct(F.when(d == 0, F.lit("0.0")).otherwise(d.cast("string")).alias("key"), d.try_cast("decimal(38,10)").alias("exact"), d.alias("near")))
+        return F.when(d.isNotNull(), F.struct(F.when(d == 0, F.lit("0.0")).otherwise(d.cast("string")).alias("key"), d.try_cast("decimal(38,10)").alias("exact"), F.lit(None).cast("decimal(38,0)").alias("whole"), d.alias("near")))
     t = _digits(x)
     sign = F.when(t.startswith("-"), F.lit("-")).otherwise(F.lit(""))
     whole = F.regexp_replace(F.regexp_extract(t, r"^-?([0-9]*)", 1), "^0+", "")
@@ -135,7 +135,7 @@ def decimal_of(x: Column, kind: str = "str") -> Column:
     plain = F.concat(whole, F.lit("."), rest)
     key = F.when(plain == ".", F.lit(".")).otherwise(F.concat(sign, plain))
     sound = t.rlike(r"^-?([0-9]+\.?[0-9]*|\.[0-9]+)$")
-    return F.when(sound, F.struct(key.alias("key"), t.try_cast("decimal(38,10)").alias("exact"), t.try_cast("double").alias("near")))
+    return F.when(sound, F.struct(key.alias("key"), t.try_cast("decimal(38,10)").alias("exact"), F.when(rest == "", t.try_cast("decimal(38,0)")).alias("whole"), t.try_cast("double").alias("near")))
 
 
 def close(x: Column, y: Column, relative: float = 0.0, absolute: float = 0.0) -> Column:
@@ -148,18 +148,18 @@ def close(x: Column, y: Column, relative: float = 0.0, absolute: float = 0.0) ->
     """
     near = x["key"] == y["key"]
     if absolute > 0 or relative > 0:
-        exact = x["exact"].isNotNull() & y["exact"].isNotNull()
+        both = {k: x[k].isNotNull() & y[k].isNotNull() for k in ("exact", "whole")}
 
-        def within(size: Column | None, limit: float) -> Column:
-            d, f = (F.abs(x["exact"] - y["exact"]), F.abs(x["near"] - y["near"])) if size is None else (size, F.abs(y["near"]))
-            return F.when(exact, d <= F.lit(limit)).otherwise(f <= F.lit(limit))
+        def by_kind(test) -> Column:
+            """The test on decimals that hold both numbers, else on doubles."""
+            return F.when(both["exact"], test(x["exact"], y["exact"])).when(both["whole"], test(x["whole"], y["whole"])).otherwise(test(x["near"], y["near"]))
 
         equal = near
         if absolute > 0:
-            near = near | within(None, absolute)
+            near = near | by_kind(lambda a, b: F.abs(a - b) <= F.lit(absolute))
         if relative > 0:
-            part = F.when(exact, F.abs(x["exact"] - y["exact"]) <= F.abs(x["exact"]) * F.lit(relative)).otherwise(F.abs(x["near"] - y["near"]) <= F.abs(x["near"]) * F.lit(relative))
-            near = F.when((x["near"] == 0) & ~equal, within(F.abs(y["exact"]), relative)).otherwise(near | part)
+            part = by_kind(lambda a, b: F.abs(a - b) <= F.abs(a) * F.lit(relative))
+            near = F.when((x["near"] == 0) & ~equal, by_kind(lambda a, b: F.abs(b) <= F.lit(relative))).otherwise(near | part)
     return F.coalesce(near.cast("double"), F.lit(0.0))
 
 
