@@ -393,3 +393,29 @@ def test_pipeline_stages(spark):
         if r.text == texts[r.doc_id]:
             assert all(first[tuple(w[k : k + 50])] == r.doc_id for k in range(len(w) - 49))
     assert {r.doc_id for r in seen["packing"].select("doc_id").distinct().collect()} == set(texts)
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Nulls in every column, empty texts, repeated rows, an id with two texts, extra columns with clashing names, and an empty table."""
+    given = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet")
+    rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in given.orderBy("doc_id").limit(40).collect()]
+    long = " ".join(f"word{k}" for k in range(300))
+    rows += [rows[0], rows[1], (None, None, None, None, None), (None, long, "en", "x", len(long)), (1000, None, "en", None, None), (1001, "", "en", "x", 0), (1002, "   ", "en", "x", 3)]
+    rows += [(2000, long, "en", "x", len(long)), (2001, "before " + " ".join(f"other{k}" for k in range(900)) + " " + " ".join(long.split()[:120]), "en", "x", 1), (2001, rows[2][1], "en", "x", 1)]
+    shape = "doc_id long, text string, lang string, source string, n_chars long, score double, row string, found long, kept boolean, component_id string"
+    docs = spark.createDataFrame([(*r, 0.5, "r", 1, False, None) for r in rows], shape)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{DATA}/sf0.001/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    before = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = cut(stage(spark, before, str(tmp_path)), name)
+        assert after.columns == docs.columns and 0 < after.count() <= before.count()
+        assert after.where("doc_id is null").count() == before.where("doc_id is null").count() or name == "quality"
+        before = after
+    cut_rows = [r.text.split()[:2] for r in before.where("doc_id = 2001").collect() if r.text.startswith("before")]
+    assert cut_rows in ([], [["before", "other0"]])
+    packed = corpus_pipeline.STAGES[-1][1](spark, before, str(tmp_path)).collect()
+    assert len({(r.doc_id, r.doc_tokens, r.ids_crc32) for r in packed if r.start == 0}) >= before.select("doc_id", "text").distinct().count() - before.where("text = '' or text is null or trim(text) = ''").count()
+    spark.createDataFrame([], shape).write.parquet(f"{tmp_path}/empty/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/empty/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").collect() == []
