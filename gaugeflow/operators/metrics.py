@@ -52,6 +52,20 @@ def roll_up(long: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     return out.select(*keys, F.col("ancestor").alias("path"), *[F.when(empty, F.col(f"c_{c}")).otherwise(F.col(c)).cast("long").alias(c) for c in COUNTS])
 
 
+def leaf_aggregates(long: DataFrame, keys: tuple[str, ...] = ("doc_id",), recall_with_fd: bool = False) -> DataFrame:
+    """Sums over all leaves of each document as ``aggregate_tp`` and so on, with the metrics derived from them."""
+    sums = long.where("is_leaf and path <> ''").groupBy(*keys).agg(*[F.sum(c).cast("long").alias(c) for c in COUNTS])
+    names = ("precision", "recall", "f1", "accuracy")
+    return derived(sums, recall_with_fd).select(*keys, *[F.col(c).alias(f"aggregate_{c}") for c in COUNTS], *[F.col(c).alias(f"aggregate_{c}") for c in names])
+
+
+def children(long: DataFrame, parent: str = "") -> DataFrame:
+    """The rows of fields directly below ``parent``; those of the record itself for the empty path."""
+    path, start = F.col("path"), parent + "." if parent else ""
+    rest = F.substring(path, F.lit(len(start) + 1), F.length(path))
+    return long.where((path != "") & path.startswith(start) & (rest != "") & ~rest.contains("."))
+
+
 def merge_states(*states: DataFrame) -> DataFrame:
     """Sum of saved partial results of ``bulk``; the order does not matter."""
     out = states[0].select("path", *COUNTS)

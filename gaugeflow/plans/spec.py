@@ -288,23 +288,23 @@ def check_schema(schema: Any, where: str = "schema") -> None:
         check_schema(schema["items"], f"{where}[]")
 
 
-def model_from_json_schema(schema: dict[str, Any]) -> ModelSpec:
-    """A specification from a JSON Schema of an object, with the extension keys."""
+def model_from_json_schema(schema: dict[str, Any], vendor: str | None = None) -> ModelSpec:
+    """A specification from a JSON Schema of an object, with the extension keys ``x-<vendor>-...``; without ``vendor``, of any."""
     check_schema(schema)
     if schema.get("type", "object") != "object" or not schema.get("properties"):
         raise ValueError("a JSON Schema of an object with properties is needed")
-    return _from_object(schema, schema.get("title", "DynamicModel"), {**schema.get("definitions", {}), **schema.get("$defs", {})})
+    return _from_object(schema, schema.get("title", "DynamicModel"), {**schema.get("definitions", {}), **schema.get("$defs", {})}, vendor)
 
 
-def extensions(own: dict[str, Any]) -> dict[str, Any]:
-    """The settings among a schema's extension keys, whatever their vendor part."""
-    return {m[1]: v for k, v in own.items() if (m := _SETTING.match(k))}
+def extensions(own: dict[str, Any], vendor: str | None = None) -> dict[str, Any]:
+    """The settings among a schema's extension keys of one vendor, or whatever their vendor part."""
+    return {m[1]: v for k, v in own.items() if (m := _SETTING.match(k)) and (vendor is None or k == f"x-{vendor}-{m[1]}")}
 
 
-def _from_object(schema: dict[str, Any], name: str, shared: dict[str, Any]) -> ModelSpec:
+def _from_object(schema: dict[str, Any], name: str, shared: dict[str, Any], vendor: str | None) -> ModelSpec:
     required = set(schema.get("required", []))
-    fields = [_from_property(k, own, k in required, shared) for k, own in schema.get("properties", {}).items()]
-    ext = extensions(schema)
+    fields = [_from_property(k, own, k in required, shared, vendor) for k, own in schema.get("properties", {}).items()]
+    ext = extensions(schema, vendor)
     return ModelSpec(re.sub(r"\W+", "", ext.get("model-name", name)) or "DynamicModel", fields, ext.get("match-threshold", 0.7))
 
 
@@ -320,9 +320,9 @@ def _resolved(own: dict[str, Any], shared: dict[str, Any]) -> dict[str, Any]:
     return {**shared[target], **{k: v for k, v in own.items() if k != "$ref"}}
 
 
-def _from_property(name: str, own: dict[str, Any], required: bool, shared: dict[str, Any]) -> FieldSpec:
+def _from_property(name: str, own: dict[str, Any], required: bool, shared: dict[str, Any], vendor: str | None) -> FieldSpec:
     own = _resolved(own, shared)
-    ext = extensions(own)
+    ext = extensions(own, vendor)
     weight = ext.get("weight", 1.0)
     if isinstance(weight, bool) or not isinstance(weight, (int, float)) or weight <= 0:
         raise ValueError(f"{name}: weight must be a positive number")
@@ -338,11 +338,11 @@ def _from_property(name: str, own: dict[str, Any], required: bool, shared: dict[
     if kind in SCHEMA_TYPES:
         return FieldSpec(**common, kind=SCHEMA_TYPES[kind], threshold=threshold, comparator=_extension_comparator(kind, ext))
     if kind == "object":
-        return FieldSpec(**common, kind="struct", threshold=0.7, model=_from_object(own, own.get("title", f"{name.title()}Model"), shared))
+        return FieldSpec(**common, kind="struct", threshold=0.7, model=_from_object(own, own.get("title", f"{name.title()}Model"), shared, vendor))
     if kind == "array":
         item = _resolved(own.get("items", {"type": "string"}), shared)
         if item.get("type") == "object":
-            return FieldSpec(**common, kind="list", model=_from_object(item, item.get("title", f"{name.title()}Model"), shared))
+            return FieldSpec(**common, kind="list", model=_from_object(item, item.get("title", f"{name.title()}Model"), shared, vendor))
         if item.get("type") in SCHEMA_TYPES:
             return FieldSpec(**common, kind="list:" + SCHEMA_TYPES[item["type"]], threshold=threshold, comparator=_extension_comparator(item["type"], ext))
         raise ValueError(f"{name}: unsupported items")
@@ -377,6 +377,25 @@ def to_json_schema(model: ModelSpec) -> dict[str, Any]:
     return {"type": "object", "title": model.name, EXTENSION + "model-name": model.name, EXTENSION + "match-threshold": model.match_threshold, "properties": properties, "required": [f.name for f in model.fields if not f.optional]}
 
 
+def comparison_schema(model: ModelSpec) -> dict[str, Any]:
+    """The plain JSON Schema of a model's records, each property with how it is compared under ``x-comparison``."""
+    back = {v: k for k, v in SCHEMA_TYPES.items()}
+    properties = {}
+    for f in model.fields:
+        if f.kind == "struct":
+            own = comparison_schema(f.model)
+        elif f.kind == "list":
+            own = {"type": "array", "items": comparison_schema(f.model)}
+        else:
+            kind = {"type": back.get(f.kind.removeprefix("list:"), "string")}
+            own = {"type": "array", "items": kind} if f.is_list else kind
+        own |= {k: v for k, v in (("default", f.default), ("description", f.description), ("examples", f.examples)) if v is not None}
+        named = "StructuredModelComparator" if f.model else f.comparator.name
+        own["x-comparison"] = {"comparator_type": named, "comparator_name": named, "comparator_config": {} if f.model else f.comparator.config(), "threshold": f.threshold, "weight": f.weight, "clip_under_threshold": f.clip, "aggregate": f.aggregate}
+        properties[f.name] = own
+    return {"type": "object", "title": model.name, "properties": properties, "required": [f.name for f in model.fields if not f.optional and f.default is None]}
+
+
 def validate_instance(schema: dict[str, Any], value: Any, where: str = "$") -> list[str]:
     """What in a value is against its JSON Schema: types, required names, items."""
     kinds = schema.get("type")

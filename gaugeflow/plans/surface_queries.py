@@ -103,6 +103,23 @@ def document_rollup(spark, d):
     return metrics.bulk(metrics.roll_up(rows))
 
 
+@query(f"WITH {CUSTOMER_LONG}, t AS (SELECT doc_id, {SUMS} FROM o WHERE leaf GROUP BY doc_id) SELECT doc_id, {', '.join(f'{c} AS aggregate_{c}' for c in COUNTS)}, round(coalesce(tp / nullif(tp + fa + fd, 0), 0), 6) AS aggregate_precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS aggregate_recall FROM t")
+def leaf_aggregates(spark, d):
+    """Sums over the leaves of each customer."""
+    from .catalogue import _customer_long
+
+    out = metrics.leaf_aggregates(_customer_long(spark, d))
+    return r6(out.select("doc_id", *[f"aggregate_{c}" for c in COUNTS], "aggregate_precision", "aggregate_recall"))
+
+
+@query(f"WITH {CUSTOMER_LONG} SELECT path, {SUMS} FROM o WHERE depth = 2 GROUP BY path")
+def immediate_children(spark, d):
+    """Fields directly below the nation."""
+    from .catalogue import _customer_long
+
+    return metrics.bulk(metrics.children(_customer_long(spark, d), "nation"))
+
+
 @query(f"WITH {LONG} SELECT path, {SUMS} FROM l WHERE path LIKE 'pri%' GROUP BY path ORDER BY path")
 def field_filter(spark, d):
     """Fields that a regular expression picks."""

@@ -143,3 +143,27 @@ def test_flat_supports():
     items = ModelSpec("Items", [FieldSpec("items", "list", model=ADDRESS)])
     assert flat.supports(PERSON) and not flat.supports(items)
     assert not flat.supports(ModelSpec("Judged", [FieldSpec("a", "str", scalars.Judged())]))
+
+
+def test_schema_with_comparisons():
+    from gaugeflow.plans import spec
+
+    found = spec.comparison_schema(PERSON)
+    assert found["properties"]["nick"]["x-comparison"] == {"comparator_type": "FuzzyComparator", "comparator_name": "FuzzyComparator", "comparator_config": {"method": "partial_ratio"}, "threshold": 0.9, "weight": 1.0, "clip_under_threshold": False, "aggregate": False}
+    assert found["properties"]["home"]["properties"]["zip"]["type"] == "integer" and found["properties"]["home"]["x-comparison"]["comparator_type"] == "StructuredModelComparator"
+    schema = {"type": "object", "properties": {"a": {"type": "string", "x-mine-threshold": 0.9, "x-other-threshold": 0.1}}}
+    assert spec.model_from_json_schema(schema, "mine").fields[0].threshold == 0.9 and spec.model_from_json_schema(schema, "other").fields[0].threshold == 0.1
+    assert spec.model_from_json_schema(schema, "third").fields[0].threshold == 0.5
+
+
+def test_page_with_all_sections():
+    from gaugeflow.report import page
+    from gaugeflow.report.tables import COUNTS, METRICS, CorpusResult
+
+    scores = dict.fromkeys(COUNTS, 1) | dict.fromkeys(METRICS, 0.85)
+    result = CorpusResult(2, scores, {"a<b": scores | {"f1": 0.1}}, {"ValueError": 1}, non_matches=[{"doc_id": "d1", "field_path": "a", "type": "fd", "gt": "<x>", "pred": None}])
+    found = page.render(result, page.ReportConfig(images={"d1": "p/1.png", "d2": "p/2.png"}))
+    for part in ("<svg", 'class="heat"', '<option value="d2">', 'src="p/1.png"', 'data-doc="d1"', "a&lt;b", "&lt;x&gt;", "#c62828", "#2e7d32"):
+        assert part in found
+    assert page.gauge(0.0, "x").count("<path") == 1 and "100%" in page.gauge(2.0, "x")
+    assert page.render(CorpusResult(0, dict.fromkeys((*COUNTS, *METRICS), 0), {}, {}, non_matches=[]))
