@@ -45,6 +45,14 @@ def edit_distance(a: str, b: str) -> int:
     """
     if a == b:
         return 0
+    # What both begin or end with needs no edits.
+    start, least = 0, min(len(a), len(b))
+    while start < least and a[start] == b[start]:
+        start += 1
+    end = 0
+    while end < least - start and a[-1 - end] == b[-1 - end]:
+        end += 1
+    a, b = a[start : len(a) - end], b[start : len(b) - end]
     if not a or not b:
         return len(a) + len(b)
     places: dict[str, int] = {}
@@ -185,6 +193,12 @@ class Exact(Comparator):
 
 
 def as_decimal(value: Any) -> Decimal | None:
+    """The number that a value stands for; null if it stands for none."""
+    return _as_decimal(type(value), value) if isinstance(value, (int, float, str)) else None
+
+
+@lru_cache(maxsize=1 << 16)
+def _as_decimal(kind: type, value: Any) -> Decimal | None:
     if isinstance(value, (int, float)):
         return Decimal(str(value))
     if not isinstance(value, str):
