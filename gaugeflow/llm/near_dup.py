@@ -25,7 +25,8 @@ from .graph import connected_components
 
 RING = 1 << 20
 COORDINATES = 180
-GROUP = 256
+#: Members that are checked against their leader in one place.
+GROUP = 64
 #: Classes of one bucket, on either side, that are compared in a task.
 BLOCK = 512
 
