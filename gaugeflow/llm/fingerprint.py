@@ -91,12 +91,16 @@ def with_sketch(docs: DataFrame, column: str = "sketch", n: int = SHINGLE, k: in
 
 
 def range_starts(docs: DataFrame) -> list[int]:
-    """The first id of each of a number of ranges of about equal size; few, whatever the number of documents."""
+    """The first id of each of a number of ranges of about equal size; few, whatever the number of documents.
+
+    They are the smallest id and approximate quantiles, from one aggregate
+    whose state has a bounded size.
+    """
     spark = docs.sparkSession
     ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null")
-    parted = ids.repartitionByRange(ranges, "doc_id").groupBy(F.spark_partition_id().alias("part")).agg(F.min("doc_id").alias("head"))
-    return sorted({r["head"] for r in parted.collect()})
+    key = F.col("doc_id").cast("long")
+    least, marks = docs.agg(F.min(key), F.percentile_approx(key, [k / ranges for k in range(1, ranges)], max(10_000, 10 * ranges))).first()
+    return [] if least is None else sorted({least, *marks})
 
 
 def range_of(key: Column, starts: list[int]) -> Column:
