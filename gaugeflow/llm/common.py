@@ -6,6 +6,7 @@ batch of very long texts never makes a large temporary.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -211,6 +212,14 @@ def ngrams(words: np.ndarray, n: int, salt: int = 0x2545F4914F6CDD1D) -> np.ndar
 
 # ---------------------------------------------------------------- batches
 
+def give_back() -> None:
+    """Return freed memory to the system; a worker lives on between tasks, beside others and the executor itself."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and int64 offsets of a string column; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -243,6 +252,7 @@ def chunks(batch: pa.RecordBatch, column: str, lower: bool = False, limit: int =
         part = data[offsets[row] : offsets[past]]
         yield row, past, (_LOWER[part] if lower else part), offsets[row : past + 1] - offsets[row]
         row = past
+    give_back()
 
 
 def binary_column(blobs: bytes | np.ndarray, offsets: np.ndarray) -> pa.Array:

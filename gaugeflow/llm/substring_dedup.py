@@ -19,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, attach, chunks, cut, delete, discard, ids, ngrams, release, shared_dir
+from .common import Words, attach, chunks, cut, delete, discard, give_back, ids, ngrams, release, shared_dir
 
 #: Bytes of text for each hash partition: its fingerprints take about as much.
-PARTITION_BYTES = 10 << 20
+PARTITION_BYTES = 8 << 20
 #: Bytes of text whose equal windows a task combines before they are shuffled.
-COMBINE_BYTES = 4 << 20
+COMBINE_BYTES = 3 << 20
 #: Stated runs of one source text that are verified in one place.
 ASKED = 2000
 #: A table is fed to its log in batches by ascending id; these are where they end, as parts of all rows.
@@ -118,6 +118,7 @@ def _runs(width: int, parts: int):
     def flush(held):
         prints = np.concatenate([x[0] for x in held])
         owner = np.concatenate([x[1] for x in held])
+        held.clear()
         order, first, least = earliest(prints, owner)
         ranked, owner = prints[order], owner[order]
         source = np.repeat(least, np.diff(np.append(first, len(ranked))))
@@ -177,7 +178,10 @@ def _merge(keep: bool):
             own_keys, own_owner = ranked[fresh], own[fresh]
             _, first, least = earliest(own_keys, own_owner)
             rows.extend(_run_rows(part, own_keys[first], least))
-        return pa.concat_tables([passed, _table(rows)])
+        made = pa.concat_tables([passed, _table(rows)])
+        del rows, ranked, own, fresh, first, least
+        give_back()
+        return made
 
     return work
 
