@@ -16,6 +16,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -166,7 +167,7 @@ def _merge(keep: bool):
         part = key[0].as_py()
         found = pa.array([k == "found" for k in table.column("kind").to_pylist()], pa.bool_())
         passed = table.filter(found).select(_ENTRY.names).cast(_ENTRY)
-        keys, owner, new = _load(table.filter(pa.compute.invert(found)))
+        keys, owner, new = _load(table.filter(pc.invert(found)))
         order, first, least = earliest(keys, owner)
         ranked, own, fresh = keys[order], owner[order], new[order]
         del keys, owner, new, order
