@@ -218,7 +218,8 @@ def suffix_array(tokens: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray
     while k < depth:
         step = min(k, depth - k)
         after = np.zeros(n, dtype=np.int64)
-        after[: n - step] = rank[step:] + 1
+        if step < n:
+            after[: n - step] = rank[step:] + 1
         _, rank = np.unique(rank * np.int64(n + 2) + after, return_inverse=True)
         k += step
     return np.argsort(rank, kind="stable"), rank

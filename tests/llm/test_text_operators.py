@@ -404,3 +404,25 @@ def test_words_and_chunks():
     assert len(set(h.tolist())) == len(h) and len(ngrams(h, 99)) == 0
     batch = pa.record_batch([pa.array(texts)], names=["text"])
     assert [(a, b) for a, b, *_ in chunks(batch, "text", limit=4)] == [(0, 2), (2, 3), (3, 4), (4, 5)]
+
+
+LONG_TEXTS = ["a" * 40_000, "ab" * 15_000, "supercalifragilistic" * 1_500, "你好世界" * 4_000, "x1y2" * 8_000, "word " * 30_000]
+
+
+@pytest.mark.parametrize("k", range(len(LONG_TEXTS)))
+def test_very_long_texts_without_a_place_to_cut(k):
+    """Ids of one very long word, or of very many, equal those of the libraries."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    text = LONG_TEXTS[k]
+    raw = np.frombuffer(text.encode(), dtype=np.uint8)
+    border = np.array([0, len(raw)])
+    path = queries.tokenizer_file("word_bpe_49k.json")
+    found, at = packing.WordEncoder.of(path).encode(raw, border)
+    assert at.tolist() == [0, len(found)] and found.tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    path = queries.tokenizer_file("piece_bpe_32k.model")
+    model = sentencepiece_codec.Model.of(path)
+    found, at = sentencepiece_codec.encode_texts(model, raw, border)
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    assert found.tolist() == library.encode(text) and sentencepiece_codec.decode_ids(model, found).decode() == library.decode(library.encode(text))
