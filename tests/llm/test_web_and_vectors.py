@@ -255,7 +255,7 @@ def test_whole_license_texts(spark):
     got = {r.doc_id: r for r in license_scan.scan_licenses(docs).collect()}
     for k, label in enumerate(text):
         assert label in got[k].labels.split(",") and got[k].score == 1.0
-    assert "mit" in got[100].labels.split(",") and 0.95 < got[100].score < 1
+    assert "mit" in got[100].labels.split(",") and "mit" not in got[103].labels.split(",")
     assert all(got[k].labels == "" and got[k].score < 0.5 for k in (101, 102))
     assert got[103].labels == "mit-grant" and "isc" in got[104].labels.split(",")
     assert "bsd-2-clause" not in got[list(text).index("bsd-3-clause")].labels
