@@ -82,18 +82,39 @@ def attach(df: DataFrame, side: DataFrame, on: list[str], limit: int = BROADCAST
     return df.join(F.broadcast(side) if rows <= limit and size <= BROADCAST_BYTES else side, on, "left")
 
 
+#: Keys with this part of all rows are hot; there are at most as many of them.
+HOT_KEYS = 1000
+
+
+def join_by_share(df: DataFrame, side: DataFrame, on: list[str], weight: str) -> DataFrame:
+    """``df`` left-joined with ``side``, which has one row for each key and says in ``weight`` how many rows of ``df`` have it.
+
+    Nulls are equal. Keys that hold a ``HOT_KEYS``-th of the rows or more are
+    broadcast, of which there are at most ``HOT_KEYS``; the rest is shuffled,
+    where no key is hot. ``side`` is read three times: write it first.
+    """
+    total = side.agg(F.sum(weight)).first()[0] or 0
+    named = side.select(*[F.col(c).alias(f"~{c}") for c in on], *[c for c in side.columns if c not in [*on, weight]], F.lit(True).alias("~hot"), (F.col(weight).cast("double") * HOT_KEYS >= total).alias("~much"))
+    hot, cold = F.broadcast(named.where("`~much`").drop("~much")), named.where("not `~much`").drop("~much")
+    same = [F.col(c).eqNullSafe(F.col(f"`~{c}`")) for c in on]
+    extra = [f"~{c}" for c in on] + ["~hot"]
+    first = df.join(hot, same, "left").where("`~hot`").drop(*extra)
+    rest = df.join(hot.drop(*[c for c in hot.columns if c not in extra]), same, "left_anti").join(cold, same, "left").drop(*extra)
+    return first.unionByName(rest)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of steps that have been cut off.
 
     Spark forgets a shuffle when its plan is garbage, first here and then in
     the JVM; the second round takes what the first has let go. Nothing
     depends on it but how long shuffle files stay on disk; with
-    ``gaugeflow.release`` set to false it is left to Spark's own cleaner.
+    ``spark.gaugeflow.release`` set to false it is left to Spark's own cleaner.
     """
     import gc
     import time
 
-    if spark.conf.get("gaugeflow.release", "true") == "false":
+    if spark.conf.get("spark.gaugeflow.release", "true") == "false":
         return
     for _ in range(2):
         gc.collect()

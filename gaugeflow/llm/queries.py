@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import oracles
+from . import conversation_repair, oracles, secret_scan, vector_codes
 from .ann import nearest
 from .fingerprint import compare_with_edits, containment, distinct_count, to_text
 from .html_text import extract_text
@@ -89,6 +89,29 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents, by rules whose candidates a trigram index gives."""
+    kinds = [r.kind for r in secret_scan.RULES]
+    base = len(secret_scan.BASE)
+    found = secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
+    own = F.filter("spans", lambda s: s["rule"] < base)
+    number = lambda k: F.size(F.filter("spans", lambda s: s["rule"] == k)).cast("long")
+    return found.select("doc_id", *[number(k).alias(f"n_{kinds[k]}") for k in range(base)], F.sha2(secret_scan.span_text(own, kinds).cast("binary"), 256).alias("base_sha256"), secret_scan.span_text(F.col("spans"), kinds).alias("spans"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product codes of all vectors: four parts, 256 entries each, four rounds."""
+    made = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    out = vector_codes.with_label_errors(made.codes)
+    return out.select("vec_id", vector_codes.code_text(F.col("codes")).alias("code"), "error", "label_error", vector_codes.digests(made.books, F.col("size")).alias("codebooks_sha256"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, damaged by a rule on their rows, and repaired at the least cost."""
+    rows = conversation_repair.damaged(table(spark, sf_dir, "conversations"))
+    return conversation_repair.digests(conversation_repair.repair(rows)).select("conv_id", *conversation_repair.COUNTS, "audit", "repaired_sha256")
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
@@ -100,4 +123,7 @@ def oracle_sql() -> dict[str, str]:
         "op4_license_scan": oracles.license_scan(),
         "op5_minhash_near_dedup": oracles.near_duplicates(3, 85),
         "op10_substring_dedup": oracles.substring_dedup(13),
+        "op11_secret_scan": oracles.secret_scan(secret_scan.RULES, len(secret_scan.BASE)),
+        "op12_vector_codes": oracles.vector_codes(4, 256, 4),
+        "op13_conversation_repair": oracles.conversation_repair(),
     }
