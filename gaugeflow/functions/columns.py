@@ -61,14 +61,16 @@ def _py_float(x: Column) -> Column:
         .when(x == float("inf"), "inf")
         .when(x == float("-inf"), "-inf")
         .when(x == 0, F.when(own.startswith("-"), "-0.0").otherwise("0.0"))
+        # The smallest double, which the JVM writes with two digits.
+        .when(size == 5e-324, F.when(x < 0, "-5e-324").otherwise("5e-324"))
         .when((size >= 1e-4) & (size < 1e16), plain)
         .otherwise(F.concat(digits, F.lit("e"), F.when(F.abs(power) > 99, F.concat(F.when(power < 0, "-").otherwise("+"), F.abs(power).cast("string"))).otherwise(signed)))
     )
 
 
 def squeeze(x: Column) -> Column:
-    """Trimmed, with each run of Unicode white space as one space."""
-    return F.trim(F.regexp_replace(x, r"(?U)\s+", " "))
+    """Trimmed, with each run of Unicode white space, or of the four ASCII separators, as one space."""
+    return F.trim(F.regexp_replace(x, r"(?U)[\s\x1C-\x1F]+", " "))
 
 
 def lowercase(x: Column) -> Column:
@@ -116,6 +118,11 @@ def number(x: Column) -> Column:
     return _digits(x).try_cast("decimal(38,10)")
 
 
+def _exact(value: Column, near: Column) -> Column:
+    """A number with 28 whole digits and ten decimals; null if it has more, or is so small that they lose it all."""
+    return F.when((near == 0) | (F.abs(near) >= 1e-10), value.try_cast("decimal(38,10)"))
+
+
 #: A value's number: the same ``key`` for equal numbers of any length, and its size for tolerances.
 NUMBER = "struct<key: string, exact: decimal(38,10), whole: decimal(38,0), near: double>"
 
@@ -127,7 +134,7 @@ def decimal_of(x: Column, kind: str = "str") -> Column:
     if kind == "float":
         # Equal doubles have equal shortest texts; the zeros are one number.
         d = x.cast("double")
-        return F.when(d.isNotNull(), F.struct(F.when(d == 0, F.lit("0.0")).otherwise(d.cast("string")).alias("key"), d.try_cast("decimal(38,10)").alias("exact"), F.lit(None).cast("decimal(38,0)").alias("whole"), d.alias("near")))
+        return F.when(d.isNotNull(), F.struct(F.when(d == 0, F.lit("0.0")).otherwise(d.cast("string")).alias("key"), _exact(d, d).alias("exact"), F.lit(None).cast("decimal(38,0)").alias("whole"), d.alias("near")))
     t = _digits(x)
     sign = F.when(t.startswith("-"), F.lit("-")).otherwise(F.lit(""))
     whole = F.regexp_replace(F.regexp_extract(t, r"^-?([0-9]*)", 1), "^0+", "")
@@ -135,7 +142,7 @@ def decimal_of(x: Column, kind: str = "str") -> Column:
     plain = F.concat(whole, F.lit("."), rest)
     key = F.when(plain == ".", F.lit(".")).otherwise(F.concat(sign, plain))
     sound = t.rlike(r"^-?([0-9]+\.?[0-9]*|\.[0-9]+)$")
-    return F.when(sound, F.struct(key.alias("key"), t.try_cast("decimal(38,10)").alias("exact"), F.when(rest == "", t.try_cast("decimal(38,0)")).alias("whole"), t.try_cast("double").alias("near")))
+    return F.when(sound, F.struct(key.alias("key"), _exact(t, t.try_cast("double")).alias("exact"), F.when(rest == "", t.try_cast("decimal(38,0)")).alias("whole"), t.try_cast("double").alias("near")))
 
 
 def close(x: Column, y: Column, relative: float = 0.0, absolute: float = 0.0) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..plans.spec import ModelSpec
 from ..sources import records
-from . import flat, metrics
+from . import flat, metrics, nested
 from .flatten import evaluator_rows
 from .document import COUNTS, Evaluator, as_text, comparisons, long_rows, non_matches
 
@@ -90,7 +90,16 @@ def document_comparisons(pairs: DataFrame, model: ModelSpec) -> DataFrame:
 def is_native(pairs: DataFrame, model: ModelSpec) -> bool:
     """Whether both sides are structs of a model whose records have a native form."""
     kinds = dict(pairs.dtypes)
-    return all(kinds[c].startswith("struct") for c in ("expected", "predicted")) and flat.supports(model)
+    return all(kinds[c].startswith("struct") for c in ("expected", "predicted")) and nested.supports(model)
+
+
+def _native_rows(pairs: DataFrame, model: ModelSpec, extras: str | None) -> DataFrame:
+    held = pairs.withColumn("doc_id", F.col("doc_id").cast("string"))
+    if nested.matched_fields(model):
+        rows = nested.compare_nested(held, model, "expected", "predicted", extras)
+    else:
+        rows = flat.compare_flat(held, model, "expected", "predicted", documents=True, extras=extras)
+    return rows.withColumn("error", F.lit(None).cast("string")).select(*_names(LONG))
 
 
 def compare_with(pairs: DataFrame, model: ModelSpec, non_matches: bool = False, comparisons: bool = False, evaluator_format: bool = False, recall_with_fd: bool = False, derived: bool = True, extras: str | None = None) -> dict[str, DataFrame]:
@@ -105,12 +114,7 @@ def compare_with(pairs: DataFrame, model: ModelSpec, non_matches: bool = False,
     column ``extras`` counts undeclared keys where the sides are structs,
     which have no others.
     """
-    if is_native(pairs, model):
-        held = pairs.withColumn("doc_id", F.col("doc_id").cast("string"))
-        rows = flat.compare_flat(held, model, "expected", "predicted", documents=True, extras=extras).withColumn("error", F.lit(None).cast("string"))
-        rows = rows.select(*_names(LONG))
-    else:
-        rows = compare_documents(pairs, model)
+    rows = _native_rows(pairs, model, extras) if is_native(pairs, model) else compare_documents(pairs, model)
     sound = rows.where("error is null")
     out = {"fields": rows, "scores": sound.where("path = ''").select("doc_id", F.col("applied").alias("overall_score")), "aggregate": metrics.roll_up(sound, ("doc_id",))}
     if derived:

@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 from typing import Any
 
 from ..functions.assignment import match_lists, normalised
-from ..plans.spec import COMPARABLE, FieldSpec, ModelSpec
+from ..plans.spec import FieldSpec, ModelSpec
 
 COUNTS = ("tp", "fa", "fd", "fp", "tn", "fn")
 #: Pairs of list elements count towards a list's score from here on.

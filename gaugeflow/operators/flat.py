@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import scalars as S
-from ..plans.spec import COMPARABLE, FieldSpec, ModelSpec
+from ..plans.spec import FieldSpec, ModelSpec
 
 COUNTS = ("tp", "fa", "fd", "fp", "tn", "fn")
+#: Pairs of records count towards a list's score from here on.
+ANY_LIKENESS = 0.01
+PAIR_TYPE = "array<struct<i: int, j: int, raw: double, applied: double>>"
 
 
 def counts(**own: Column) -> Column:
@@ -23,19 +26,63 @@ def counts(**own: Column) -> Column:
     return F.struct(*[one[c].alias(c) for c in COUNTS])
 
 
+def prepared(f: FieldSpec, value: Column) -> Column:
+    """What the comparator of a scalar field looks at, made once for each value; null for null."""
+    c, kind = f.comparator, {"float": "double", "bool": "boolean"}.get(f.kind, "string")
+    if f.kind == "bytes":
+        # As JSON has it.
+        value = F.base64(value)
+    if isinstance(c, S.Numeric):
+        return C.decimal_of(value, f.kind)
+    text = C.py_str(value, kind)
+    if isinstance(c, S.Levenshtein):
+        return F.lower(C.squeeze(text)) if c.normalize else text
+    if isinstance(c, S.Fuzzy):
+        return text
+    if isinstance(c, S.Exact):
+        return C.strip_punctuation_space(text if c.case_sensitive else F.lower(text))
+    raise ValueError(f"{f.name}: {c.name} has no native form; use compare_documents")
+
+
+def similarity(f: FieldSpec, x: Column, y: Column) -> Column:
+    """Raw score of two prepared values of a scalar field, neither of which need be there."""
+    c = f.comparator
+    if isinstance(c, S.Numeric):
+        return C.close(x, y, c.relative_tolerance, c.absolute_tolerance)
+    if isinstance(c, S.Levenshtein):
+        return C.levenshtein(x, y, normalize=False)
+    if isinstance(c, S.Fuzzy):
+        return C.fuzzy(x, y, c.method, c.normalize)
+    return F.coalesce((x == y).cast("double"), F.lit(0.0))
+
+
+def closed_form(f: FieldSpec) -> bool:
+    """Whether the optimal matching of a list field is a count of equal elements."""
+    return f.kind.startswith("list:") and isinstance(f.comparator, S.Exact) and 0 < f.threshold <= 1
+
+
 class Compiled:
     """A specification as successive projections.
 
     Each step names what the next ones use more than once: prepared values,
     then scores of leaves, then outcomes and scores of records from the
     innermost out. So no expression is written out twice in generated code.
+
+    A list that needs an assignment has its pairs (i, j, raw, applied) in the
+    column ``<path>~pairs``, where ``operators.nested`` puts them.
     """
 
-    def __init__(self, model: ModelSpec, gt: str, pred: str):
+    def __init__(self, model: ModelSpec, gt: str, pred: str, prefix: str = "", depth: int = 1):
         self.steps: list[dict[str, Column]] = [{}, {}]
         self.rows: list[Column] = []
         self.missing: list[tuple[str, str]] = []
-        self._record(model, F.col(gt), F.col(pred), "", 1)
+        self._record(model, F.col(gt), F.col(pred), prefix, depth)
+
+    def on(self, df: DataFrame) -> DataFrame:
+        """``df`` with the columns of all steps."""
+        for step in self.steps:
+            df = df.withColumns(step) if step else df
+        return df
 
     def _put(self, step: int, name: str, value: Column) -> Column:
         while len(self.steps) <= step:
@@ -58,30 +105,15 @@ class Compiled:
 
     def _scalar(self, f: FieldSpec, a: Column, b: Column, path: str) -> Column:
         """Raw score of a leaf, from prepared values."""
-        c, kind = f.comparator, {"float": "double", "bool": "boolean"}.get(f.kind, "string")
-        if f.kind not in COMPARABLE:
-            # Values of other types are equal to nothing.
-            return self._put(1, f"{path}~s", F.lit(0.0))
-        if isinstance(c, S.Numeric):
-            x, y = (self._put(0, f"{path}~{k}", C.decimal_of(v, f.kind)) for k, v in (("a", a), ("b", b)))
-            return self._put(1, f"{path}~s", C.close(x, y, c.relative_tolerance, c.absolute_tolerance))
-        if isinstance(c, S.Levenshtein):
-            ready = (lambda v: F.lower(C.squeeze(C.py_str(v, kind)))) if c.normalize else (lambda v: C.py_str(v, kind))
-            x, y = (self._put(0, f"{path}~{k}", F.coalesce(ready(v), F.lit(""))) for k, v in (("a", a), ("b", b)))
-            return self._put(1, f"{path}~s", C.levenshtein(x, y, normalize=False))
-        if isinstance(c, S.Fuzzy):
-            x, y = (self._put(0, f"{path}~{k}", C.py_str(v, kind)) for k, v in (("a", a), ("b", b)))
-            return self._put(1, f"{path}~s", C.fuzzy(x, y, c.method, c.normalize))
-        if isinstance(c, S.Exact):
-            ready = lambda v: C.strip_punctuation_space(C.py_str(v, kind) if c.case_sensitive else F.lower(C.py_str(v, kind)))
-            x, y = (self._put(0, f"{path}~{k}", ready(v)) for k, v in (("a", a), ("b", b)))
-            return self._put(1, f"{path}~s", F.coalesce((x == y).cast("double"), F.lit(0.0)))
-        raise ValueError(f"{path}: {c.name} has no native form; use compare_documents")
+        x, y = (self._put(0, f"{path}~{k}", prepared(f, v)) for k, v in (("a", a), ("b", b)))
+        return self._put(1, f"{path}~s", similarity(f, x, y))
 
     def _field(self, f: FieldSpec, a: Column, b: Column, path: str, depth: int) -> tuple[int, Column, Column]:
         """Adds the field's row; (step, score without thresholds, score) as its record uses them."""
-        if f.kind.startswith("list:"):
+        if closed_form(f):
             return self._list(f, a, b, path, depth)
+        if f.is_list:
+            return self._matched(f, a, b, path, depth)
         below = f.kind == "struct"
         if below:
             step, raw, inner = self._record(f.model, a, b, f"{path}.", depth + 1)
@@ -101,8 +133,6 @@ class Compiled:
         return step + 2, bare, applied
 
     def _list(self, f: FieldSpec, a: Column, b: Column, path: str, depth: int) -> tuple[int, Column, Column]:
-        if not isinstance(f.comparator, S.Exact) or not 0 < f.threshold <= 1:
-            raise ValueError(f"{path}: only lists compared for equality have a native form; use lists.match_lists")
         x, y = (self._put(0, f"{path}~{k}", F.transform(F.coalesce(v, F.array().cast("array<string>")), lambda e: _exact_key(e))) for k, v in (("a", a), ("b", b)))
         common = self._put(1, f"{path}~common", F.aggregate(F.array_distinct(x), F.lit(0), lambda s, k: s + F.least(_count(x, k), _count(y, k))))
         n, m = F.size(x), F.size(y)
@@ -113,6 +143,23 @@ class Compiled:
         self.rows.append(self._row(f, path, depth, F.lit(True), F.lit(None).cast("string"), own, score, score))
         return 3, bare, score
 
+    def _matched(self, f: FieldSpec, a: Column, b: Column, path: str, depth: int) -> tuple[int, Column, Column]:
+        """A list whose pairs are known; the score is their mean, without those below a likeness, scaled by how much is paired."""
+        pairs, records = F.col(f"`{path}~pairs`"), f.kind == "list"
+        n, m = (self._put(0, f"{path}~{k}", F.coalesce(F.size(v), F.lit(0))) for k, v in (("n", a), ("m", b)))
+        paired = self._put(0, f"{path}~paired", F.coalesce(F.size(pairs), F.lit(0)))
+        limit = ANY_LIKENESS if records else f.threshold
+        sums = lambda t: F.aggregate(F.coalesce(pairs, F.array().cast(PAIR_TYPE)), F.lit(0.0), lambda s, p: s + F.when(C.reaches(p["applied"], t), p["applied"]).otherwise(0.0))
+        reached = (lambda p: p["raw"] >= F.lit(float(f.model.match_threshold))) if records else (lambda p: C.reaches(p["raw"], f.threshold))
+        good = self._put(1, f"{path}~good", F.coalesce(F.size(F.filter(pairs, reached)), F.lit(0)))
+        none = (n == 0) | (m == 0)
+        score = self._put(1, f"{path}~s", F.when((n == 0) & (m == 0), 1.0).when(none, 0.0).otherwise(sums(limit) / F.greatest(n, m)))
+        bare = self._put(2, f"{path}~bare", F.when(a.isNull() & b.isNull(), 1.0).when(none, 0.0).otherwise(score if records else sums(0.0) / F.greatest(n, m)))
+        own = counts(tp=good, fd=paired - good, fa=m - paired, fn=n - paired, tn=((n == 0) & (m == 0)).cast("int"))
+        leaf = none | ((good == 0) & (n == paired) & (m == paired)) if records else F.lit(True)
+        self.rows.append(self._row(f, path, depth, leaf, F.lit(None).cast("string"), own, score, score))
+        return 2, bare, score
+
     def _row(self, f: FieldSpec, path: str, depth: int, leaf: Column, kind: Column, own: Column | None, raw: Column, applied: Column) -> Column:
         if own is None:
             own = F.struct(*[F.lit(None).cast("long").alias(c) for c in COUNTS])
@@ -170,8 +217,7 @@ def compare_flat(pairs: DataFrame, model: ModelSpec, gt: str = "gt", pred: str =
     """
     built = Compiled(model, gt, pred)
     wide = pairs.select(*keys, gt, pred, *([F.col(extras).alias("~extras")] if extras else []))
-    for step in built.steps:
-        wide = wide.withColumns(step) if step else wide
+    wide = built.on(wide)
     if not documents:
         return wide.select(*keys, F.explode(built.outcomes()).alias("r")).select(*keys, _finished(F.col("r")).alias("r")).select(*keys, *[f"r.{c}" for c in ROW])
     rows = wide.select(*keys, *(["`~extras`"] if extras else []), F.transform(built.outcomes(), _finished).alias("~rows"))
@@ -186,7 +232,7 @@ def supports(model: ModelSpec) -> bool:
             if not supports(f.model):
                 return False
         elif f.kind.startswith("list:"):
-            if not isinstance(f.comparator, S.Exact) or not 0 < f.threshold <= 1:
+            if not closed_form(f):
                 return False
         elif f.is_list or not isinstance(f.comparator, (S.Exact, S.Levenshtein, S.Numeric, S.Fuzzy)):
             return False

@@ -7,7 +7,6 @@ rules are SQL that Spark and DuckDB read alike.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +15,9 @@ from pyspark.sql import types as T
 
 from ..functions import columns as C
 from ..functions.scalars import Exact, Levenshtein, Numeric
-from ..operators import anls, compare, flat, flatten, lists, metrics, packet
+from ..operators import anls, compare, flat, flatten, lists, metrics, nested, packet
 from ..sources import records
+from ..sources.stored import shared_folder
 from .spec import FieldSpec, ModelSpec
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,17 +53,6 @@ def oracle_sql() -> dict[str, str]:
     return dict(_oracle)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one of this machine only where Spark runs on it alone."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="gaugeflow-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
@@ -395,9 +384,9 @@ def nested_list_depth3(spark, d):
         F.array_sort(F.collect_list(F.when(F.col("doc_id") % 9 != 0, F.struct(F.col("doc_id").alias("key"), kept(F.col("pred")).alias("items"))))).alias("pred"),
     )
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("c"), "c_mktsegment")
-    both = each.join(c, "c").select(F.col("c").alias("doc_id"), F.struct(F.col("c_mktsegment").alias("segment"), F.col("gt").alias("orders")).alias("expected"), F.struct(F.col("c_mktsegment").alias("segment"), F.col("pred").alias("orders")).alias("predicted"))
+    both = each.join(c, "c").select(F.col("c").alias("doc_id"), F.struct(F.col("c_mktsegment").alias("segment"), F.col("gt").alias("orders")).alias("gt"), F.struct(F.col("c_mktsegment").alias("segment"), F.col("pred").alias("orders")).alias("pred"))
     # Few bytes but much work: many small tasks.
-    return metrics.bulk(compare.compare_documents(both.repartition(64, "doc_id"), BUYER))
+    return metrics.bulk(nested.compare_nested(both.repartition(64, "doc_id"), BUYER))
 
 
 @query("SELECT '' AS path, CAST(0 AS BIGINT) AS tp, CAST(sum(CASE WHEN o_orderkey % 19 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS fn FROM orders")

@@ -24,8 +24,6 @@ SCALARS: dict[str, T.DataType] = {
     "bytes": T.BinaryType(),
     "Any": T.StringType(),
 }
-#: Only these compare by value; anything else that is present on both sides counts as a mismatch.
-COMPARABLE = ("str", "int", "float", "bool")
 
 # Settings that extension keys of a JSON Schema carry, as ``x-<any vendor>-<setting>``.
 SETTINGS = ("comparator-config", "comparator", "match-threshold", "model-name", "threshold", "weight", "clip-under-threshold", "aggregate")
