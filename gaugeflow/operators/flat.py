@@ -33,7 +33,9 @@ def prepared(f: FieldSpec, value: Column) -> Column:
         # As JSON has it.
         value = F.base64(value)
     if isinstance(c, S.Numeric):
-        return C.decimal_of(value, f.kind)
+        number = C.decimal_of(value, f.kind)
+        # Without a tolerance numbers are equal or not.
+        return number if c.relative_tolerance > 0 or c.absolute_tolerance > 0 else F.struct(number["key"].alias("key"))
     text = C.py_str(value, kind)
     if isinstance(c, S.Levenshtein):
         return F.lower(C.squeeze(text)) if c.normalize else text
