@@ -372,22 +372,6 @@ PURCHASE = ModelSpec("Purchase", [FieldSpec("key", "int", Exact(), 1.0), FieldSp
 BUYER = ModelSpec("Buyer", [FieldSpec("segment", "str", Exact(), 1.0), FieldSpec("orders", "list", model=PURCHASE)])
 
 
-@query()
-def nested_list_depth3(spark, d):
-    """Customers with lists of orders with lists of items, compared as whole documents."""
-    kept = lambda c: F.transform(c, lambda x: x.withField("flag", x["flag"]))
-    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_custkey").alias("c"))
-    items = _item_lists(spark, d).join(orders, "doc_id")
-    each = items.groupBy("c").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("doc_id").alias("key"), kept(F.col("gt")).alias("items")))).alias("gt"),
-        F.array_sort(F.collect_list(F.when(F.col("doc_id") % 9 != 0, F.struct(F.col("doc_id").alias("key"), kept(F.col("pred")).alias("items"))))).alias("pred"),
-    )
-    c = table(spark, d, "customer").select(F.col("c_custkey").alias("c"), "c_mktsegment")
-    both = each.join(c, "c").select(F.col("c").alias("doc_id"), F.struct(F.col("c_mktsegment").alias("segment"), F.col("gt").alias("orders")).alias("gt"), F.struct(F.col("c_mktsegment").alias("segment"), F.col("pred").alias("orders")).alias("pred"))
-    # Few bytes but much work: many small tasks.
-    return metrics.bulk(nested.compare_nested(both.repartition(64, "doc_id"), BUYER))
-
-
 @query("SELECT '' AS path, CAST(0 AS BIGINT) AS tp, CAST(sum(CASE WHEN o_orderkey % 19 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS fn FROM orders")
 def error_counts(spark, d):
     """Documents that can't be read add one false negative each to the totals."""
