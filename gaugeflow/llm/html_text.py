@@ -35,12 +35,17 @@ GROUP_BYTES = 16 << 20
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>?", re.S)
 #: One attribute with its value, so that nothing inside a value counts as an attribute.
 ATTRIBUTE = re.compile(r"([^\s/=>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-RAW_TEXT = frozenset("script style textarea title noscript iframe noembed noframes xmp template svg math object select".split())
+RAW_TEXT = frozenset("script style textarea title noscript iframe noembed noframes xmp template svg object select annotation annotation-xml".split())
 CHROME = frozenset("nav footer aside form header menu dialog head button canvas audio video".split())
 ARTICLE = frozenset(("article", "main"))
 #: Elements that a class word never makes boilerplate.
 WHOLE = frozenset(("html", "body", *ARTICLE))
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
+#: Elements of running text. Page generators give them ids made of their words, so an id says nothing of them, and of their class only a word of adverts, notices or comments.
+PROSE = frozenset("h1 h2 h3 h4 h5 h6 p li dt dd td th tr caption pre blockquote figure figcaption summary".split())
+PROSE_CHROME = re.compile(r"(?:^|\s)(?:ads?|advert|advertisement|sponsored|promo|promotion|cookies?|consent|notice|comments?|disqus|respond)(?:[_-](?:banner|block|box|item|list|message|notice|slot|unit))*(?:$|\s)", re.I)
+#: Elements of an article whose id counts, as a class does.
+CONTAINER = frozenset("div section ul ol dl form aside table".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words of a class or id that mark an element outside an article as boilerplate, also as a part of a name.
 CHROME_WORD = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|sidebar|side-bar|menu|navbar|navigation|nav|breadcrumbs?|footer|masthead|cookies?|consent|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login|search|share|sharing|social|related|recommend\w*|comments?|disqus|respond|pagination|pager|widget|toolbar|skip-link)(?:$|[\s_-])", re.I)
@@ -59,7 +64,11 @@ FILL = "\0"
 
 
 def _chrome_of(name: str, attributes: str, inside_article: bool) -> str | None:
-    """What marks an element as boilerplate: its tag, an attribute, or only a word of its class or id; "maybe" if runs decide; else None."""
+    """What marks an element as boilerplate: its tag, an attribute, or only a word of its class or id; "maybe" if runs decide; else None.
+
+    In an article an id counts on containers only: one of a heading, a
+    paragraph or a list item is made of its words, as a link's target is.
+    """
     if name in CHROME and not (name == "header" and inside_article):
         return "tag"
     held: dict[str, str] = {}
@@ -71,7 +80,10 @@ def _chrome_of(name: str, attributes: str, inside_article: bool) -> str | None:
         return "attribute"
     if name in WHOLE:
         return None
-    names = [LAYOUT_WORD.sub(" ", held.get(k, "")) for k in ("class", "id")]
+    if name in PROSE and inside_article:
+        return "word" if PROSE_CHROME.search(LAYOUT_WORD.sub(" ", held.get("class", ""))) else None
+    told = ("class", "id") if name in CONTAINER or not (inside_article or name in PROSE) else ("class",)
+    names = [LAYOUT_WORD.sub(" ", held.get(k, "")) for k in told]
     if inside_article and any(ARTICLE_CHROME.search(x) or ARTICLE_FRAME.search(x) for x in names):
         return "word"
     if any(CHROME_WORD.search(x) for x in names):
@@ -142,7 +154,7 @@ def _blocks(page: str, around: bool) -> tuple[list[tuple[int, str]], bool]:
             if not end:
                 # Nor will a later one be closed.
                 unclosed.add(name)
-            if name not in ("svg", "math") or end:
+            if name != "svg" or end:
                 at = end.end() if end else len(page)
             if name == "title" or name in BLOCK:
                 flush()
