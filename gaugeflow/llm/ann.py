@@ -20,7 +20,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -30,6 +30,8 @@ TABLES = 20
 #: Recall that the sample must reach, how many queries it has, and the most buckets probed in a table.
 RECALL = 0.95
 SAMPLE = 64
+#: A neighbour as near as a query's last one must have been found this often in the sample; else the query is compared with all vectors.
+FOUND_EACH = 0.7
 MOST_PROBES = 512
 #: Longest to shortest vector of a band, and from how many vectors on a band is hashed.
 RATIO = 1.1
@@ -233,17 +235,35 @@ def tune(index: DataFrame, queries: DataFrame, dim: int, n: int, k: int, tables:
     ``MOST_PROBES`` buckets do not reach the recall, and so on. With one axis
     all buckets can be probed.
     """
+    return _tuned(index, queries, dim, n, k, tables, recall)[:2]
+
+
+def _trusted(cosines: np.ndarray, found: np.ndarray) -> float:
+    """The least cosine down to which neighbours of the sample were found ``FOUND_EACH`` of the time, in twenty steps of equally many.
+
+    Below all cosines that the sample has seen nothing is known, so nothing is trusted.
+    """
+    order = np.argsort(cosines)
+    steps = [s for s in np.array_split(order, 20) if len(s)]
+    bad = [k for k, s in enumerate(steps) if found[s].mean() < FOUND_EACH]
+    return float(cosines[steps[bad[-1]]].max()) + 1e-9 if bad else float(cosines.min()) - 0.02
+
+
+def _tuned(index: DataFrame, queries: DataFrame, dim: int, n: int, k: int, tables: int, recall: float) -> tuple[int, int, float]:
+    """Axes, probes and the least cosine at which neighbours are surely found."""
     picked = queries.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("rep", "v").collect()
     size = 2 << (dim - 1).bit_length()
     axes = max(1, math.ceil(math.log(n) / math.log(size)))
     if not picked:
-        return axes, 1
+        return axes, 1, -2.0
     near = index.select("rep", "v").mapInPandas(_exact_top(picked, k), "q long, rep long, s double")
     near = near.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "rep"))).where(F.col("r") <= k)
     # At most SAMPLE * k rows.
     pairs = index.select("rep", "v").join(F.broadcast(near.select("q", "rep")), "rep").select("q", "v").collect()
     place = {r["rep"]: i for i, r in enumerate(picked)}
     own = np.array([place[r["q"]] for r in pairs], dtype=int)
+    unit = lambda rows: (x := np.array([r["v"] for r in rows], dtype=float).reshape(len(rows), dim)) / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    cosines = (unit(picked)[own] * unit(pairs)).sum(axis=1)
     for axes in range(axes, 0, -1):
         turn = Rotations(dim, tables, axes)
         most = min(MOST_PROBES, size**axes) if axes > 1 else size
@@ -256,8 +276,8 @@ def tune(index: DataFrame, queries: DataFrame, dim: int, n: int, k: int, tables:
             rank = np.minimum(rank, np.where(same.any(axis=1), same.argmax(axis=1), most))
         for probes in sorted({*(2**x for x in range(20) if 2**x < most), *(3 * 2**x for x in range(20) if 3 * 2**x < most), most}):
             if (rank < probes).mean() >= recall:
-                return axes, probes
-    return 1, size
+                return axes, probes, _trusted(cosines, rank < probes)
+    return 1, size, -2.0
 
 
 def nearest(vectors: DataFrame, is_query, k: int = 20, id_column: str = "vec_id", column: str = "embedding", tables: int = TABLES, recall: float = RECALL) -> DataFrame:
@@ -269,8 +289,9 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_column: str = "vec_id"
     that are null, zero, or hold null or non-finite components take no part,
     nor do those without an id. Vectors of different sizes are not compared:
     each size is searched by itself. A query that meets fewer than ``k``
-    others in its buckets is compared with all vectors of its size, block by
-    block, so it gets ``k`` or all there are. An id that repeats with one
+    others in its buckets, or whose last neighbour is so far that the sample
+    missed many like it, is compared with all vectors of its size, block by
+    block, so it gets ``k`` or all there are, and a rare vector its own. An id that repeats with one
     vector counts once; with several, its nearest counts. An empty table
     gives an empty table.
 
@@ -293,14 +314,15 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_column: str = "vec_id"
     if wanted.isEmpty():
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
 
-    met, hashed = [], []
+    met, hashed, trusted = [], [], F.lit(-2.0)
     common = index.groupBy("d").count().where(F.col("count") >= HASHED_FROM).orderBy(F.desc("count"), "d").limit(MOST_SIZES).collect()
     for dim, n in common:
         mine = wanted.where(F.col("d") == dim)
-        found = _met_by_hash(index.where(F.col("d") == dim), mine, dim, n, k, tables, recall)
+        found, floor = _met_by_hash(index.where(F.col("d") == dim), mine, dim, n, k, tables, recall)
         if found:
             met.extend(found)
             hashed.append(dim)
+            trusted = F.when(F.col("d") == dim, floor).otherwise(trusted)
     left = [x.where(~F.col("d").isin(hashed)) for x in (wanted, index)] if hashed else [wanted, index]
     if not left[0].isEmpty():
         met.append(_met_all(*left, k))
@@ -309,8 +331,12 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_column: str = "vec_id"
         together = together.unionByName(more)
     found = cut(_top(together, wanted, k), "found")
 
-    reach = found.join(index.select("rep", F.size("ids").alias("n")), "rep").groupBy("q").agg(F.sum("n").alias("n"))
-    short = cut(wanted.join(reach.where(F.col("n") > k).select(F.col("q").alias("rep")), "rep", "left_anti"), "short")
+    reach = found.join(index.select("rep", "v", F.size("ids").alias("n")), "rep").join(wanted.select(F.col("rep").alias("q"), F.col("v").alias("qv"), "d"), "q")
+    # At most k + 1 + SPARE for each query; its own vector is one of them.
+    reach = reach.groupBy("q", "d").agg(F.sum("n").alias("n"), F.sort_array(F.collect_list(_cosine("v", "qv")), asc=False).alias("c"))
+    last = F.get("c", F.least(F.size("c"), F.lit(k + 1)) - 1)
+    sure = reach.where((F.col("n") > k) & ~F.isnan(last) & (last >= trusted))
+    short = cut(wanted.join(sure.select(F.col("q").alias("rep")), "rep", "left_anti"), "short")
     if not short.isEmpty():
         whole = cut(_top(_met_all(short, index, k), short, k), "whole")
         found = found.join(short.select(F.col("rep").alias("q")), "q", "left_anti").unionByName(whole)
@@ -329,6 +355,12 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, id_column: str = "vec_id"
     return flat.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _cosine(a: str, b: str) -> Column:
+    """Cosine of two vectors; null or not finite where a square is out of range."""
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda t, p: t + p)
+    return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+
+
 def _banded(index: DataFrame) -> DataFrame:
     """(rep, v, band): the band of each vector's length, counted down from the longest's."""
     most = F.array_max(F.transform("v", lambda x: F.abs(x.cast("double"))))
@@ -339,15 +371,15 @@ def _banded(index: DataFrame) -> DataFrame:
     return sized.select("rep", "v", F.floor((F.lit(longest) - F.col("length")) / float(np.log(RATIO))).cast("int").alias("band"))
 
 
-def _met_by_hash(index: DataFrame, queries: DataFrame, dim: int, n: int, k: int, tables: int, recall: float) -> list[DataFrame]:
-    """What queries of one vector size meet in their buckets and in sparse bands; nothing if no band is worth hashing."""
+def _met_by_hash(index: DataFrame, queries: DataFrame, dim: int, n: int, k: int, tables: int, recall: float) -> tuple[list[DataFrame], float]:
+    """What queries of one vector size meet in their buckets and in sparse bands, nothing if no band is worth hashing; and the cosine down to which that is trusted."""
     banded = cut(_banded(index), "banded")
     sizes = banded.groupBy("band").count()
     dense = sorted(r["band"] for r in sizes.where(F.col("count") >= HASHED_FROM).collect())
     if not dense:
-        return []
+        return [], -2.0
     full = banded.where(F.col("band").isin(dense))
-    axes, probes = tune(full, queries, dim, n, k, tables, recall)
+    axes, probes, floor = _tuned(full, queries, dim, n, k, tables, recall)
     placed = cut(full.select("rep", "v", "band").mapInPandas(_placer(dim, tables, axes), f"cell long, fine int, band int, rep long, v {index.schema['v'].dataType.simpleString()}"), "placed")
     probe = queries.select("rep", "v").mapInPandas(_prober(dim, tables, axes, probes), f"cell long, q long, qv {index.schema['v'].dataType.simpleString()}, fines array<int>")
     probe = cut(probe.withColumn("band", F.explode(F.array(*map(F.lit, dense)))), "probe")
@@ -357,7 +389,7 @@ def _met_by_hash(index: DataFrame, queries: DataFrame, dim: int, n: int, k: int,
     met = [_met(*(_dealt(x, many, busy, cell, own, other) for x, own, other in ((probe, ("q", "parts", "part"), ("blocks", "block")), (placed, ("rep", "blocks", "block"), ("parts", "part")))), k)]
     if not (loose := banded.where(~F.col("band").isin(dense))).isEmpty():
         met.append(_met_all(queries, loose.withColumn("d", F.lit(dim)), k))
-    return met
+    return met, floor
 
 
 def _dealt(rows: DataFrame, many: DataFrame, busy: DataFrame, cell: list[str], own: tuple, other: tuple) -> DataFrame:
