@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions.scalars import Exact, Fuzzy
-from ..operators import anls, compare, flat, metrics
+from ..operators import anls, compare, flat, metrics, trees
 from ..sources import records
 from .catalogue import CUSTOMER, CUSTOMER_LONG, GUESS, LONG, ORDER, ROLLED_UP, SUMS, _order_long, _order_pairs, anls_sql, query, r6, table
 from .spec import FieldSpec, ModelSpec
@@ -253,3 +253,36 @@ def stream_windows(spark, d):
     found = streams.windowed_totals(long, "ts", "1 hour").select(F.col("window.start").alias("start"), "path", "tp", "fd")
     streams.start(found, name, f"{_shared(spark)}/{name}").awaitTermination()
     return spark.table(name).select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "path", "tp", "fd")
+
+
+# ---------------------------------------------------------------- trees
+
+TREE = f"""t AS (SELECT o_orderkey AS k, o_custkey % 3 = 0 AS flat, o_orderkey % 5 = 0 AS note, {anls_sql('o_orderpriority', 'b')} AS priority, CASE WHEN o_orderkey % 7 = 0 THEN 0.0 ELSE 1.0 END AS status,
+  CASE WHEN o_custkey % 3 = 0 THEN 0.0 ELSE {anls_sql('c_name', 'n')} END AS name, CASE WHEN o_custkey % 3 = 0 THEN 0.0 ELSE 1.0 END AS nation
+  FROM (SELECT *, {GUESS['priority']} AS b, CASE WHEN c_custkey % 4 = 0 THEN reverse(c_name) ELSE c_name END AS n FROM orders JOIN customer ON o_custkey = c_custkey))"""
+
+
+def _trees(spark, d):
+    """Orders with their customers as JSON; a prediction may lack a key, have one more, or a text in an object's place."""
+    c = table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey")
+    o = table(spark, d, "orders").join(c, F.col("o_custkey") == F.col("c_custkey"))
+    name = F.when(F.col("c_custkey") % 4 == 0, F.reverse("c_name")).otherwise(F.col("c_name"))
+    inner = lambda n: F.struct(n.alias("name"), F.struct(F.col("c_nationkey").alias("key")).alias("nation"))
+    gt = F.to_json(F.struct(F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("status"), inner(F.col("c_name")).alias("customer")))
+    known = [F.expr(GUESS["priority"]).alias("priority"), F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderstatus")).alias("status"), F.when(F.col("o_orderkey") % 5 == 0, "seen").alias("note")]
+    # Null fields are left out of the text.
+    pred = F.when(F.col("o_custkey") % 3 == 0, F.to_json(F.struct(*known, F.lit("gone").alias("customer")))).otherwise(F.to_json(F.struct(*known, inner(name).alias("customer"))))
+    return trees.compare_trees(o.select(F.col("o_orderkey").alias("doc_id"), gt.alias("expected"), pred.alias("predicted")))
+
+
+@query(f"WITH {TREE} SELECT CAST(k AS VARCHAR) AS doc_id, round((priority + status + name + nation) / (4 + CASE WHEN note THEN 1 ELSE 0 END), 6) AS score FROM t")
+def anls_trees(spark, d):
+    """Scores of nested JSON without a schema, level by level."""
+    return r6(_trees(spark, d).scores)
+
+
+@query(f"""WITH {TREE}, s AS (SELECT 'priority' AS path, priority AS s FROM t UNION ALL SELECT 'status', status FROM t UNION ALL SELECT 'note', 0.0 FROM t WHERE note UNION ALL SELECT 'customer', (name + nation) / 2 FROM t UNION ALL SELECT 'customer.name', name FROM t WHERE NOT flat
+UNION ALL SELECT 'customer.nation', nation FROM t WHERE NOT flat UNION ALL SELECT 'customer.nation.key', nation FROM t WHERE NOT flat) SELECT path, round(avg(s), 6) AS score, count(*) AS n FROM s GROUP BY path""")
+def anls_tree_keys(spark, d):
+    """Mean score of every key of either side."""
+    return r6(_trees(spark, d).keys.groupBy("path").agg(F.avg("score").alias("score"), F.count("*").alias("n")))
