@@ -29,27 +29,27 @@ class Trees(NamedTuple):
     others: DataFrame
 
 
-def _kind(v: Column) -> Column:
-    """object, list, null or scalar."""
-    name = F.schema_of_variant(v)
+def _kind(v: Column, name: Column) -> Column:
+    """object, list, null or scalar, from a value and the name of its type."""
     return F.when(v.isNull() | (name == "VOID"), "null").when(name.startswith("OBJECT"), "object").when(name.startswith("ARRAY"), "list").otherwise("scalar")
 
 
-def _text(v: Column) -> Column:
+def _text(v: Column, name: Column) -> Column:
     """A scalar's text as the row evaluator has it, in lower case with single spaces."""
-    name = F.schema_of_variant(v)
-    number = C.py_str(F.try_variant_get(v, "$", "double"), "double")
-    plain = F.try_variant_get(v, "$", "string")
     # Whole numbers are BIGINT, or decimals where they are too long for one; other decimals are what JSON wrote with a point.
     whole = name.endswith(",0)") & (F.regexp_extract(name, r"(\d+),", 1).try_cast("int") > 18)
-    text = F.when(name.isin("DOUBLE", "FLOAT") | (name.startswith("DECIMAL") & ~whole), number).otherwise(plain)
+    number = name.isin("DOUBLE", "FLOAT") | (name.startswith("DECIMAL") & ~whole)
+    text = F.when(number, C.py_str(F.try_variant_get(v, "$", "double"), "double")).otherwise(F.try_variant_get(v, "$", "string"))
     return F.lower(C.squeeze(text))
 
 
-def _missing(v: Column, kind: Column) -> Column:
-    """Null, the empty text, and empty containers."""
-    empty = (kind == "scalar") & (F.schema_of_variant(v) == "STRING") & (F.try_variant_get(v, "$", "string") == "")
-    return (kind == "null") | F.coalesce(empty, F.lit(False)) | ((kind == "object") & (F.size(F.map_keys(F.try_variant_get(v, "$", MAP))) == 0)) | ((kind == "list") & (F.size(F.try_variant_get(v, "$", LIST)) == 0))
+def _described(level: DataFrame) -> DataFrame:
+    """``level`` with the kinds of its values (ka, kb), the texts of scalars (ta, tb), and whether the prediction is missing: null, "", [] or {}."""
+    named = level.withColumns({"na": F.schema_of_variant("a"), "nb": F.schema_of_variant("b")})
+    named = named.withColumns({"ka": _kind(F.col("a"), F.col("na")), "kb": _kind(F.col("b"), F.col("nb"))})
+    text = lambda v, k, n: F.when(F.col(k) == "scalar", _text(F.col(v), F.col(n)))
+    empty = F.when(F.col("kb") == "null", True).when(F.col("kb") == "object", F.col("nb") == "OBJECT<>").when(F.col("kb") == "list", F.size(F.try_variant_get("b", "$", LIST)) == 0).otherwise((F.col("nb") == "STRING") & (F.try_variant_get("b", "$", "string") == ""))
+    return named.withColumns({"ta": text("a", "ka", "na"), "tb": text("b", "kb", "nb"), "missing": F.coalesce(empty, F.lit(False))}).drop("na", "nb")
 
 
 def _leaf(a: Column, b: Column) -> Column:
@@ -71,20 +71,19 @@ def compare_trees(pairs: DataFrame, gt: str = "expected", pred: str = "predicted
     level = pairs.select(F.col("doc_id").cast("string").alias("doc_id"), F.array().cast("array<string>").alias("path"), side(gt).alias("a"), side(pred).alias("b"), F.lit(True).alias("known"))
     settled, weights, others = [], [], [unread]
     while True:
-        level = stored(level.withColumns({"ka": _kind(F.col("a")), "kb": _kind(F.col("b"))}), "level")
+        level = stored(_described(level), "level")
         both = (F.col("ka") == "object") & (F.col("kb") == "object")
         # At the top a list beside a text holds alternatives.
         listed = (F.col("ka") == "list") & ((F.col("kb") == "list") | ((F.col("kb") == "scalar") & (F.size("path") == 0)))
         others.append(level.where(listed).select("doc_id"))
         here = level.where(~both)
-        a_missing, b_missing = _missing(F.col("a"), F.col("ka")), _missing(F.col("b"), F.col("kb"))
         score = (
             # A null-like key that the truth lacks scores nothing.
-            F.when(F.col("ka") == "null", F.when(F.col("known"), b_missing.cast("double")).otherwise(0.0))
-            .when((F.col("ka") == "scalar") & (F.col("kb") == "scalar"), _leaf(_text(F.col("a")), _text(F.col("b"))))
+            F.when(F.col("ka") == "null", F.when(F.col("known"), F.col("missing").cast("double")).otherwise(0.0))
+            .when((F.col("ka") == "scalar") & (F.col("kb") == "scalar"), _leaf(F.col("ta"), F.col("tb")))
             .otherwise(0.0)
         )
-        keyed = F.col("known") | ~b_missing
+        keyed = F.col("known") | ~F.col("missing")
         settled.append(here.select("doc_id", "path", score.alias("score"), keyed.alias("keyed")))
         # Two objects are a key too, of no weight of their own.
         settled.append(level.where(both).select("doc_id", "path", F.lit(0.0).alias("score"), F.lit(True).alias("keyed")))
@@ -122,7 +121,8 @@ def _leaves(here: DataFrame) -> DataFrame:
     while not deep.isEmpty():
         inner = F.when(F.col("k") == "object", F.map_values(F.try_variant_get("v", "$", MAP))).otherwise(F.try_variant_get("v", "$", LIST))
         below = deep.select("doc_id", "path", "side", F.explode(inner).alias("v"))
-        below = stored(below.withColumn("k", _kind(F.col("v"))), "below")
+        below = below.withColumn("name", F.schema_of_variant("v"))
+        below = stored(below.withColumn("k", _kind(F.col("v"), F.col("name"))).drop("name"), "below")
         parts.append(below.where(F.col("k").isin("scalar", "null")).select("doc_id", "path", "side", F.lit(1).cast("long").alias("n")))
         deep = below.where(F.col("k").isin("object", "list"))
     sums = _all(parts).groupBy("doc_id", "path", "side").agg(F.sum("n").alias("n"))
