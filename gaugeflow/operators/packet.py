@@ -6,10 +6,15 @@ packet's columns; a packet is one document scan, so its groups are small.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window
 
+from ..functions.ranks import agreement
+
 MISSING = "Missing"
 KEYS = ("packet_id",)
 
@@ -129,22 +134,30 @@ def clustering(pages: DataFrame, weight: float = 0.5, keys: tuple[str, ...] = KE
     return out.select(*keys, "v_measure", "rand_index", (F.lit(weight) * F.col("v_measure") + F.lit(1 - weight) * F.col("rand_index")).alias("clustering_score"))
 
 
+@F.arrow_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in ("s", "tx", "ty")]))
+def _agreement(points: pa.Array) -> pa.Array:
+    """Sums over the pairs of each list of points (x, y); null where a point lacks a coordinate."""
+    offsets, held = points.offsets.to_numpy().astype(np.int64), points.values
+    x, y = (held.field(k).to_numpy(zero_copy_only=False) for k in range(2))
+    absent = np.concatenate([[0], np.cumsum(np.isnan(x) | np.isnan(y))])
+    whole = (absent[offsets[1:]] == absent[offsets[:-1]])
+    inside = slice(offsets[0], offsets[-1])
+    sums = agreement(offsets - offsets[0], np.nan_to_num(x[inside]), np.nan_to_num(y[inside]))
+    return pa.StructArray.from_arrays([pa.array(v, pa.float64(), mask=~whole) for v in sums], names=["s", "tx", "ty"])
+
+
 def ordering(pages: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """Kendall's tau-b of page numbers in each true group; 1 for a single page, 0 where it is undefined."""
-    listed = pages.groupBy(*keys, "group_id").agg(F.array_sort(F.collect_list(F.struct(F.col("page_number").alias("x"), F.col("page_number_predicted").alias("y")))).alias("l"))
-    size = F.size("l")
-    zero = F.struct(*[F.lit(0).cast("long").alias(c) for c in ("s", "tx", "ty")])
-
-    def added(acc, p, q):
-        """One pair of pages into the three sums: agreement of order, ties of truth, ties of prediction."""
-        dx, dy = F.signum((p["x"] - q["x"]).cast("double")), F.signum((p["y"] - q["y"]).cast("double"))
-        return F.struct((acc["s"] + (dx * dy).cast("long")).alias("s"), (acc["tx"] + (dx == 0).cast("long")).alias("tx"), (acc["ty"] + (dy == 0).cast("long")).alias("ty"))
-
-    # Every page meets every other, in one pass that copies nothing; each pair is met twice, and each page meets itself.
-    sums = F.aggregate("l", zero, lambda acc, p: F.aggregate("l", acc, lambda inner, q: added(inner, p, q)))
-    tau = listed.withColumns({"sums": sums, "n0": (size * (size - 1) / 2).cast("double")}).withColumns({"s": F.col("sums.s") / 2, "tx": (F.col("sums.tx") - size) / 2, "ty": (F.col("sums.ty") - size) / 2})
-    value = F.try_divide(F.col("s").cast("double"), F.sqrt((F.col("n0") - F.col("tx")) * (F.col("n0") - F.col("ty"))))
-    return tau.select(*keys, "group_id", F.when(size <= 1, 1.0).otherwise(F.coalesce(F.nanvl(value, F.lit(0.0)), F.lit(0.0))).alias("kendall_tau"))
+    """Kendall's tau-b of page numbers in each true group; 1 for a single page, 0 where it is undefined or a number is missing.
+
+    Disagreeing pairs are counted as inversions, in O(n log^2 n) for a group
+    of n pages.
+    """
+    point = F.struct(F.col("page_number").cast("double").alias("x"), F.col("page_number_predicted").cast("double").alias("y"))
+    listed = pages.groupBy(*keys, "group_id").agg(F.collect_list(point).alias("l"))
+    tau = listed.withColumn("n", F.size("l").cast("double")).withColumn("sums", _agreement("l"))
+    n0 = F.col("n") * (F.col("n") - 1) / 2
+    value = F.try_divide(F.col("sums.s"), F.sqrt((n0 - F.col("sums.tx")) * (n0 - F.col("sums.ty"))))
+    return tau.select(*keys, "group_id", F.when(F.col("n") <= 1, 1.0).otherwise(F.coalesce(F.nanvl(value, F.lit(0.0)), F.lit(0.0))).alias("kendall_tau"))
 
 
 def evaluate_packets(pages: DataFrame, keys: tuple[str, ...] = KEYS, strict: bool = True, weight: float = 0.5, alpha: float = 0.5, beta: float = 0.5, row_id: str = "row_id") -> DataFrame:
