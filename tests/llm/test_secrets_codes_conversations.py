@@ -51,7 +51,8 @@ def test_secrets_as_plain_search(spark, secret_texts):
     df = spark.createDataFrame(rows, "doc_id long, text string, rules string, k int").repartition(3)
     found = sorted(((r.doc_id, [(s.start, s.rule, s.end) for s in r.spans]) for r in scan_secrets(df).collect()), key=repr)
     assert found == sorted(((k, spans_of(t)) for k, t, *_ in rows), key=repr)
-    assert sum(len(s) for _, s in found) > 20_000
+    # About two fifths of the long text are secrets.
+    assert sum(len(s) for _, s in found) > 7_500
 
 
 def test_secrets_without_rows_or_index(spark):
