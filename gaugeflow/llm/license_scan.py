@@ -129,10 +129,11 @@ def scan_licenses(docs: DataFrame, base=BASE, further=FURTHER) -> DataFrame:
     second, third = F.get(w, at + 1), F.get(w, at + 2)
     triple, pair = F.when(third.isNotNull(), F.xxhash64("word", second, third)), F.when(second.isNotNull(), F.xxhash64("word", second))
     keys = F.when(F.coalesce(at, F.lit(0)) == 0, F.array(mark, triple, pair)).when(F.col("word").isin(pair_heads), F.array(triple, pair)).otherwise(F.array(triple))
-    rolled = placed.select("doc_id", "th", "w", "at", "word", F.explode(keys).alias("h")).where("h is not null")
-    same = (F.col("word") == F.col("wa")) & (second == F.col("wb")) & (F.col("wc").isNull() | (third == F.col("wc")))
+    # A row takes its own three words along, not the document's, so that it stays short where templates are too many to broadcast.
+    rolled = placed.select("doc_id", "th", F.size("w").alias("n_words"), "at", "word", second.alias("second"), third.alias("third"), F.explode(keys).alias("h")).where("h is not null")
+    same = (F.col("word") == F.col("wa")) & (F.col("second") == F.col("wb")) & (F.col("wc").isNull() | (F.col("third") == F.col("wc")))
     hits = rolled.join(templates, "h").where((F.col("template") < 0) | same)
-    hits = hits.select("doc_id", "th", F.size("w").alias("n_words"), "template", "words", "grams", "width", F.when(F.col("template") < 0, F.lit(0)).otherwise(at - F.col("tpos")).alias("diagonal"), "tpos")
+    hits = hits.select("doc_id", "th", "n_words", "template", "words", "grams", "width", F.when(F.col("template") < 0, F.lit(0)).otherwise(at - F.col("tpos")).alias("diagonal"), "tpos")
 
     own = ["doc_id", "th", "template"]
     votes = hits.repartition("doc_id", "th").groupBy(*own, "n_words", "words", "grams", "width", "diagonal").agg(F.collect_set("tpos").alias("places"), F.count("*").alias("copies"))
