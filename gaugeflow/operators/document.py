@@ -93,7 +93,7 @@ class Evaluator:
             return self.list_counts(f, a, b, 0.0)[1]
         if f.kind == "struct" and isinstance(a, dict) and isinstance(b, dict):
             return self.applied(f.model, a, b)
-        return f.comparator.compare(a, b)
+        return keyed_score(f, a, b) if f.is_map and isinstance(a, dict) and isinstance(b, dict) else f.comparator.compare(a, b)
 
     def applied(self, model: ModelSpec, gt: dict, pred: dict) -> float:
         """Score with thresholds and clipping in force."""
@@ -136,11 +136,13 @@ class Evaluator:
             if no_b:
                 return self._settled(f, counts(fn=len(a) if isinstance(a, list) else 1), 0.0)
         else:
-            no_a, no_b = a is None or a == "", b is None or b == ""
+            no_a, no_b = a is None or a == "" or (f.is_map and a == {}), b is None or b == "" or (f.is_map and b == {})
             if no_a and no_b:
                 return self._settled(f, counts(tn=1), 1.0)
             if no_a or no_b:
                 return self._settled(f, counts(fa=1) if no_a else counts(fn=1), 0.0)
+        if f.is_map and isinstance(a, dict) and isinstance(b, dict):
+            return self._judged(f, keyed_score(f, a, b))
         if isinstance(a, (str, int, float)) and isinstance(b, (str, int, float)):
             return self._judged(f, f.comparator.compare(a, b))
         if isinstance(a, list) and isinstance(b, list):
@@ -200,6 +202,8 @@ class Evaluator:
             return counts(tn=1) if no_a and no_b else counts(fa=1) if no_a else counts(fn=1)
         if f.model and isinstance(a, dict) and isinstance(b, dict):
             alike = self.applied(f.model, a, b)
+        elif f.is_map and isinstance(a, dict) and isinstance(b, dict):
+            alike = keyed_score(f, a, b)
         else:
             alike = f.comparator.compare(a, b)
         return counts(tp=1) if alike >= f.threshold else counts(fd=1)
@@ -237,6 +241,17 @@ class Evaluator:
         return total
 
 
+def keyed_score(f: FieldSpec, a: dict[str, Any], b: dict[str, Any]) -> float:
+    """Mean score of the keys of two dictionaries, but those that only the prediction has, without a value."""
+    missing = lambda v: v is None or v == ""
+    names = [*a, *(k for k, v in b.items() if k not in a and not missing(v))]
+    scores = []
+    for k in names:
+        x, y = a.get(k), b.get(k)
+        scores.append(float(missing(x) and missing(y)) if missing(x) or missing(y) else f.comparator.compare(x, y))
+    return sum(scores) / len(scores) if scores else 1.0
+
+
 def _blank(value: Any) -> bool:
     return value is None or (isinstance(value, str) and not value.strip()) or (isinstance(value, (list, dict)) and not value)
 

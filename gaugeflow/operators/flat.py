@@ -7,6 +7,8 @@ explode of those structs. No Python runs on the executors.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,6 +60,24 @@ def similarity(f: FieldSpec, x: Column, y: Column) -> Column:
     return F.coalesce((x == y).cast("double"), F.lit(0.0))
 
 
+def keyed(f: FieldSpec, a: Column, b: Column) -> Column:
+    """The keys that a dictionary field's two sides have together, with prepared values: key, x, y, no_x, no_y.
+
+    A key that only the prediction has, without a value, is left out.
+    """
+    one = replace(f, kind=f.kind[4:])
+    x, y = (F.coalesce(v, F.map_from_entries(F.array().cast(f"array<struct<key: string, value: {f.spark_type().valueType.simpleString()}>>"))) for v in (a, b))
+    met = F.map_zip_with(x, y, lambda k, v, w: F.struct(v.alias("a"), w.alias("b"), F.map_contains_key(x, k).alias("known")))
+    counted = F.filter(F.map_entries(met), lambda e: e["value"]["known"] | ~C.is_empty_value(e["value"]["b"]))
+    value = lambda e, s: e["value"][s]
+    return F.transform(counted, lambda e: F.struct(e["key"].alias("key"), prepared(one, value(e, "a")).alias("x"), prepared(one, value(e, "b")).alias("y"), C.is_empty_value(value(e, "a")).alias("no_x"), C.is_empty_value(value(e, "b")).alias("no_y")))
+
+
+def key_score(f: FieldSpec, e: Column) -> Column:
+    """Score of a key of ``keyed``: 1 without a value on both sides, 0 without one on a side."""
+    return F.when(e["no_x"] & e["no_y"], 1.0).when(e["no_x"] | e["no_y"], 0.0).otherwise(similarity(f, e["x"], e["y"]))
+
+
 def closed_form(f: FieldSpec) -> bool:
     """Whether the optimal matching of a list field is a count of equal elements."""
     return f.kind.startswith("list:") and isinstance(f.comparator, S.Exact) and 0 < f.threshold <= 1
@@ -107,6 +127,10 @@ class Compiled:
 
     def _scalar(self, f: FieldSpec, a: Column, b: Column, path: str) -> Column:
         """Raw score of a leaf, from prepared values."""
+        if f.is_map:
+            met = self._put(0, f"{path}~keys", keyed(f, a, b))
+            scores = F.transform(met, lambda e: key_score(f, e))
+            return self._put(1, f"{path}~s", F.when(F.size(met) == 0, 1.0).otherwise(F.aggregate(scores, F.lit(0.0), lambda s, v: s + v) / F.size(met)))
         x, y = (self._put(0, f"{path}~{k}", prepared(f, v)) for k, v in (("a", a), ("b", b)))
         return self._put(1, f"{path}~s", similarity(f, x, y))
 
@@ -122,7 +146,8 @@ class Compiled:
             no_a, no_b, bare = a.isNull(), b.isNull(), inner
         else:
             step, raw = 1, self._scalar(f, a, b, path)
-            no_a, no_b, bare = C.is_empty_value(a), C.is_empty_value(b), raw
+            missing = C.is_empty_list if f.is_map else C.is_empty_value
+            no_a, no_b, bare = missing(a), missing(b), raw
         kind = self._put(step + 1, f"{path}~kind", F.when(no_a & no_b, "tn").when(no_a, "fa").when(no_b, "fn").when(raw >= F.lit(float(f.threshold)), "tp").otherwise("fd"))
         bare = self._put(step + 1, f"{path}~bare", C._nulls(a, b, bare))
         score = F.when(kind == "tn", 1.0).when(kind.isin("fa", "fn"), 0.0).otherwise(raw)
@@ -227,6 +252,45 @@ def compare_flat(pairs: DataFrame, model: ModelSpec, gt: str = "gt", pred: str =
     return rows.select(*keys, F.explode(F.array_prepend("~rows", own)).alias("r")).select(*keys, *[f"r.{c}" for c in ROW])
 
 
+def map_fields(model: ModelSpec, prefix: tuple[str, ...] = ()) -> list[tuple[tuple[str, ...], FieldSpec]]:
+    """The dictionary fields of a record, also within its nested structs: (names from the top, field)."""
+    out = []
+    for f in model.fields:
+        if f.is_map:
+            out.append(((*prefix, f.name), f))
+        elif f.kind == "struct":
+            out += map_fields(f.model, (*prefix, f.name))
+    return out
+
+
+def compare_keys(pairs: DataFrame, model: ModelSpec, gt: str = "gt", pred: str = "pred", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """One row for each key of either side of every dictionary field: keys, path, key, outcome, score, six counts.
+
+    ``pairs`` has the sides as structs. A null or empty dictionary has no keys.
+    A key without a value (null or empty text) on one side is a false alarm or
+    false negative, on both a true negative; one that only the prediction has,
+    without a value, has no row. Else the field's threshold decides. Sums by
+    path and key need no more than ``metrics.bulk``, as ``path`` holds the key
+    too, behind a dot. Dictionaries in list elements are not gone into.
+    """
+    parts = []
+    for names, f in map_fields(model):
+        a, b = F.col(gt), F.col(pred)
+        for n in names:
+            a, b = a.getField(n), b.getField(n)
+        own = pairs.select(*keys, F.explode(keyed(f, a, b)).alias("e")).withColumn("score", key_score(f, F.col("e")))
+        none_a, none_b = F.col("e.no_x"), F.col("e.no_y")
+        kind = F.when(none_a & none_b, "tn").when(none_a, "fa").when(none_b, "fn").when(F.col("score") >= F.lit(float(f.threshold)), "tp").otherwise("fd")
+        parts.append(own.select(*keys, F.concat(F.lit(".".join(names) + "."), F.col("e.key")).alias("path"), F.col("e.key").alias("key"), kind.alias("outcome"), "score"))
+    if not parts:
+        raise ValueError(f"{model.name}: no dictionary field")
+    rows = parts[0]
+    for more in parts[1:]:
+        rows = rows.unionByName(more)
+    own = {c: (F.col("outcome") == c).cast("long") for c in COUNTS} | {"fp": F.col("outcome").isin("fa", "fd").cast("long")}
+    return rows.select("*", *[own[c].alias(c) for c in COUNTS])
+
+
 def supports(model: ModelSpec) -> bool:
     """Whether records of a model have a native form."""
     for f in model.fields:
@@ -236,7 +300,7 @@ def supports(model: ModelSpec) -> bool:
         elif f.kind.startswith("list:"):
             if not closed_form(f):
                 return False
-        elif f.is_list or not isinstance(f.comparator, (S.Exact, S.Levenshtein, S.Numeric, S.Fuzzy)):
+        elif f.is_list or not isinstance(f.comparator, (S.Exact, S.Levenshtein, S.Numeric, S.Fuzzy)) or (f.is_map and isinstance(f.comparator, S.Fuzzy)):
             return False
     return True
 

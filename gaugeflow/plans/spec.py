@@ -34,7 +34,7 @@ SCHEMA_TYPES = {"string": "str", "number": "float", "integer": "int", "boolean":
 
 @dataclass
 class FieldSpec:
-    """One field. ``kind``: a scalar name, ``list:<scalar>``, ``struct`` or ``list``; the last two have a model."""
+    """One field. ``kind``: a scalar name, ``list:<scalar>``, ``map:<scalar>`` (a dictionary with text keys), ``struct`` or ``list``; the last two have a model."""
 
     name: str
     kind: str = "str"
@@ -64,6 +64,10 @@ class FieldSpec:
     def is_list(self) -> bool:
         return self.kind == "list" or self.kind.startswith("list:")
 
+    @property
+    def is_map(self) -> bool:
+        return self.kind.startswith("map:")
+
     def spark_type(self) -> T.DataType:
         if self.kind == "struct":
             return self.model.schema()
@@ -71,6 +75,8 @@ class FieldSpec:
             return T.ArrayType(self.model.schema())
         if self.kind.startswith("list:"):
             return T.ArrayType(SCALARS[self.kind[5:]])
+        if self.is_map:
+            return T.MapType(T.StringType(), SCALARS[self.kind[4:]])
         return SCALARS[self.kind]
 
 
@@ -135,6 +141,10 @@ def coerce(f: FieldSpec, value: Any) -> Any:
         if not isinstance(value, list):
             raise ValueError(f"{f.name}: a list is needed")
         return [None if x is None else _scalar(f.name, kind, x) for x in value]
+    if f.is_map:
+        if not isinstance(value, dict):
+            raise ValueError(f"{f.name}: an object is needed")
+        return {k: None if x is None else _scalar(f"{f.name}.{k}", f.kind[4:], x) for k, x in value.items()}
     return _scalar(f.name, kind, value)
 
 
@@ -194,6 +204,10 @@ def resolve_type(text: str) -> tuple[str, bool]:
     if outer == "list":
         kind, _ = resolve_type(inner)
         return ("list:" + kind if kind in SCALARS else "list:Any"), False
+    if outer == "dict":
+        key, *rest = split_arguments(inner)
+        value = resolve_type(rest[0])[0] if len(rest) == 1 else None
+        return (f"map:{value}" if key == "str" and value in SCALARS else "Any"), False
     return "Any", False
 
 
@@ -256,7 +270,7 @@ def to_config(model: ModelSpec) -> dict[str, Any]:
         elif f.kind == "list":
             own |= {"type": "list_structured_model", **to_config(f.model)}
         else:
-            own |= {"type": f"List[{f.kind[5:]}]" if f.is_list else f.kind, "comparator": f.comparator.name, "threshold": f.threshold}
+            own |= {"type": f"List[{f.kind[5:]}]" if f.is_list else f"Dict[str, {f.kind[4:]}]" if f.is_map else f.kind, "comparator": f.comparator.name, "threshold": f.threshold}
             if f.comparator.config():
                 own["comparator_config"] = f.comparator.config()
         own |= {k: v for k, v in (("default", f.default), ("alias", f.alias), ("description", f.description), ("examples", f.examples)) if v is not None}
@@ -335,6 +349,10 @@ def _from_property(name: str, own: dict[str, Any], required: bool, shared: dict[
         kind = kinds[0] if len(kinds) == 1 else None
     if kind in SCHEMA_TYPES:
         return FieldSpec(**common, kind=SCHEMA_TYPES[kind], threshold=threshold, comparator=_extension_comparator(kind, ext))
+    more = own.get("additionalProperties")
+    if kind == "object" and not own.get("properties") and isinstance(more, dict) and _resolved(more, shared).get("type") in SCHEMA_TYPES:
+        value = _resolved(more, shared)["type"]
+        return FieldSpec(**common, kind="map:" + SCHEMA_TYPES[value], threshold=threshold, comparator=_extension_comparator(value, ext))
     if kind == "object":
         return FieldSpec(**common, kind="struct", threshold=0.7, model=_from_object(own, own.get("title", f"{name.title()}Model"), shared, vendor))
     if kind == "array":
@@ -353,9 +371,14 @@ def _extension_comparator(kind: str, ext: dict[str, Any]) -> Comparator:
     return {"string": Levenshtein, "boolean": Exact}.get(kind, Numeric)()
 
 
+def _plain_schema(f: FieldSpec) -> dict[str, Any]:
+    """The JSON Schema of a scalar field, a list of scalars or a dictionary."""
+    one = {"type": {v: k for k, v in SCHEMA_TYPES.items()}.get(f.kind.removeprefix("list:").removeprefix("map:"), "string")}
+    return {"type": "array", "items": one} if f.is_list else {"type": "object", "additionalProperties": one} if f.is_map else one
+
+
 def to_json_schema(model: ModelSpec) -> dict[str, Any]:
     """The JSON Schema, with extension keys, that makes an equal specification."""
-    back = {v: k for k, v in SCHEMA_TYPES.items()}
     properties = {}
     for f in model.fields:
         ext = {"weight": f.weight, "clip-under-threshold": f.clip}
@@ -364,8 +387,7 @@ def to_json_schema(model: ModelSpec) -> dict[str, Any]:
         elif f.kind == "list":
             own = {"type": "array", "items": to_json_schema(f.model)}
         else:
-            kind = back.get(f.kind.removeprefix("list:"), "string")
-            own = {"type": "array", "items": {"type": kind}} if f.is_list else {"type": kind}
+            own = _plain_schema(f)
             ext |= {"comparator": f.comparator.name, "threshold": f.threshold}
             if f.comparator.config():
                 ext["comparator-config"] = f.comparator.config()
@@ -377,7 +399,6 @@ def to_json_schema(model: ModelSpec) -> dict[str, Any]:
 
 def comparison_schema(model: ModelSpec) -> dict[str, Any]:
     """The plain JSON Schema of a model's records, each property with how it is compared under ``x-comparison``."""
-    back = {v: k for k, v in SCHEMA_TYPES.items()}
     properties = {}
     for f in model.fields:
         if f.kind == "struct":
@@ -385,8 +406,7 @@ def comparison_schema(model: ModelSpec) -> dict[str, Any]:
         elif f.kind == "list":
             own = {"type": "array", "items": comparison_schema(f.model)}
         else:
-            kind = {"type": back.get(f.kind.removeprefix("list:"), "string")}
-            own = {"type": "array", "items": kind} if f.is_list else kind
+            own = _plain_schema(f)
         own |= {k: v for k, v in (("default", f.default), ("description", f.description), ("examples", f.examples)) if v is not None}
         named = "StructuredModelComparator" if f.model else f.comparator.name
         own["x-comparison"] = {"comparator_type": named, "comparator_name": named, "comparator_config": {} if f.model else f.comparator.config(), "threshold": f.threshold, "weight": f.weight, "clip_under_threshold": f.clip, "aggregate": f.aggregate}
