@@ -40,7 +40,7 @@ def query(sql: str | None = None):
 
 def _all() -> None:
     """The further modules register their queries when they are imported."""
-    from . import matching_queries, surface_queries  # noqa: F401
+    from . import matching_queries, record_queries, surface_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
