@@ -7,6 +7,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -16,7 +17,8 @@ from pyspark.sql import functions as F
 
 from ..plans.spec import ModelSpec
 from ..sources import records
-from . import flat, metrics, nested
+from ..sources.stored import shared_folder
+from . import evaluation, flat, metrics, nested
 from .flatten import evaluator_rows
 from .document import COUNTS, Evaluator, as_text, comparisons, long_rows, non_matches
 
@@ -110,11 +112,18 @@ def compare_with(pairs: DataFrame, model: ModelSpec, non_matches: bool = False,
     else by the document evaluator, with the roll-up of counts under
     ``aggregate``; ``scores``: overall_score of each document. On request:
     ``non_matches``, ``comparisons``, ``evaluator`` and, by default,
-    ``metrics`` (corpus counts of every path with derived metrics). The
+    ``metrics`` (corpus counts of every path with derived metrics). With
+    non-matches or comparisons the pairs are evaluated at once, in one job
+    whose result is kept in the shared folder and gives all relations
+    (``evaluation``). The
     column ``extras`` counts undeclared keys where the sides are structs,
     which have no others.
     """
-    rows = _native_rows(pairs, model, extras) if is_native(pairs, model) else compare_documents(pairs, model)
+    if non_matches or comparisons:
+        whole = evaluation.evaluate(pairs, model, f"{shared_folder(pairs.sparkSession)}/evaluation-{uuid.uuid4().hex}", extras)
+        rows = whole.fields()
+    else:
+        rows = _native_rows(pairs, model, extras) if is_native(pairs, model) else compare_documents(pairs, model)
     sound = rows.where("error is null")
     out = {"fields": rows, "scores": sound.where("path = ''").select("doc_id", F.col("applied").alias("overall_score")), "aggregate": metrics.roll_up(sound, ("doc_id",))}
     if derived:
@@ -122,9 +131,9 @@ def compare_with(pairs: DataFrame, model: ModelSpec, non_matches: bool = False,
     if evaluator_format:
         out["evaluator"] = evaluator_rows(sound, recall_with_fd)
     if non_matches:
-        out["non_matches"] = document_non_matches(pairs, model)
+        out["non_matches"] = whole.non_matches()
     if comparisons:
-        out["comparisons"] = document_comparisons(pairs, model)
+        out["comparisons"] = whole.comparisons()
     return out
 
 

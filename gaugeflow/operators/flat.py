@@ -247,9 +247,24 @@ def compare_flat(pairs: DataFrame, model: ModelSpec, gt: str = "gt", pred: str =
     wide = built.on(wide)
     if not documents:
         return wide.select(*keys, F.explode(built.outcomes()).alias("r")).select(*keys, _finished(F.col("r")).alias("r")).select(*keys, *[f"r.{c}" for c in ROW])
-    rows = wide.select(*keys, *(["`~extras`"] if extras else []), F.transform(built.outcomes(), _finished).alias("~rows"))
+    rows = _with_own(wide, built, keys, [])
+    return rows.select(*keys, F.explode("~rows").alias("r")).select(*keys, *[f"r.{c}" for c in ROW])
+
+
+def _with_own(wide: DataFrame, built: Compiled, keys: tuple[str, ...], also: list[str]) -> DataFrame:
+    """keys, ``also`` and ``~rows``: the finished rows of each pair, its own first."""
+    extras = ["`~extras`"] if "~extras" in wide.columns else []
+    rows = wide.select(*keys, *also, *extras, F.transform(built.outcomes(), _finished).alias("~rows"))
     own = _whole(F.col("~rows"), F.coalesce(F.col("~extras"), F.lit(0)) if extras else F.lit(0))
-    return rows.select(*keys, F.explode(F.array_prepend("~rows", own)).alias("r")).select(*keys, *[f"r.{c}" for c in ROW])
+    return rows.select(*keys, *also, F.array_prepend("~rows", own).alias("~rows"))
+
+
+def compare_documents_wide(pairs: DataFrame, model: ModelSpec, gt: str, pred: str, extras: str | None = None, also: dict[str, Column] | None = None) -> DataFrame:
+    """One row for each pair: doc_id, the columns ``also``, and ``~rows``, an array of the rows of ``compare_flat``, the document's own first."""
+    built = Compiled(model, gt, pred)
+    more = also or {}
+    wide = pairs.select("doc_id", gt, pred, *[c.alias(n) for n, c in more.items()], *([F.col(extras).alias("~extras")] if extras else []))
+    return _with_own(built.on(wide), built, ("doc_id",), [f"`{n}`" for n in more])
 
 
 def map_fields(model: ModelSpec, prefix: tuple[str, ...] = ()) -> list[tuple[tuple[str, ...], FieldSpec]]:
