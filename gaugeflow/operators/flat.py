@@ -94,7 +94,9 @@ class Compiled:
     column ``<path>~pairs``, where ``operators.nested`` puts them.
     """
 
-    def __init__(self, model: ModelSpec, gt: str, pred: str, prefix: str = "", depth: int = 1):
+    def __init__(self, model: ModelSpec, gt: str, pred: str, prefix: str = "", depth: int = 1, given: dict[str, str] | None = None):
+        # Columns that hold scores of scalar fields already, by path.
+        self.given = given or {}
         self.steps: list[dict[str, Column]] = [{}, {}]
         self.rows: list[Column] = []
         self.missing: list[tuple[str, str]] = []
@@ -127,6 +129,8 @@ class Compiled:
 
     def _scalar(self, f: FieldSpec, a: Column, b: Column, path: str) -> Column:
         """Raw score of a leaf, from prepared values."""
+        if path in self.given:
+            return self._put(1, f"{path}~s", F.coalesce(F.col(f"`{self.given[path]}`"), F.lit(0.0)))
         if f.is_map:
             met = self._put(0, f"{path}~keys", keyed(f, a, b))
             scores = F.transform(met, lambda e: key_score(f, e))
@@ -232,7 +236,7 @@ def _whole(rows: Column, extras: Column) -> Column:
     return F.struct(F.lit("").alias("path"), F.lit(0).alias("depth"), F.lit(False).alias("is_leaf"), *[sums[c].alias(c) for c in COUNTS], score.alias("raw"), score.alias("applied"), none.alias("weight"), none.alias("threshold"), F.lit(None).cast("string").alias("outcome"))
 
 
-def compare_flat(pairs: DataFrame, model: ModelSpec, gt: str = "gt", pred: str = "pred", keys: tuple[str, ...] = ("doc_id",), documents: bool = False, extras: str | None = None) -> DataFrame:
+def compare_flat(pairs: DataFrame, model: ModelSpec, gt: str = "gt", pred: str = "pred", keys: tuple[str, ...] = ("doc_id",), documents: bool = False, extras: str | None = None, given: dict[str, str] | None = None) -> DataFrame:
     """Long relation of native outcomes: keys, path, depth, is_leaf, six counts, raw, applied, weight, threshold, outcome.
 
     ``gt`` and ``pred`` are structs with the model's fields. A nested struct
@@ -240,10 +244,11 @@ def compare_flat(pairs: DataFrame, model: ModelSpec, gt: str = "gt", pred: str =
     leaf. With ``documents`` each pair has a row of its own, with the empty
     path; the column ``extras`` then holds the number of undeclared keys of
     its prediction (``sources.records.parse`` counts them), which are false
-    alarms of the document.
+    alarms of the document. ``given`` names columns with scores of scalar
+    fields by path, which are taken instead of the comparator's; null is 0.
     """
-    built = Compiled(model, gt, pred)
-    wide = pairs.select(*keys, gt, pred, *([F.col(extras).alias("~extras")] if extras else []))
+    built = Compiled(model, gt, pred, given=given)
+    wide = pairs.select(*keys, gt, pred, *[f"`{c}`" for c in (given or {}).values()], *([F.col(extras).alias("~extras")] if extras else []))
     wide = built.on(wide)
     if not documents:
         return wide.select(*keys, F.explode(built.outcomes()).alias("r")).select(*keys, _finished(F.col("r")).alias("r")).select(*keys, *[f"r.{c}" for c in ROW])

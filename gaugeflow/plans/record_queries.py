@@ -1,4 +1,4 @@
-"""Registered queries of dictionaries, of JSON Schemas, and of documents that come again in a stream."""
+"""Registered queries of dictionaries, JSON Schemas, one-pass results, model comparators, and of documents that come again in a stream."""
 
 from __future__ import annotations
 
@@ -7,10 +7,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import json_rules
-from ..functions.scalars import Exact, Numeric
-from ..operators import flat, metrics
+from ..functions.scalars import Exact, Numeric, Scored
+from ..operators import evaluation, flat, memo, metrics
 from ..sources.stored import shared_folder
-from .catalogue import SUMS, query, r6, table
+from .catalogue import GUESS, LONG, ORDER, SUMS, _order_pairs, query, r6, table
 from .spec import FieldSpec, ModelSpec
 
 # ---------------------------------------------------------------- dictionaries
@@ -119,3 +119,36 @@ def schema_violations(spark, d):
         F.when(F.col("event_id") % 6 == 0, "odd").alias("note"),
     ))
     return json_rules.check(e.select("event_id", text.alias("t")), "t", EVENT_SCHEMA, ("event_id",))
+
+
+# ---------------------------------------------------------------- one evaluation
+
+@query(f"WITH {LONG} SELECT CAST(doc_id AS VARCHAR) AS doc_id, path AS field_path, CASE kind WHEN 'fa' THEN 'false_alarm' WHEN 'fn' THEN 'false_negative' ELSE 'false_discovery' END AS type, CASE WHEN kind = 'fd' THEN round(raw, 6) END AS similarity, (SELECT count(*) FROM orders) AS documents, (SELECT CAST(sum(tp) AS BIGINT) FROM l) AS all_tp FROM l WHERE kind IN ('fa', 'fn', 'fd')")
+def one_pass_results(spark, d):
+    """Non-matches out of the one written evaluation of the orders, with the counts observed while it was written."""
+    pairs = _order_pairs(spark, d).select("doc_id", F.col("gt").alias("expected"), F.col("pred").alias("predicted"))
+    found = evaluation.evaluate(pairs, ORDER, f"{shared_folder(spark)}/evaluation-{uuid.uuid4().hex}")
+    rows = r6(found.non_matches().select("doc_id", "field_path", "type", "similarity"))
+    return rows.withColumns({"documents": F.lit(found.counted["documents"]), "all_tp": F.lit(found.counted["tp"])})
+
+
+# ---------------------------------------------------------------- comparators that ask a model
+
+def length_share(a: str, b: str) -> float:
+    """Stands for a model: the shorter length as a share of the longer."""
+    return min(len(a), len(b)) / max(len(a), len(b))
+
+
+ASKED = ModelSpec("Asked", [FieldSpec("priority", "str", Scored(function=length_share), 0.9, optional=True), FieldSpec("status", "str", Exact(), 1.0)])
+BARE = "regexp_replace({x}, '[[:punct:][:space:]]', '', 'g')"
+PRIORITY_SCORE = "CASE WHEN a IS NULL OR a = '' OR b IS NULL OR b = '' THEN CASE WHEN (a IS NULL OR a = '') AND (b IS NULL OR b = '') THEN 1.0 ELSE 0.0 END WHEN a = b THEN 1.0 ELSE least(length({x}), length({y})) / greatest(length({x}), length({y}))::DOUBLE END".format(x=BARE.format(x="a"), y=BARE.format(x="b"))
+
+
+@query(f"WITH s AS (SELECT o_orderkey, {PRIORITY_SCORE} AS raw FROM (SELECT o_orderkey, o_orderpriority AS a, {GUESS['priority']} AS b FROM orders)) SELECT o_orderkey AS doc_id, round(raw, 6) AS raw, CASE WHEN raw >= 0.9 THEN round(raw, 6) ELSE 0.0 END AS applied FROM s")
+def model_comparator(spark, d):
+    """A field that a model compares: it is asked once about each distinct pair of values, in batches, and remembered."""
+    known = memo.Memo(spark, f"{shared_folder(spark)}/memo-{uuid.uuid4().hex}")
+    o = table(spark, d, "orders")
+    side = lambda v: F.struct(v.alias("priority"), F.col("o_orderstatus").alias("status"))
+    pairs = o.select(F.col("o_orderkey").alias("doc_id"), side(F.col("o_orderpriority")).alias("expected"), side(F.expr(GUESS["priority"])).alias("predicted"))
+    return r6(memo.compare_records(pairs, ASKED, known).where("path = 'priority'").select("doc_id", "raw", "applied"))
