@@ -222,19 +222,28 @@ def suffix_array(tokens: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray
     """(order, rank): suffixes sorted by their first ``depth`` tokens or more, by prefix doubling.
 
     Suffixes with one rank agree on that prefix, so neighbours of one rank in
-    the order have a common prefix of at least ``depth`` tokens.
+    the order have a common prefix of at least ``depth`` tokens. Prefixes are
+    numbered anew only where two numbers don't fit one of 63 bits.
     """
-    _, rank = np.unique(tokens, return_inverse=True)
+    own, rank = np.unique(tokens, return_inverse=True)
     rank = rank.astype(np.int64)
-    n, k = len(tokens), 1
+    n, k, most = len(tokens), 1, len(own)
     while k < depth:
         step = min(k, depth - k)
+        if most * (most + 1) >= 1 << 63:
+            _, rank = np.unique(rank, return_inverse=True)
+            most = int(rank.max()) + 1
         after = np.zeros(n, dtype=np.int64)
         if step < n:
             after[: n - step] = rank[step:] + 1
-        _, rank = np.unique(rank * np.int64(n + 2) + after, return_inverse=True)
+        rank = rank * np.int64(most + 1) + after
+        most *= most + 1
         k += step
-    return np.argsort(rank, kind="stable"), rank
+    order = np.argsort(rank, kind="stable")
+    rank = rank[order]
+    new = np.concatenate([[0], np.cumsum(rank[1:] != rank[:-1])])[:n]
+    rank[order] = new
+    return order, rank
 
 
 def repeated(tokens: np.ndarray, page: np.ndarray, depth: int) -> np.ndarray:

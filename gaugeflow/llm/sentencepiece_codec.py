@@ -60,13 +60,12 @@ class Model:
                 self.text.append(b"")
         if any(" " in p.lstrip(" ") for p in self.score):
             raise ValueError("a piece goes across a space, so texts can't be cut there")
-        #: Pairs of ASCII characters inside some piece; between others no merge ever happens.
-        self.joined = np.ones((256, 256), dtype=bool)
-        self.joined[:128, :128] = False
+        #: Last byte of a character and first byte of the next inside some piece; between others no merge ever happens.
+        self.joined = np.zeros((256, 256), dtype=bool)
+        self.joined[:, 0x80:0xC0] = True  # inside a character
         for piece in self.score:
             for a, b in zip(piece, piece[1:]):
-                if a < "\x80" and b < "\x80":
-                    self.joined[ord(a), ord(b)] = True
+                self.joined[a.encode()[-1], b.encode()[0]] = True
         #: Pieces that merging makes of their own characters; others never come out.
         self.pieces = [p for p in self.score if self.merge(p) == [p]]
         width = max(map(len, self.pieces))
@@ -77,8 +76,9 @@ class Model:
         #: A symbol is a piece, or a character by itself; both have numbers.
         self.symbols: list[str] = list(self.pieces)
         self.number = {p: k for k, p in enumerate(self.pieces)}
-        self.pairs = np.empty(0, dtype=np.int64)
-        self.valid = np.empty(0, dtype=bool)
+        #: Pairs of symbols that were asked for, hashed with linear probing: twice the pair, and one more if it may stand.
+        self.pairs = np.full(1 << 16, -1, dtype=np.int64)
+        self.asked = 0
         self.spelled: list[np.ndarray] = []
         self.clear()
 
@@ -108,23 +108,52 @@ class Model:
         inner = np.flatnonzero(before >= 0)
         if not len(inner):
             return out
-        key = before[inner] << 32 | symbol[inner]
-        at = np.searchsorted(self.pairs, key)
-        at[at == len(self.pairs)] = 0
-        known = self.pairs[at] == key if len(self.pairs) else np.zeros(len(key), bool)
-        new = np.unique(key[~known])
-        if len(new):
-            answer = []
+        key = before[inner] << 31 | symbol[inner]
+        answer = self.look_up(key)
+        lost = np.flatnonzero(answer < 0)
+        if len(lost):
+            new = np.unique(key[lost])
+            may = []
             for k in new.tolist():
-                a, b = self.symbols[k >> 32], self.symbols[k & 0xFFFFFFFF]
-                answer.append(self.merge(a + b) == [a, b])
-            pairs = np.concatenate([self.pairs, new])
-            order = np.argsort(pairs, kind="stable")
-            self.pairs, self.valid = pairs[order], np.concatenate([self.valid, answer])[order]
-            at = np.searchsorted(self.pairs, key)
-        out[inner] = self.valid[at]
+                a, b = self.symbols[k >> 31], self.symbols[k & 0x7FFFFFFF]
+                may.append(self.merge(a + b) == [a, b])
+            self.remember(new << 1 | np.array(may))
+            answer[lost] = self.look_up(key[lost])
+        out[inner] = answer & 1
         return out
 
+    def slots(self, key: np.ndarray) -> np.ndarray:
+        """Where the search for each pair begins in ``pairs``."""
+        bits = len(self.pairs).bit_length() - 1
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+
+    def look_up(self, key: np.ndarray) -> np.ndarray:
+        """What ``pairs`` holds for each pair, -1 for one not asked for yet."""
+        at = self.slots(key)
+        out = self.pairs[at]
+        open_ = np.flatnonzero((out >> 1 != key) & (out >= 0))
+        at = at[open_]
+        while len(open_):
+            at = (at + 1) & (len(self.pairs) - 1)
+            held = self.pairs[at]
+            out[open_] = held
+            more = (held >> 1 != key[open_]) & (held >= 0)
+            open_, at = open_[more], at[more]
+        return out
+
+    def remember(self, entries: np.ndarray) -> None:
+        """Put distinct new entries into ``pairs``, which stays at most a quarter full."""
+        self.asked += len(entries)
+        if 4 * self.asked > len(self.pairs):
+            entries = np.concatenate([self.pairs[self.pairs >= 0], entries])
+            self.pairs = np.full(1 << (8 * self.asked).bit_length(), -1, dtype=np.int64)
+        at = self.slots(entries >> 1)
+        while len(entries):
+            free = self.pairs[at] < 0
+            self.pairs[at[free]] = entries[free]
+            more = self.pairs[at] != entries
+            entries, at = entries[more], (at[more] + 1) & (len(self.pairs) - 1)
+
     def single(self, code: int) -> int:
         c = chr(code)
         if c not in self.number:
@@ -134,14 +163,15 @@ class Model:
 
     def expand(self, symbols: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of symbols, byte pieces for characters that are none, and the ids of each run of ``counts`` symbols."""
-        for s in self.symbols[len(self.spelled) :]:
-            self.spelled.append(np.array([self.id[s]] if s in self.id else [self.bytes[b] for b in s.encode()], dtype=np.uint32))
-        size = np.fromiter(map(len, self.spelled), dtype=np.int64, count=len(self.spelled))
-        start = np.cumsum(size) - size
-        flat = np.concatenate(self.spelled)
-        n = size[symbols]
+        if len(self.spelled) < len(self.symbols):
+            for s in self.symbols[len(self.spelled) :]:
+                self.spelled.append(np.array([self.id[s]] if s in self.id else [self.bytes[b] for b in s.encode()], dtype=np.uint32))
+            self.size = np.fromiter(map(len, self.spelled), dtype=np.int64, count=len(self.spelled))
+            self.spelling = np.concatenate(self.spelled)
+        start = np.cumsum(self.size) - self.size
+        n = self.size[symbols]
         past = np.cumsum(n)
-        out = flat[np.repeat(start[symbols] - (past - n), n) + np.arange(past[-1] if len(past) else 0)]
+        out = self.spelling[np.repeat(start[symbols] - (past - n), n) + np.arange(past[-1] if len(past) else 0)]
         edges = np.concatenate([[0], past])[np.concatenate([[0], np.cumsum(counts)])]
         return out, np.diff(edges)
 
@@ -167,14 +197,31 @@ class Model:
 def occurrences(text: np.ndarray, pieces: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(piece, start) of every occurrence of every piece in ``text``: one binary search for each piece.
 
-    The search narrows a range of the suffix array by one character of the
-    piece after another, for all pieces together.
+    The search narrows a range of the suffix array first by as many characters
+    of the piece as a 64-bit number holds, then by one after another, for all
+    pieces together.
     """
-    order, _ = suffix_array(text, int(lengths.max()))
-    n = len(text)
-    low, high = np.zeros(len(pieces), dtype=np.int64), np.full(len(pieces), n, dtype=np.int64)
-    padded = np.concatenate([text, np.full(int(lengths.max()), -1)])
-    for d in range(int(lengths.max())):
+    depth = int(lengths.max())
+    order, _ = suffix_array(text, depth)
+    padded = np.concatenate([text, np.full(depth, -1)])
+    own = np.unique(padded)
+    base = len(own) + 1
+    width = min(depth, int(62 / np.log2(base)))
+    # Numbers of characters begin with 0 for -1; a piece with a character that the text has not is nowhere.
+    number = np.searchsorted(own, padded)
+    at = np.searchsorted(own, pieces[:, :width])
+    at[at == len(own)] = 0
+    here = np.arange(width) < lengths[:, None]
+    known = ((own[at] == pieces[:, :width]) | ~here).all(axis=1)
+    head, least, most = np.zeros(len(text), np.int64), np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+    for d in range(width):
+        head = head * base + number[d : d + len(text)]
+        least = least * base + np.where(here[:, d], at[:, d], 0)
+        most = most * base + np.where(here[:, d], at[:, d], base - 1)
+    head = head[order]
+    low = np.searchsorted(head, least, side="left")
+    high = np.where(known, np.searchsorted(head, most, side="right"), low)
+    for d in range(width, depth):
         live = np.flatnonzero((lengths > d) & (low < high))
         if not len(live):
             break
@@ -201,8 +248,8 @@ def occurrences(text: np.ndarray, pieces: np.ndarray, lengths: np.ndarray) -> tu
 
 def encode_segments(model: Model, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(ids, number of ids of each segment); segments stand between characters that no piece crosses."""
-    codes = np.array([ord(c) for c in "".join(segments)], dtype=np.int64)
-    sizes = np.array([len(s) for s in segments])
+    codes = np.frombuffer("".join(segments).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+    sizes = np.fromiter(map(len, segments), dtype=np.int64, count=len(segments))
     # A mark between segments, which no piece holds, keeps edges inside them.
     text = np.insert(codes, np.cumsum(sizes)[:-1], -1) if len(segments) > 1 else codes
     begin = np.cumsum(sizes + 1) - (sizes + 1)
@@ -217,7 +264,7 @@ def encode_segments(model: Model, segments: list[str]) -> tuple[np.ndarray, np.n
     origin = np.repeat(begin, sizes + 1)[: len(text)]
     end = start + length
     step = end - origin[start]
-    order = np.lexsort((-length, step))
+    order = np.argsort(step * (int(model.lengths.max()) + 1) - length)
     symbol, start, end, step = symbol[order], start[order], end[order], step[order]
     # Positions are between characters; that before a segment's first has no last symbol.
     last = np.full(len(text) + 1, -2, dtype=np.int64)
@@ -271,14 +318,15 @@ def encode_texts(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[n
     if not len(column):
         return np.empty(0, np.uint32), np.zeros(len(offsets), np.int64)
     coded = column.dictionary_encode()
-    distinct = coded.dictionary.to_pylist()
+    distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
     if len(model.encoded) > KNOWN:
         model.clear()
-    new = [s for s in distinct if s not in model.encoded]
-    if new:
-        model.learn(new)
-    known = model.encoded
-    which = np.array([known[s] for s in distinct])[coded.indices.to_numpy(zero_copy_only=False)]
+    which = np.array([model.encoded.get(s, -1) for s in distinct])
+    new = np.flatnonzero(which < 0)
+    if len(new):
+        which[new] = len(model.encoded) + np.arange(len(new))
+        model.learn([distinct[k] for k in new.tolist()])
+    which = which[coded.indices.to_numpy(zero_copy_only=False)]
     start = model.ends[which]
     count = model.ends[which + 1] - start
     past = np.cumsum(count)
@@ -288,8 +336,7 @@ def encode_texts(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[n
 
 def decode_ids(model: Model, found: np.ndarray) -> bytes:
     """UTF-8 bytes that ids stand for; control pieces stand for nothing, and the dummy space goes."""
-    table = model.text
-    text = b"".join([table[i] for i in found.tolist()])
+    text = b"".join(map(model.text.__getitem__, found.tolist()))
     return text[1:] if text[:1] == b" " else text
 
 

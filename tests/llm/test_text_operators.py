@@ -280,6 +280,45 @@ def test_sentencepiece_equals_library(spark, corpus):
     assert same.where("not same").count() == sum("▁" in (t or "") for _, t in rows)
 
 
+def test_sentencepiece_cuts_between_characters_of_any_script():
+    """Words that end with a letter outside ASCII are segments of their own, learned once, and ids stay the library's."""
+    import sentencepiece
+
+    path = queries.tokenizer_file("piece_bpe_32k.model")
+    model, library = sentencepiece_codec.Model(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    raw = [t.encode() for t in ("allé où ça " * 500, "où allé. ça é é " * 500)]
+    border = np.cumsum([0, *map(len, raw)])
+    found, at = sentencepiece_codec.encode_texts(model, np.frombuffer(b"".join(raw), dtype=np.uint8), border)
+    assert len(model.encoded) <= 8 and max(map(len, model.encoded)) <= 6
+    assert [found[a:b].tolist() for a, b in zip(at, at[1:])] == [library.encode(t.decode()) for t in raw]
+    rnd = random.Random(8)
+    for some in ("çñéèêüöäßí ,. ", "漢字你好世界のカタ。、 ", "😀👩\u200dé \x00\x7f\x80▁", [*model.score], sorted({c for p in model.score for c in p})):
+        texts = ["".join(rnd.choice(some) for _ in range(rnd.randint(0, 40))) for _ in range(300)]
+        raw = [t.encode() for t in texts]
+        found, at = sentencepiece_codec.encode_texts(model, np.frombuffer(b"".join(raw), dtype=np.uint8), np.cumsum([0, *map(len, raw)]))
+        assert [found[a:b].tolist() for a, b in zip(at, at[1:])] == library.encode(texts)
+
+
+def test_sentencepiece_occurrences_and_pairs_in_plain_python():
+    rnd = random.Random(9)
+    for size in (2, 5, 300, 50_000):
+        letters = [rnd.randrange(1, 0x10000) for _ in range(size)]
+        text = np.array([rnd.choice([*letters[:4], rnd.choice(letters), -1]) for _ in range(400)])
+        pieces = {tuple(int(c) for c in text[i : i + n]) for i in range(0, 300, 7) for n in (1, 2, 3, 9)} | {(letters[0], 0x20000), (0x20000,)}
+        pieces = sorted(p for p in pieces if -1 not in p)
+        lengths = np.array([len(p) for p in pieces])
+        codes = np.array([[*p, *[0] * (9 - len(p))] for p in pieces])
+        found = sorted(zip(*(x.tolist() for x in sentencepiece_codec.occurrences(text, codes, lengths))))
+        assert found == [(k, i) for k, p in enumerate(pieces) for i in range(400) if tuple(text[i : i + len(p)].tolist()) == p]
+    model = sentencepiece_codec.Model(queries.tokenizer_file("piece_bpe_32k.model"))
+    model.pairs = np.full(4, -1, dtype=np.int64)  # grows from next to nothing, with collisions
+    for _ in range(4):
+        before, symbol = np.array([rnd.randrange(-1, 60) for _ in range(900)]), np.array([rnd.randrange(60) for _ in range(900)])
+        expected = [a < 0 or model.merge(model.symbols[a] + model.symbols[b]) == [model.symbols[a], model.symbols[b]] for a, b in zip(before.tolist(), symbol.tolist())]
+        assert model.follows(before, symbol).tolist() == expected
+    assert (model.pairs >= 0).sum() == model.asked
+
+
 def test_fingerprints_against_sets(spark, corpus):
     rows = [(k, t) for k, t in corpus]
     got = {r.doc_id: r for r in fingerprint.compare_with_edits(frame(spark, rows)).collect()}

@@ -197,6 +197,19 @@ def test_repeated_against_all_substrings():
         assert keys == sorted(keys)
 
 
+def test_suffix_array_of_alphabets_of_any_size():
+    rnd = random.Random(12)
+    for letters in (1, 2, 90, 10_000, 1 << 62):
+        for n in (0, 1, 5, 700):
+            tokens = np.array([rnd.randrange(letters) if rnd.random() < 0.3 else 0 for _ in range(n)], dtype=np.uint64)
+            for depth in (1, 2, 7, 16, 25):
+                keys = [tuple(tokens[i : i + depth].tolist()) for i in range(n)]
+                order, rank = html_text.suffix_array(tokens, depth)
+                assert order.tolist() == sorted(range(n), key=keys.__getitem__)
+                number = {key: k for k, key in enumerate(sorted(set(keys)))}
+                assert rank.tolist() == [number[key] for key in keys]
+
+
 @pytest.mark.parametrize("group", [2000, 4])
 def test_host_boilerplate(spark, group):
     boiler = "Welcome to our great site read more news every single day here"
