@@ -16,3 +16,7 @@ def filters_of_rows(plan):
 
 def test_documents_rows_are_not_made_in_a_filter_of_the_scan(spark):
     assert filters_of_rows(optimized(spark, "compare_documents_native")) == []
+
+
+def test_undeclared_keys_are_not_counted_in_a_filter_of_the_scan(spark):
+    assert filters_of_rows(optimized(spark, "undeclared_keys")) == []
