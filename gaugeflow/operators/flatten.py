@@ -14,9 +14,11 @@ def evaluator_rows(long: DataFrame, recall_with_fd: bool = False) -> DataFrame:
     The document's row is derived from its counts; a field's from its score,
     taken as a soft count.
     """
-    whole = derived(long.where("path = ''"), recall_with_fd).select("doc_id", "path", "precision", "recall", "f1", "accuracy", F.col("applied").alias("anls_score"))
-    fields = long.where("depth = 1").select("doc_id", "path", *score_metrics(F.col("applied")), F.col("applied").alias("anls_score"))
-    return whole.unionByName(fields)
+    rows = derived(long.where("path = '' or depth = 1"), recall_with_fd)
+    whole, soft = F.col("path") == "", score_metrics(F.col("applied"))
+    names = ("precision", "recall", "f1", "accuracy")
+    # One pass: a union of the two kinds would have everything beneath compared twice.
+    return rows.select("doc_id", "path", *[F.when(whole, F.col(n)).otherwise(s).alias(n) for n, s in zip(names, soft)], F.col("applied").alias("anls_score"))
 
 
 def list_item_rows(matched: DataFrame, list_field: str, threshold: float = 0.5) -> DataFrame:

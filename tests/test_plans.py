@@ -20,3 +20,8 @@ def test_documents_rows_are_not_made_in_a_filter_of_the_scan(spark):
 
 def test_undeclared_keys_are_not_counted_in_a_filter_of_the_scan(spark):
     assert filters_of_rows(optimized(spark, "undeclared_keys")) == []
+
+
+def test_evaluator_rows_compare_once(spark):
+    plan = optimized(spark, "evaluator_documents")
+    assert filters_of_rows(plan) == [] and sum("Relation [" in x for x in plan) == 1
