@@ -1,11 +1,13 @@
 """Corpus totals of a stream in which documents come again, repeated or corrected.
 
-State is kept by document: the counts of its newest arrival. An arrival that
-is newer gives the difference to what counted before, by path; one that is
-older, or the same again, gives nothing. So a document counts once, whatever
-the order and however often it is sent. Differences add up to the totals,
-which are written under the id of their batch: a batch that runs again after
-a failure writes its own folder again and adds nothing twice.
+State is kept by document: its newest arrival, with the counts of its paths.
+An arrival that is older, or the same again, changes nothing. So a document
+counts once, whatever the order and however often it is sent. The state is a
+streaming aggregate, without Python; each batch sums it up whole and writes
+the totals under its id: a batch that runs again after a failure writes its
+own folder again and adds nothing twice. A batch's work so grows with the
+documents there are, by an addition for each path of each, as well as with
+its own arrivals.
 
 Newer is the larger ``version``, then the larger hash of the content, so two
 different arrivals of one version are settled alike in any order. A null
@@ -14,42 +16,42 @@ version is older than any other; a null id is a document of its own.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
-from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import flat
 from ..operators.metrics import COUNTS
 from ..plans.spec import ModelSpec
 
 OLDEST = -(2**63)
-CHANGES = ["documents", *COUNTS]
-CHANGE = "path string, " + ", ".join(f"{c} long" for c in CHANGES)
-STATE = "version long, content long, counts string"
+TOTALS = "path string, documents long, " + ", ".join(f"{c} long" for c in COUNTS)
 
 
 def arrivals(pairs: DataFrame, model: ModelSpec, version: str, expected: str = "expected", predicted: str = "predicted") -> DataFrame:
-    """The long relation of pairs as they arrive: doc_id, version, content (a hash of both sides), path, six counts.
+    """The long relation of pairs as they arrive: doc_id, version, content (a hash of both sides), path, six counts, ``all``.
 
     ``pairs`` may be a stream; its sides are structs of a model without lists
-    that need a matching. A document's own row has the empty path.
+    that need a matching. A document's own row has the empty path, and alone
+    has ``all``: path and counts of each of the arrival's rows.
     """
     if not flat.supports(model):
         raise ValueError(f"{model.name}: only records without matched lists are compared in a stream")
     text = F.concat_ws("\x1f", *[F.coalesce(F.to_json(c, {"ignoreNullFields": "false"}), F.lit("")) for c in (expected, predicted)])
-    held = pairs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce(F.col(version).cast("long"), F.lit(OLDEST)).alias("version"), F.xxhash64(text).alias("content"), expected, predicted)
-    rows = flat.compare_flat(held, model, expected, predicted, keys=("doc_id", "version", "content"), documents=True)
-    return rows.select("doc_id", "version", "content", "path", *COUNTS)
+    held = pairs.withColumn("doc_id", F.col("doc_id").cast("string"))
+    mark = {"version": F.coalesce(F.col(version).cast("long"), F.lit(OLDEST)), "content": F.xxhash64(text)}
+    rows = flat.compare_documents_wide(held, model, expected, predicted, also=mark)
+    one = lambda r: [r[c].alias(c) for c in ("path", *COUNTS)]
+    rows = rows.withColumn("~all", F.transform("~rows", lambda r: F.struct(*one(r))))
+    each = F.transform("~rows", lambda r: F.struct(*one(r), F.when(r["path"] == "", F.col("~all")).alias("all")))
+    return rows.select("doc_id", "version", "content", F.inline(each))
 
 
 def newest(rows: Iterator[pd.DataFrame]) -> tuple[tuple[int, int], dict[str, list[int]]] | None:
-    """((version, content), counts by path) of the newest of a document's arrivals; a repeated one counts once."""
+    """((version, content), counts by path) of the newest of a document's arrivals; a repeated one counts once. The rule in plain Python."""
     best, counts = None, {}
     for frame in rows:
         for version, content, path, *own in frame[["version", "content", "path", *COUNTS]].itertuples(index=False, name=None):
@@ -61,78 +63,38 @@ def newest(rows: Iterator[pd.DataFrame]) -> tuple[tuple[int, int], dict[str, lis
     return None if best is None else (best, counts)
 
 
-def _update(key: tuple[Any, ...], rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    found = newest(rows)
-    if found is None:
-        return
-    mark, counts = found
-    before: dict[str, list[int]] = {}
-    if state.exists:
-        version, content, held = state.get
-        if mark <= (version, content):
-            return
-        before = json.loads(held)
-    state.update((*mark, json.dumps(counts)))
-    zero, changes = [0] * len(COUNTS), []
-    for path in {**before, **counts}:
-        gone = path not in counts
-        new = path not in before
-        change = [int(new) - int(gone), *(b - a for a, b in zip(before.get(path, zero), counts.get(path, zero)))]
-        if any(change):
-            changes.append((path, *change))
-    if changes:
-        yield pd.DataFrame(changes, columns=["path", *CHANGES])
-
-
-def changes(rows: DataFrame) -> DataFrame:
-    """What a stream of ``arrivals`` changes in the totals: path, documents (that have this path), six counts.
-
-    Documents are dealt by id; a task holds the state of those of its own
-    partition in the state store and one document's arrivals of a batch, in
-    parts, at a time.
+def current(rows: DataFrame) -> DataFrame:
+    """The newest arrival of each document of a stream of ``arrivals``: doc_id, and version, content, all as ``newest``.
+
+    Arrivals of a task are settled before the shuffle, which deals documents
+    by id; a task holds the state of those of its own partition.
     """
-    return rows.groupBy("doc_id").applyInPandasWithState(_update, CHANGE, STATE, "update", GroupStateTimeout.NoTimeout)
+    return rows.where(F.col("all").isNotNull()).groupBy("doc_id").agg(F.max(F.struct("version", "content", "all")).alias("newest"))
 
 
-def _totals(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("path").agg(*[F.sum(c).cast("long").alias(c) for c in CHANGES])
+def _totals(held: DataFrame) -> DataFrame:
+    """path, documents that have it, and sums of its counts."""
+    each = held.select(F.inline("newest.all"))
+    return each.groupBy("path").agg(F.count("*").alias("documents"), *[F.sum(c).cast("long").alias(c) for c in COUNTS])
 
 
 def start(rows: DataFrame, folder: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Keep the totals of a stream of ``arrivals`` under ``folder``; ``saved`` reads them.
 
-    Each batch writes the totals up to it, from those of the batch before and
-    its own changes, under its id. Start again with the same two folders to go
-    on.
+    Each batch writes the totals up to it under its id. Start again with the
+    same two folders to go on.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        own = _totals(batch)
-        before = _up_to(batch.sparkSession, folder, number - 1)
-        if before is not None:
-            own = _totals(own.unionByName(before))
         # One small file, so that a folder is there whole or not at all.
-        own.coalesce(1).write.mode("overwrite").parquet(f"{folder}/batch={number}")
+        _totals(batch).coalesce(1).write.mode("overwrite").parquet(f"{folder}/batch={number}")
 
-    writer = changes(rows).writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write)
+    writer = current(rows).writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(write)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def _up_to(spark: SparkSession, folder: str, last: int | None = None) -> DataFrame | None:
-    """The totals of the last batch, or of the last one up to ``last``; null if there is none."""
-    if last is not None and last < 0:
-        return None
-    schema = "path string, " + ", ".join(f"{c} long" for c in CHANGES) + ", batch long"
-    held = spark.read.schema(schema).option("basePath", folder).parquet(folder)
-    if last is not None:
-        held = held.where(F.col("batch") <= last)
-    top = held.agg(F.max("batch")).first()[0]
-    return None if top is None else held.where(F.col("batch") == top).drop("batch")
-
-
 def saved(spark: SparkSession, folder: str) -> DataFrame:
     """The totals as of the last finished batch: path, documents, six counts; paths that no document has any more are left out."""
-    found = _up_to(spark, folder)
-    if found is None:
-        return spark.createDataFrame([], CHANGE)
-    return found.where("documents > 0")
+    held = spark.read.schema(f"{TOTALS}, batch long").option("basePath", folder).parquet(folder)
+    last = held.agg(F.max("batch")).first()[0]
+    return spark.createDataFrame([], TOTALS) if last is None else held.where(F.col("batch") == last).drop("batch")

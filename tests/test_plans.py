@@ -25,3 +25,20 @@ def test_undeclared_keys_are_not_counted_in_a_filter_of_the_scan(spark):
 def test_evaluator_rows_compare_once(spark):
     plan = optimized(spark, "evaluator_documents")
     assert filters_of_rows(plan) == [] and sum("Relation [" in x for x in plan) == 1
+
+
+def test_documents_that_come_again_are_settled_without_python(spark, tmp_path):
+    from gaugeflow.functions.scalars import Exact
+    from gaugeflow.plans.spec import FieldSpec, ModelSpec
+    from gaugeflow.streaming import documents
+
+    side = "struct<kind: string>"
+    # The newest of d is right, a null id and a null version are arrivals like others.
+    sent = [("d", 1, ("a",), ("b",)), ("d", 2, ("a",), ("a",)), ("d", 1, ("a",), ("c",)), (None, None, ("a",), ("b",)), ("e", None, ("a",), None)]
+    spark.createDataFrame(sent, f"doc_id string, v long, expected {side}, predicted {side}").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(f"doc_id string, v long, expected {side}, predicted {side}").parquet(str(tmp_path / "in"))
+    query = documents.start(documents.arrivals(stream, ModelSpec("Kind", [FieldSpec("kind", "str", Exact(), 1.0)]), "v"), str(tmp_path / "t"), str(tmp_path / "cp"))
+    query.awaitTermination()
+    assert {o.operatorName for o in query.lastProgress.stateOperators} == {"stateStoreSave"}
+    got = {r.path: (r.documents, r.tp, r.fd, r.fn) for r in documents.saved(spark, str(tmp_path / "t")).select("path", "documents", "tp", "fd", "fn").collect()}
+    assert got == {"": (3, 1, 1, 1), "kind": (3, 1, 1, 1)}
