@@ -42,3 +42,7 @@ def test_documents_that_come_again_are_settled_without_python(spark, tmp_path):
     assert {o.operatorName for o in query.lastProgress.stateOperators} == {"stateStoreSave"}
     got = {r.path: (r.documents, r.tp, r.fd, r.fn) for r in documents.saved(spark, str(tmp_path / "t")).select("path", "documents", "tp", "fd", "fn").collect()}
     assert got == {"": (3, 1, 1, 1), "kind": (3, 1, 1, 1)}
+
+
+def test_model_comparator_makes_no_rows_in_a_filter(spark):
+    assert filters_of_rows(optimized(spark, "model_comparator")) == []
