@@ -46,3 +46,17 @@ def test_documents_that_come_again_are_settled_without_python(spark, tmp_path):
 
 def test_model_comparator_makes_no_rows_in_a_filter(spark):
     assert filters_of_rows(optimized(spark, "model_comparator")) == []
+
+
+def test_lists_are_not_prepared_to_see_that_they_are_not_empty(spark):
+    from pyspark.sql import functions as F
+
+    from gaugeflow.operators import nested
+    from gaugeflow.plans.catalogue import BUYER, PURCHASE
+
+    for model, path, pairs in ((BUYER, "orders", lambda d: nested._met(d, "orders", ["~row"], "i", "j")), (PURCHASE, "items", lambda d: nested._cell_pairs(d, PURCHASE.fields[1], "items", ["~row"]))):
+        row = spark.createDataFrame([], f"`~row` long, a {model.schema().simpleString()}, b {model.schema().simpleString()}")
+        ready = row.select("`~row`", *[nested.ready(model, F.col(c)).alias(n) for c, n in (("a", "x"), ("b", "y"))])
+        plan = pairs(ready)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        filters = [x for x in plan if x.strip(" +-:").startswith("Filter")]
+        assert filters and not any("transform(" in x for x in filters), path
